@@ -43,23 +43,23 @@ def weekly_cube(clean: DataFrame, group: str, date: str = "Collection_Date",
     return trailing_means(stream_sums(keyed, [group, "week_start"], code, value), group)
 
 
-def weekly_cube_sql(src: str, group: str) -> str:
+def weekly_cube_sql(src: str, group: str, name: str = "cube") -> str:
     ma = ",\n    ".join(
         f"avg({m}) OVER (PARTITION BY {group} ORDER BY week_start ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {m}_ma_{s}"
         for s, n in MA_WINDOWS.items() for m in MEASURES)
     sums = ", ".join(f"sum(CASE WHEN Material_Type_Code = {k} THEN Tons_Collected ELSE 0.0 END) AS {n}"
                      for k, n in STREAM_COLUMNS.items())
-    return f"""wk0 AS (
+    return f"""{name}_0 AS (
   SELECT {group}, CAST(Collection_Date - CAST(isodow(Collection_Date) - 1 AS INTEGER) AS DATE) AS week_start, {sums}
   FROM {src} GROUP BY 1, 2
 ),
-weekly AS (
-  SELECT *, tons_refuse + tons_paper + tons_mgp AS tons_total FROM wk0
+{name}_w AS (
+  SELECT *, tons_refuse + tons_paper + tons_mgp AS tons_total FROM {name}_0
 ),
-cube AS (
+{name} AS (
   SELECT *,
     {ma}
-  FROM weekly
+  FROM {name}_w
 )"""
 
 

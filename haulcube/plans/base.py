@@ -25,7 +25,8 @@ def section_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 CLEAN_CTE = LOADS_SQL + ",\n" + clean_sql("loads")
 DCUBE_CTE = CLEAN_CTE + ",\n" + weekly_cube_sql("clean", "District_Code")
-SCUBE_CTE = CLEAN_CTE + ",\n" + weekly_cube_sql("clean", "Section_Code")
+SCUBE_CTE = CLEAN_CTE + ",\n" + weekly_cube_sql("clean", "Section_Code", "cube")
+SCUBE_ONLY = weekly_cube_sql("clean", "Section_Code", "scube")
 
 
 def with_clean(select: str) -> str:
@@ -38,3 +39,9 @@ def with_dcube(select: str, extra: str = "") -> str:
 
 def with_scube(select: str) -> str:
     return f"WITH {SCUBE_CTE}\n{select}"
+
+
+def sql(*ctes: str, select: str) -> str:
+    """Compose an oracle: named CTE blocks (already 'name AS (...)') and a final SELECT."""
+    parts = [c.strip().rstrip(",") for c in ctes if c and c.strip()]
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
