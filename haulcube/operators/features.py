@@ -98,9 +98,9 @@ def even_selection(df: DataFrame, key: str, n: int) -> DataFrame:
     d = df.select(key).distinct()
     total = d.select(F.count(F.lit(1))).scalar()
     r = d.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("_i"))
-    idx = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                      lambda i: F.floor(i * (total - 1) / F.lit(max(n - 1, 1))).cast("int"))
-    return r.filter(F.array_contains(idx, F.col("_i").cast("int"))).drop("_i")
+    picks = df.sparkSession.range(n).select(
+        F.floor(F.col("id") * (total - 1) / F.lit(max(n - 1, 1))).cast("int").alias("_i"))
+    return r.join(picks, "_i", "left_semi").drop("_i")
 
 
 def acf(df: DataFrame, group: str, time: str, y: str, max_lag: int = 104) -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is complete."""
-from . import q_basic, q_core  # noqa: F401
+from . import q_agg, q_basic, q_core  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
