@@ -27,19 +27,22 @@ def row_standardise(edges: DataFrame) -> DataFrame:
 
 
 def centred(values: DataFrame, pid: str, value: str) -> DataFrame:
-    mean = values.select(F.avg(value)).scalar()
-    return values.select(F.col(pid).alias("u"), (F.col(value) - mean).alias("z"))
+    """Centred values, one row per unit, checkpointed (reliably) because every
+    statistic below reads them several times and the upstream plan is the
+    whole fact pipeline."""
+    v = values.select(F.col(pid).alias("u"), F.col(value).alias("_v")).checkpoint(eager=True)
+    mean = v.agg(F.avg("_v")).first()[0]
+    return v.select("u", (F.col("_v") - F.lit(mean)).alias("z"))
 
 
 def morans_i(values: DataFrame, weights: DataFrame, pid: str, value: str) -> DataFrame:
     """I = n / S0 * sum_ij w_ij z_i z_j / sum_i z_i^2 (units = rows of `values`)."""
     z = centred(values, pid, value)
-    n = z.select(F.count(F.lit(1))).scalar()
-    ss = z.select(F.sum(F.col("z") * F.col("z"))).scalar()
+    n, ss = z.agg(F.count(F.lit(1)), F.sum(F.col("z") * F.col("z"))).first()
     zi, zj = z.select(F.col("u").alias("i"), F.col("z").alias("zi")), z.select(F.col("u").alias("j"), F.col("z").alias("zj"))
     j = weights.join(zi, "i").join(zj, "j")
     agg = j.agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("num"), F.sum("w").alias("s0"))
-    return agg.select((n / F.col("s0") * F.col("num") / ss).alias("I"), n.alias("n"), F.col("s0"))
+    return agg.select((n / F.col("s0") * F.col("num") / ss).alias("I"), F.lit(n).alias("n"), F.col("s0"))
 
 
 def moran_permutation_test(values: DataFrame, weights: DataFrame, pid: str, value: str,
@@ -52,10 +55,12 @@ def moran_permutation_test(values: DataFrame, weights: DataFrame, pid: str, valu
     only the units (not the facts), and the edge joins run for all p at once.
     """
     # four scalars of the observed statistic (one-row results) parameterise the permutation job
-    row = morans_i(values, weights, pid, value).first()
-    i_obs, n, s0 = F.lit(row["I"]), row["n"], row["s0"]
     z = centred(values, pid, value)
+    w = weights.checkpoint(eager=True)
+    row = morans_i(values, w, pid, value).first()
+    i_obs, n, s0 = F.lit(row["I"]), row["n"], row["s0"]
     ss = z.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
+    weights = w
     ranked = z.select("u", "z", F.row_number().over(Window.orderBy("u")).alias("r"))
     rep = ranked.select("u", "r", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
     shuffled = rep.select("perm", "z", F.row_number().over(
