@@ -26,7 +26,7 @@ def feature_long(cube: DataFrame, group: str, value: str = "tons_refuse", time:
     dense = densify(cube, group, time, value)
     keep = coverage_filter(dense, group, time, value, coverage).select(group)
     d = dense.join(keep, group, "left_semi")
-    return d.select(group, time, zscore(value, [group], ddof=0).alias("z"))
+    return d.select(group, time, zscore(value, [group], ddof=0).alias("z")).checkpoint(eager=True)
 
 
 def to_arrays(long: DataFrame, group: str, time: str = "week_start", z: str = "z",
@@ -38,11 +38,12 @@ def to_arrays(long: DataFrame, group: str, time: str = "week_start", z: str = "z
 
 def feature_matrix(cube: DataFrame, group: str, value: str = "tons_refuse", coverage: float = 0.8) -> DataFrame:
     """M1: (group, features ARRAY<DOUBLE>)."""
-    return to_arrays(feature_long(cube, group, value, coverage=coverage), group)
+    return to_arrays(feature_long(cube, group, value, coverage=coverage), group).checkpoint(eager=True)
 
 
 def multistream_matrix(cube: DataFrame, group: str, coverage: float = 0.8, streams=STREAM_ORDER) -> DataFrame:
     """The stream matrices concatenated per group; groups kept by all streams."""
+    cube = cube.select(group, "week_start", *streams).checkpoint(eager=True)  # read once per stream
     mats = [feature_matrix(cube, group, s, coverage).withColumnRenamed("features", f"_f{i}")
             for i, s in enumerate(streams)]
     out = mats[0]

@@ -8,13 +8,51 @@ Merge heights are then sorted into the usual linkage table.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import ward_nearest
+from .pairs import BLOCK_ROWS, ward_nearest
 
 
-def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_000) -> DataFrame:
+def _nn_chain(first_id: int):
+    """Finish Ward on a bounded active set (<= one block) in one task: NN-chain, O(m^2)."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["cid"].astype("int64").tolist()
+        size = dict(zip(ids, pdf["size"].astype("float64")))
+        cen = {i: np.asarray(c, dtype=np.float64) for i, c in zip(ids, pdf["c"])}
+        active = sorted(ids)
+        nxt, chain, out = first_id, [], []
+        while len(active) > 1:
+            if not chain:
+                chain.append(active[0])
+            a = chain[-1]
+            others = np.array([i for i in active if i != a])
+            C = np.stack([cen[i] for i in others])
+            sz = np.array([size[i] for i in others])
+            d = np.sqrt(2 * size[a] * sz / (size[a] + sz)) * np.sqrt(((C - cen[a]) ** 2).sum(axis=1))
+            j = int(np.lexsort((others, d))[0])
+            b = int(others[j])
+            if len(chain) >= 2 and d[others == chain[-2]][0] <= d[j]:
+                b = chain[-2]
+            if len(chain) >= 2 and b == chain[-2]:
+                chain.pop(); chain.pop()
+                h = float(d[others == b][0])
+                n_ab = size[a] + size[b]
+                cen[nxt] = (cen[a] * size[a] + cen[b] * size[b]) / n_ab
+                size[nxt] = n_ab
+                out.append((nxt, min(a, b), max(a, b), h, int(n_ab)))
+                active = [i for i in active if i not in (a, b)] + [nxt]
+                nxt += 1
+            else:
+                chain.append(b)
+        return pd.DataFrame(out, columns=["m", "l", "r", "h", "size"])
+    return fn
+
+
+def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_000,
+                 local_max: int = BLOCK_ROWS) -> DataFrame:
     """Linkage table: (step, left, right, height, size); leaves are 0..n-1 by id order."""
     spark = points.sparkSession
     leaves = points.select(id_col, vec, (F.row_number().over(Window.orderBy(id_col)) - 1).alias("cid")) \
@@ -25,7 +63,7 @@ def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_
     merges = None
     next_id, remaining = n, n
     for _ in range(max_rounds):
-        if remaining <= 1:
+        if remaining <= max(1, local_max):
             break
         nn = ward_nearest(active).checkpoint(eager=True)
         mutual = nn.alias("a").join(nn.alias("b"), (F.col("a.nn") == F.col("b.cid")) & (F.col("b.nn") == F.col("a.cid"))) \
@@ -41,15 +79,18 @@ def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_
         tot = F.col("sl") + F.col("sr")
         newc = mm.select(F.col("m").alias("cid"), tot.alias("size"),
                          F.zip_with("cl", "cr", lambda x, y: (x * F.col("sl") + y * F.col("sr")) / tot).alias("c"))
-        rec = mm.select("m", "l", "r", "h", tot.alias("size"))
+        rec = mm.select("m", "l", "r", "h", tot.alias("size")).checkpoint(eager=True)
         merges = rec if merges is None else merges.unionByName(rec)
-        merges = merges.checkpoint(eager=True)
         gone = mutual.select(F.col("l").alias("cid")).unionByName(mutual.select(F.col("r").alias("cid")))
         active = active.join(gone, "cid", "left_anti").unionByName(newc).checkpoint(eager=True)
         next_id += k
         remaining -= k
     else:
         raise RuntimeError("Ward merging did not finish within max_rounds")
+    if remaining > 1:  # bounded remainder: one task
+        tail = active.groupBy(F.lit(0).alias("_g")).applyInPandas(
+            _nn_chain(next_id), "m long, l long, r long, h double, size long").checkpoint(eager=True)
+        merges = tail if merges is None else merges.unionByName(tail)
     # order merges by height; internal ids -> n + step
     steps = merges.select("*", (F.row_number().over(Window.orderBy("h", "m")) - 1).alias("step"))
     idmap = steps.select(F.col("m").alias("_m"), (F.lit(n) + F.col("step")).alias("_new"))

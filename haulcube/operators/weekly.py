@@ -75,6 +75,8 @@ def densify(df: DataFrame, group: str, time: str, value: str, fill=0.0) -> DataF
     (a one-row scalar), the full Monday sequence is exploded per group and
     semi-joined to the weeks that actually occur, then left-joined back.
     """
+    # the slice is read four times below; pin it once (it is aggregated data)
+    df = df.select(group, time, value).checkpoint(eager=True)
     weeks = df.select(time).distinct()
     lo, hi = df.agg(F.min(time), F.max(time)).first()
     groups = df.select(group).distinct()
