@@ -1,11 +1,67 @@
-"""Spark ML helpers for the global forecasters."""
+"""Spark ML forecasters.
+
+Global models train on the feature table of all groups at once: a gradient
+boosted tree ensemble (two labelled configurations) and a linear regressor on
+the flattened, standardised 52 x 3 sequence windows.  Both forecast one step
+ahead with the real lagged values of the test period (N21).
+"""
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..features import SEQ_COLS, cutoff_of, feature_columns, gb_features, seq_scaling, sequences
+
+# Fixed hyper-parameters of the original boosting runs (trees, depth, rate, sampling).
+BOOST_TREES, BOOST_DEPTH, BOOST_RATE, BOOST_SAMPLE = 500, 6, 0.05, 0.8
+BOOST_CONFIGS = {"XGBoost": {"featureSubsetStrategy": "0.8"}, "LightGBM": {"featureSubsetStrategy": "all"}}
+
 
 def assemble(df: DataFrame, features, label: str, out: str = "features") -> DataFrame:
     va = VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip")
     return va.transform(df).withColumn("label", F.col(label).cast("double"))
+
+
+def gradient_boosting(cube: DataFrame, group: str = "District_Code", y: str = "tons_refuse",
+                      trees: int = BOOST_TREES, seed: int = 42):
+    """Returns (predictions, importance table, {label: model})."""
+    f = gb_features(cube, group, y).dropna("any")           # N22: a null anywhere drops the row
+    f = f.checkpoint(eager=True)
+    cols = feature_columns(f)
+    cut = cutoff_of(cube)
+    data = assemble(f, cols, y)
+    train, test = data.filter(F.col("week_start") <= cut), data.filter(F.col("week_start") > cut)
+    preds, models = None, {}
+    for label, extra in BOOST_CONFIGS.items():
+        gbt = GBTRegressor(maxIter=trees, maxDepth=BOOST_DEPTH, stepSize=BOOST_RATE, subsamplingRate=BOOST_SAMPLE,
+                           seed=seed, **extra)
+        m = gbt.fit(train)
+        models[label] = m
+        p = m.transform(test).select(group, "week_start", F.col(y).alias("y_true"),
+                                     F.col("prediction").alias("y_pred"), F.lit(label).alias("model"))
+        preds = p if preds is None else preds.unionByName(p)
+    imp = models["XGBoost"].featureImportances.toArray().tolist()
+    spark = cube.sparkSession
+    importance = spark.createDataFrame(list(zip(cols, [float(v) for v in imp])), "feature string, importance double")
+    return preds, importance.orderBy(F.desc("importance"), "feature"), models
+
+
+def sequence_regressor(cube: DataFrame, group: str = "District_Code", lookback: int = 52, reg: float = 1e-3):
+    """T7 re-aimed: standardised flattened windows -> ridge regression -> de-standardised forecast."""
+    seqs = sequences(cube, group, lookback).checkpoint(eager=True)
+    cut = cutoff_of(cube)
+    train = seqs.filter(F.col("week_start") <= cut)
+    sc = seq_scaling(train).first()                         # train-only statistics (A35)
+    mean = [sc[f"{c}_mean"] for c in SEQ_COLS]
+    std = [sc[f"{c}_std"] for c in SEQ_COLS]
+    flat = F.flatten(F.transform("window", lambda v: F.array(*[(v[i] - F.lit(mean[i])) / F.lit(std[i]) for i in range(len(SEQ_COLS))])))
+    d = seqs.select(group, "week_start", "target", array_to_vector(flat).alias("features"),
+                    ((F.col("target") - F.lit(sc["y_mean"])) / F.lit(sc["y_std"])).alias("label"))
+    m = LinearRegression(regParam=reg, elasticNetParam=0.0).fit(d.filter(F.col("week_start") <= cut))
+    out = m.transform(d.filter(F.col("week_start") > cut))
+    return out.select(group, "week_start", F.col("target").alias("y_true"),
+                      (F.col("prediction") * F.lit(sc["y_std"]) + F.lit(sc["y_mean"])).alias("y_pred"),
+                      F.lit("LSTM").alias("model"))
