@@ -65,7 +65,8 @@ def dtw_kmeans(series: DataFrame, id_col: str, vec: str, k: int, max_iter: int =
     centres = [np.asarray(r[vec], dtype=np.float64) for r in init]
     schema = f"{id_col} {series.schema[id_col].dataType.simpleString()}, cluster int, dist double, cpos array<int>, xval array<double>"
     # spread the series over tasks: the DP cost is per (series, centre), not per byte
-    series = series.select(id_col, vec).repartition(F.col(id_col)).checkpoint(eager=True)
+    from ..forecast.series import spread
+    series = spread(series.select(id_col, vec), id_col).checkpoint(eager=True)
     prev = None
     for _ in range(max_iter):
         a = series.select(id_col, vec).mapInPandas(_assign_fn(centres, id_col, vec), schema).checkpoint(eager=True)

@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 SEASON = 52
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by the group key into an explicit number of partitions.
+
+    The per-series work is CPU-bound while its input is tiny, so AQE would
+    coalesce it into one task; an explicit partition count keeps the series
+    spread over all cores (and the following groupBy reuses the partitioning)."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism,
+            int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, F.col(key))
+
+
 # ------------------------------------------------------------- seasonal AR
 def _ar_fit(z: np.ndarray, p: int):
     n = len(z) - p
@@ -102,8 +113,8 @@ def _forecast_fn(kind: str, group: str, y: str, model: str, min_train: int = 104
 def per_group_forecast(train: DataFrame, test: DataFrame, group: str, y: str, kind: str, model: str) -> DataFrame:
     """One model per group; forecasts matched to the test weeks by position."""
     schema = f"{group} string, week_start date, y_true double, y_pred double, model string"
-    a = train.select(group, "week_start", y)
-    b = test.select(group, "week_start", y)
+    a = spread(train.select(group, "week_start", y), group)
+    b = spread(test.select(group, "week_start", y), group)
     return a.groupBy(group).cogroup(b.groupBy(group)).applyInPandas(_forecast_fn(kind, group, y, model), schema)
 
 
@@ -132,35 +143,34 @@ def pacf(df: DataFrame, group: str, time: str, y: str, nlags: int = 52) -> DataF
         k = min(nlags, len(x) // 2 - 1)
         v = pacf_values(x, k) if k >= 1 else np.array([1.0])
         return pd.DataFrame({group: pdf[group].iloc[0], "lag": np.arange(len(v)), "pacf": v})
-    return df.select(group, time, y).groupBy(group).applyInPandas(fn, f"{group} string, lag long, pacf double")
+    return spread(df.select(group, time, y), group).groupBy(group).applyInPandas(fn, f"{group} string, lag long, pacf double")
 
 
 # -------------------------------------------------------------------- STL
 def _loess(y: np.ndarray, x: np.ndarray, xo: np.ndarray, span: int, w: np.ndarray | None = None, deg: int = 1):
+    """Local linear (tricube) fit at every xo at once: an (len(xo) x n) weight matrix."""
     n = len(y)
     q = min(span, n)
     w = np.ones(n) if w is None else w
-    out = np.empty(len(xo))
-    for i, x0 in enumerate(xo):
-        d = np.abs(x - x0)
-        h = np.partition(d, q - 1)[q - 1]
-        if span > n:
-            h += (span - n) / 2
-        h = max(h, 1e-12)
-        u = np.clip(d / h, 0, 1)
-        k = (1 - u ** 3) ** 3 * w
-        if k.sum() <= 0:
-            out[i] = np.nan
-            continue
-        if deg == 0:
-            out[i] = (k * y).sum() / k.sum()
-            continue
-        xm = (k * x).sum() / k.sum()
-        ym = (k * y).sum() / k.sum()
-        sxx = (k * (x - xm) ** 2).sum()
-        b = (k * (x - xm) * (y - ym)).sum() / sxx if sxx > 1e-12 * max(1.0, (k * x * x).sum()) else 0.0
-        out[i] = ym + b * (x0 - xm)
-    return out
+    d = np.abs(xo[:, None] - x[None, :])
+    h = np.partition(d, q - 1, axis=1)[:, q - 1]
+    if span > n:
+        h = h + (span - n) / 2
+    h = np.maximum(h, 1e-12)
+    u = np.clip(d / h[:, None], 0, 1)
+    k = (1 - u ** 3) ** 3 * w[None, :]
+    sk = k.sum(axis=1)
+    ok = sk > 0
+    sk = np.where(ok, sk, 1.0)
+    xm = (k * x).sum(axis=1) / sk
+    ym = (k * y).sum(axis=1) / sk
+    if deg == 0:
+        return np.where(ok, ym, np.nan)
+    dx = x[None, :] - xm[:, None]
+    sxx = (k * dx * dx).sum(axis=1)
+    sxy = (k * dx * (y[None, :] - ym[:, None])).sum(axis=1)
+    b = np.where(sxx > 1e-12 * np.maximum(1.0, (k * x * x).sum(axis=1)), sxy / np.where(sxx > 0, sxx, 1.0), 0.0)
+    return np.where(ok, ym + b * (xo - xm), np.nan)
 
 
 def _ma(x, n):
@@ -213,5 +223,5 @@ def stl_decompose(df: DataFrame, group: str, time: str, y: str, period: int = SE
         t, s, r = stl(x, period)
         return pd.DataFrame({group: pdf[group].to_numpy(), time: pdf[time].to_numpy(), "observed": x,
                              "trend": t, "seasonal": s, "resid": r})
-    return df.select(group, time, y).groupBy(group).applyInPandas(
+    return spread(df.select(group, time, y), group).groupBy(group).applyInPandas(
         fn, f"{group} string, {time} date, observed double, trend double, seasonal double, resid double")

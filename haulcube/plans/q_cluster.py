@@ -206,3 +206,19 @@ def m13(spark, sf):
             r = MT.adjusted_rand(e, a, b).select(F.lit(a).alias("method_a"), F.lit(b).alias("method_b"), F.round("ari", 9).alias("ari"))
             out = r if out is None else out.unionByName(r)
     return out
+
+
+@query("m12_cluster_level")
+def m12(spark, sf):
+    from ..operators.cluster.level import cluster_level
+    cube = district_cube(spark, sf).select(G, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
+    _, m = cluster_level(cube, G, "district", value="tons_total", k_values=range(2, 5), n_init=2, dtw_iter=3)
+    return m
+
+
+@query("m12_cluster_assignments")
+def m12a(spark, sf):
+    from ..operators.cluster.level import cluster_level
+    cube = district_cube(spark, sf).select(G, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
+    a, _ = cluster_level(cube, G, "district", value="tons_total", k_values=range(2, 5), n_init=2, dtw_iter=3)
+    return a

@@ -193,3 +193,11 @@ def s15(spark, sf):
     path = io.write_parquet(section_layer(spark, sf), scratch_dir(spark, "sections"))
     r = spark.read.parquet(path)
     return r.select("Section_Code", "population", F.size("rings").alias("n_rings"), n_vertices(F.col("rings")).alias("n_vertices"))
+
+
+@query("s9_csv_read_schema", sql(DCUBE_CTE, PREDS_SQL, metrics_sql("preds", "District_Code"), select="SELECT * FROM met"))
+def s9(spark, sf):
+    schema = T.StructType([T.StructField("District_Code", T.StringType())] +
+                          [T.StructField(c, T.DoubleType()) for c in ("rmse", "mae", "mape", "r2")])
+    path = io.write_csv(metrics(preds(spark, sf), "District_Code"), scratch_dir(spark, "metrics-district"))
+    return io.read_csv(spark, path, schema)
