@@ -122,8 +122,17 @@ def literal_map(d: dict) -> Column:
 
 
 def normalise_code(c: Column) -> Column:
-    """trimmed area code mapped to the polygon layer's naming."""
-    c = F.btrim(c)
+    """trimmed area code mapped to the polygon layer's naming.
+
+    The rule chain refers to its input ~20 times; binding the input once as a
+    lambda variable keeps Catalyst from substituting the (possibly long)
+    upstream expression into every reference (and into pushed-down filters).
+    """
+    return F.transform(F.array(F.btrim(c)), normalise_trimmed)[0]
+
+
+def normalise_trimmed(c: Column) -> Column:
+    """F1 rules on an already trimmed code; pass a plain column for the codegen path."""
     p2, p3, r3 = F.substring(c, 1, 2), F.substring(c, 1, 3), F.right(c, F.lit(3))
     rest = F.substring(c, 3, 1 << 20)
     return (

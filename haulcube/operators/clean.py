@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codes import (DROP_SECTIONS, PLACEHOLDER_TRUCK, PRIMARY_STREAMS,
-                               borough_of, normalise_code, stream_name)
+                               borough_of, normalise_trimmed, stream_name)
 from ..functions.nullsafe import neq_keep_null, positive
 
 RAW_COLUMNS = ["Truck_ID", "Collection_Date", "Shift_ID", "District_Code", "Section_Code",
@@ -53,9 +53,17 @@ def clean_loads(raw: DataFrame, date_formats=DATE_FORMATS, null_code: str = "nan
             .filter(positive(F.col("Tons_Collected")))                        # P8 (N6)
             .withColumn("Material_Type_Code", code)
             .filter(F.col("Material_Type_Code").isin(*PRIMARY_STREAMS)))      # P7, P9
-    for c in ("District_Code", "Section_Code"):                               # F1 (N7)
-        df = df.withColumn(c, normalise_code(F.coalesce(F.col(c), F.lit(null_code))))
-    df = df.filter(~F.col("Section_Code").isin(*DROP_SECTIONS))               # P10
+    # F1 (N7): trim in one projection, apply the rules to that column in the next;
+    # the rule chain reads its input ~20 times, so Catalyst keeps the two projections
+    # apart and the trimmed value is computed once per row inside codegen.
+    df = df.select(*[F.coalesce(F.btrim(F.col(c)), F.lit(null_code)).alias(c)
+                     if c in ("District_Code", "Section_Code") else F.col(c) for c in df.columns])
+    df = df.select(*[normalise_trimmed(F.col(c)).alias(c)
+                     if c in ("District_Code", "Section_Code") else F.col(c) for c in df.columns])
+    # P10 as an anti join with the fixed 26-code list (broadcast): unlike a filter it
+    # is not pushed below the normaliser, so the rules run exactly once per row.
+    drops = df.sparkSession.createDataFrame([(x,) for x in DROP_SECTIONS], "_drop string")
+    df = df.join(F.broadcast(drops), F.col("Section_Code") == F.col("_drop"), "left_anti")
     dt = F.col("Collection_Date")
     return df.select(
         *RAW_COLUMNS[:6],
