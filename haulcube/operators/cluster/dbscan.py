@@ -65,7 +65,7 @@ def dbscan(points: DataFrame, id_col: str, vec: str, eps: float, min_samples: in
     else:
         raise RuntimeError("DBSCAN label propagation did not converge")
     comps = lab.select("lab").distinct()
-    num = comps.select("lab", (F.dense_rank().over(Window.orderBy("lab")) - 1).alias("cluster"))
+    num = global_index(comps, ["lab"], "cluster")
     core_lab = lab.join(num, "lab").select("u", "cluster")
     border = edges.join(core_lab.select(F.col("u").alias("j"), "cluster"), "j") \
         .groupBy("i").agg(F.min("cluster").alias("bc"))

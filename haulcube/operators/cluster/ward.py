@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ordering import global_index
 from .pairs import BLOCK_ROWS, ward_nearest
 
 
@@ -55,8 +56,7 @@ def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_
                  local_max: int = BLOCK_ROWS) -> DataFrame:
     """Linkage table: (step, left, right, height, size); leaves are 0..n-1 by id order."""
     spark = points.sparkSession
-    leaves = points.select(id_col, vec, (F.row_number().over(Window.orderBy(id_col)) - 1).alias("cid")) \
-        .checkpoint(eager=True)
+    leaves = global_index(points.select(id_col, vec), [id_col], "cid").checkpoint(eager=True)
     n = leaves.count()
     active = leaves.select(F.col("cid").cast("long").alias("cid"), F.lit(1).cast("long").alias("size"),
                            F.col(vec).cast("array<double>").alias("c")).checkpoint(eager=True)
@@ -68,7 +68,7 @@ def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_
         nn = ward_nearest(active).checkpoint(eager=True)
         mutual = nn.alias("a").join(nn.alias("b"), (F.col("a.nn") == F.col("b.cid")) & (F.col("b.nn") == F.col("a.cid"))) \
             .filter(F.col("a.cid") < F.col("b.cid")).select(F.col("a.cid").alias("l"), F.col("b.cid").alias("r"), F.col("a.d").alias("h"))
-        mutual = mutual.select("*", (F.lit(next_id) - 1 + F.row_number().over(Window.orderBy("h", "l"))).alias("m")) \
+        mutual = global_index(mutual, ["h", "l"], "_i").select("l", "r", "h", (F.lit(next_id) + F.col("_i")).alias("m")) \
             .checkpoint(eager=True)
         k = mutual.count()
         if k == 0:
@@ -92,7 +92,7 @@ def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_
             _nn_chain(next_id), "m long, l long, r long, h double, size long").checkpoint(eager=True)
         merges = tail if merges is None else merges.unionByName(tail)
     # order merges by height; internal ids -> n + step
-    steps = merges.select("*", (F.row_number().over(Window.orderBy("h", "m")) - 1).alias("step"))
+    steps = global_index(merges, ["h", "m"], "step")
     idmap = steps.select(F.col("m").alias("_m"), (F.lit(n) + F.col("step")).alias("_new"))
     def remap(c):
         return F.when(F.col(c) < n, F.col(c)).otherwise(F.col(f"{c}_new"))

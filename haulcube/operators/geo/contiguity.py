@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ordering import global_index
+
 
 def queen_edges(polys: DataFrame, pid: str) -> DataFrame:
     """Directed pairs (i, j), i != j, of polygons sharing at least one vertex."""
@@ -61,10 +63,10 @@ def moran_permutation_test(values: DataFrame, weights: DataFrame, pid: str, valu
     i_obs, n, s0 = F.lit(row["I"]), row["n"], row["s0"]
     ss = z.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
     weights = w
-    ranked = z.select("u", "z", F.row_number().over(Window.orderBy("u")).alias("r"))
+    ranked = global_index(z.select("u", "z"), ["u"], "r")
     rep = ranked.select("u", "r", "z", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    shuffled = rep.select("perm", "z", F.row_number().over(
-        Window.partitionBy("perm").orderBy(F.xxhash64(F.col("perm"), F.col("u"), F.lit(seed)), "u")).alias("r"))
+    shuffled = rep.select("perm", "z", (F.row_number().over(
+        Window.partitionBy("perm").orderBy(F.xxhash64(F.col("perm"), F.col("u"), F.lit(seed)), "u")) - 1).alias("r"))
     perm_vals = shuffled.join(ranked.select("u", "r"), "r").select("perm", "u", "z")
     zi = perm_vals.select("perm", F.col("u").alias("i"), F.col("z").alias("zi"))
     zj = perm_vals.select("perm", F.col("u").alias("j"), F.col("z").alias("zj"))
