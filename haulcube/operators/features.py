@@ -112,7 +112,8 @@ def acf(df: DataFrame, group: str, time: str, y: str, max_lag: int = 104) -> Dat
     w = Window.partitionBy(group).orderBy(time)
     s = df.select(group, F.row_number().over(w).alias("i"), F.col(y).alias("x"),
                   F.avg(y).over(Window.partitionBy(group)).alias("m"))
-    s = s.select(group, "i", (F.col("x") - F.col("m")).alias("d"))
+    # the indexed series is read three times below: pin it (cube-sized, not fact-sized)
+    s = s.select(group, "i", (F.col("x") - F.col("m")).alias("d")).checkpoint(eager=True)
     den = s.groupBy(group).agg(F.sum(F.col("d") * F.col("d")).alias("den"))
     a = s.select(group, "i", "d", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("k"))
     b = s.select(group, F.col("i").alias("j"), F.col("d").alias("d2"))

@@ -29,8 +29,12 @@ def metrics(pred: DataFrame, keys, y: str = "y_true", p: str = "y_pred", digits:
     """RMSE, MAE, MAPE (fraction, zeros excluded), R2 (null when SST = 0)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     v = valid_pairs(pred, y, p).select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"))
-    mu = v.groupBy(*keys).agg(F.avg("_y").alias("_m"))
-    j = v.join(F.broadcast(mu), keys) if keys else v.join(mu)
+    if keys:
+        # one mean per model/group: a few rows, bounded by the number of keys
+        mu = v.groupBy(*keys).agg(F.avg("_y").alias("_m"))
+        j = v.join(F.broadcast(mu), keys)
+    else:
+        j = v.withColumn("_m", v.select(F.avg("_y")).scalar())
     e = F.col("_y") - F.col("_p")
     agg = j.groupBy(*keys).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
@@ -62,7 +66,8 @@ def fixed_predictions(cube: DataFrame, group: str = "District_Code", y: str = "t
     f = cube.select(group, "week_start", F.col(y).alias("y_true"),
                     F.lag(y, 52).over(w).alias("_naive"),
                     F.avg(y).over(w.rowsBetween(-4, -1)).alias("_ma4"))
-    test = f.filter(F.col("week_start") > cutoff_of(cube, "week_start", horizon))
+    f = f.checkpoint(eager=True)            # both model branches and every metric read it
+    test = f.filter(F.col("week_start") > f.select(F.date_sub(F.max("week_start"), 7 * horizon)).scalar())
     base = [group, "week_start", "y_true"]
     return (test.select(*base, F.col("_naive").alias("y_pred"), F.lit("NAIVE52").alias("model"))
                 .unionByName(test.select(*base, F.col("_ma4").alias("y_pred"), F.lit("MA4").alias("model"))))

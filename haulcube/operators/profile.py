@@ -107,6 +107,7 @@ def group_corr(df: DataFrame, group: str, time: str, value: str) -> DataFrame:
     Equi-join on the time key (each week pairs the groups observed that week);
     the partial aggregate per (g1, g2) runs map-side.
     """
+    df = df.select(group, time, value).checkpoint(eager=True)   # both join sides read it
     a = df.select(F.col(group).alias("g1"), F.col(time), F.col(value).alias("y1"))
     b = df.select(F.col(group).alias("g2"), F.col(time), F.col(value).alias("y2"))
     j = a.join(b, time).filter(F.col("g1") <= F.col("g2"))
