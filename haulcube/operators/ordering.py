@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 def global_index(df: DataFrame, order_cols, out: str = "idx", partitions: int | None = None) -> DataFrame:
     """0-based position of every row in the total order given by `order_cols`."""
-    order_cols = list(order_cols)
+    # a hash of the whole row breaks ties, so a value shared by a third of the rows
+    # is still split across range partitions instead of landing in one task
+    tb = F.xxhash64(*[F.col(c) for c in df.columns]).alias("_tb")
+    order = list(order_cols) + ["_tb"]
     p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(p, *order_cols).withColumn("_pid", F.spark_partition_id())
-    r = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
+    r = df.select("*", tb).repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id())
+    r = r.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     r = r.checkpoint(eager=True)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.select("_pid", F.coalesce(F.sum("_c").over(

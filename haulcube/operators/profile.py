@@ -102,16 +102,51 @@ def corr_long(df: DataFrame, cols) -> DataFrame:
 
 
 def group_corr(df: DataFrame, group: str, time: str, value: str) -> DataFrame:
-    """Correlation between the series of every pair of groups, pairwise complete.
+    """Pearson correlation between the series of every pair of groups, pairwise complete.
 
-    Equi-join on the time key (each week pairs the groups observed that week);
-    the partial aggregate per (g1, g2) runs map-side.
+    No pair rows per week: each task folds its weeks into G x G partial sums
+    (n, sums, cross products over the weeks where both groups were observed)
+    with matrix products, emits one partial per (g1, g2) and the shuffle only
+    carries those partials.  G is the number of groups (the output is G x G).
     """
-    df = df.select(group, time, value).checkpoint(eager=True)   # both join sides read it
-    a = df.select(F.col(group).alias("g1"), F.col(time), F.col(value).alias("y1"))
-    b = df.select(F.col(group).alias("g2"), F.col(time), F.col(value).alias("y2"))
-    j = a.join(b, time).filter(F.col("g1") <= F.col("g2"))
-    return j.groupBy("g1", "g2").agg(F.corr("y1", "y2").alias("r"), F.count(F.lit(1)).alias("n"))
+    import numpy as np
+    import pandas as pd
+    from ..operators.ordering import global_index
+
+    d = df.select(group, time, F.col(value).cast("double").alias("_v")).checkpoint(eager=True)
+    gids = global_index(d.select(group).distinct(), [group], "_gi").checkpoint(eager=True)
+    G = gids.count()
+    wk = d.join(gids, group).groupBy(time).agg(F.collect_list(F.struct("_gi", "_v")).alias("obs"))
+
+    def fn(batches):
+        acc = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            M = np.zeros((len(pdf), G))
+            X = np.zeros((len(pdf), G))
+            for r, obs in enumerate(pdf["obs"]):
+                idx = np.array([o["_gi"] for o in obs], dtype=np.int64)
+                M[r, idx] = 1.0
+                X[r, idx] = [o["_v"] for o in obs]
+            part = (M.T @ M, X.T @ M, X.T @ X, (X * X).T @ M)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is None:
+            return
+        n, sx, sxy, sxx = acc
+        a, b = np.nonzero(np.triu(n > 0))
+        yield pd.DataFrame({"a": a.astype("int64"), "b": b.astype("int64"), "n": n[a, b], "sx": sx[a, b],
+                            "sy": sx[b, a], "sxy": sxy[a, b], "sxx": sxx[a, b], "syy": sxx[b, a]})
+    schema = "a long, b long, n double, sx double, sy double, sxy double, sxx double, syy double"
+    tot = wk.mapInPandas(fn, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in
+                                                          ("n", "sx", "sy", "sxy", "sxx", "syy")])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    cov = n * F.col("sxy") - sx * sy
+    den = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
+    r = F.when((n > 1) & (den > 0), cov / F.sqrt(den))
+    names = gids.select(F.col("_gi").alias("a"), F.col(group).alias("g1"))
+    names2 = gids.select(F.col("_gi").alias("b"), F.col(group).alias("g2"))
+    return tot.join(names, "a").join(names2, "b").select("g1", "g2", r.alias("r"), n.cast("long").alias("n"))
 
 
 def zscore(c: str, part, ddof: int = 1) -> Column:

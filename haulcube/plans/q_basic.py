@@ -416,7 +416,9 @@ def f19(spark, sf):
 def o1(spark, sf):
     c = clean_df(spark, sf)
     n = c.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return c.repartitionByRange(int(n), "Collection_Date").sortWithinPartitions("Collection_Date") \
+    # secondary keys let the range partitioner split a date that holds many loads
+    keys = ["Collection_Date", "District_Code", "Route_Code", "Truck_ID"]
+    return c.repartitionByRange(int(n), *keys).sortWithinPartitions(*keys) \
         .select("Collection_Date", "Route_Code", "Tons_Collected")
 
 
