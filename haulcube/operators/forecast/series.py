@@ -113,8 +113,11 @@ def _forecast_fn(kind: str, group: str, y: str, model: str, min_train: int = 104
 def per_group_forecast(train: DataFrame, test: DataFrame, group: str, y: str, kind: str, model: str) -> DataFrame:
     """One model per group; forecasts matched to the test weeks by position."""
     schema = f"{group} string, week_start date, y_true double, y_pred double, model string"
-    a = spread(train.select(group, "week_start", y), group)
-    b = spread(test.select(group, "week_start", y), group)
+    # fresh aliases on both sides: train and test come from one plan, and shared
+    # attribute ids would let the optimizer prune one side's columns in the cogroup
+    cols = [F.col(c).alias(c) for c in (group, "week_start", y)]
+    a = spread(train.select(*cols), group)
+    b = spread(test.select(*[F.col(c).alias(c) for c in (group, "week_start", y)]), group)
     return a.groupBy(group).cogroup(b.groupBy(group)).applyInPandas(_forecast_fn(kind, group, y, model), schema)
 
 
