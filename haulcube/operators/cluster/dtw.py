@@ -60,10 +60,13 @@ def _assign_fn(centres: list[np.ndarray], id_col: str, vec: str):
 def dtw_kmeans(series: DataFrame, id_col: str, vec: str, k: int, max_iter: int = 30, seed: int = 42):
     """Returns (assignments DataFrame(id, cluster, dist), inertia, centres)."""
     from pyspark.sql import Window
+    schema = f"{id_col} {series.schema[id_col].dataType.simpleString()}, cluster int, dist double, cpos array<int>, xval array<double>"
+    k = min(k, series.count())
+    if k < 1:
+        return series.sparkSession.createDataFrame([], schema).select(id_col, "cluster", "dist"), []
     init = series.select(id_col, vec, F.row_number().over(Window.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)))).alias("_r")) \
         .filter(F.col("_r") <= k).orderBy("_r").collect()   # k starting series (k small)
     centres = [np.asarray(r[vec], dtype=np.float64) for r in init]
-    schema = f"{id_col} {series.schema[id_col].dataType.simpleString()}, cluster int, dist double, cpos array<int>, xval array<double>"
     # spread the series over tasks: the DP cost is per (series, centre), not per byte
     from ..forecast.series import spread
     series = spread(series.select(id_col, vec), id_col).checkpoint(eager=True)

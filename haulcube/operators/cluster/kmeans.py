@@ -12,8 +12,11 @@ from .metrics import silhouette
 
 def pca_95(df: DataFrame, vec: str, out: str = "pca", variance: float = 0.95):
     """M3: fewest components whose cumulative explained variance exceeds `variance`."""
+    first = df.select(vec).first()
+    if first is None:                                   # no rows: empty projection, zero components
+        return df.withColumn(out, F.lit(None).cast("array<double>")), 0, None
     v = df.withColumn("_v", array_to_vector(vec))
-    d = len(df.select(vec).first()[0])
+    d = len(first[0])
     n = df.count()
     kmax = max(1, min(d, n))
     model = PCA(k=kmax, inputCol="_v", outputCol="_p").fit(v)
@@ -45,6 +48,8 @@ def silhouette_by_k(df: DataFrame, id_col: str, vec: str, k_values, n_init: int
     n = df.count()
     rows = []
     for k in k_values:
+        if n < 3:
+            break
         if k > n - 1:
             continue
         lab, cost, _ = kmeans_best_of(df, vec, k, n_init, seed)

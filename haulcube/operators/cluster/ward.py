@@ -91,6 +91,9 @@ def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_
         tail = active.groupBy(F.lit(0).alias("_g")).applyInPandas(
             _nn_chain(next_id), "m long, l long, r long, h double, size long").checkpoint(eager=True)
         merges = tail if merges is None else merges.unionByName(tail)
+    if merges is None:                                   # 0 or 1 point: no merges
+        empty = spark.createDataFrame([], "step long, left long, right long, height double, size long")
+        return empty, leaves.select(id_col, "cid")
     # order merges by height; internal ids -> n + step
     steps = global_index(merges, ["h", "m"], "step")
     idmap = steps.select(F.col("m").alias("_m"), (F.lit(n) + F.col("step")).alias("_new"))
@@ -106,6 +109,8 @@ def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_
 def cut_tree(linkage: DataFrame, leaves: DataFrame, id_col: str, k: int) -> DataFrame:
     """M8: at most k clusters = components after the n - k lowest merges; labels 1..k."""
     n = leaves.count()
+    if n == 0:
+        return leaves.select(id_col, F.lit(1).alias("cluster"))
     keep = linkage.filter(F.col("step") < n - k)
     par = keep.select(F.col("left").alias("node"), (F.lit(n) + F.col("step")).alias("parent")) \
         .unionByName(keep.select(F.col("right").alias("node"), (F.lit(n) + F.col("step")).alias("parent")))

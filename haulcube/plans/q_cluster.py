@@ -52,7 +52,7 @@ def m3(spark, sf):
     from ..operators.cluster.kmeans import pca_95
     f = feature_matrix(district_cube(spark, sf), G, "tons_total")
     out, k, model = pca_95(f, "features")
-    cum = float(sum(model.explainedVariance.toArray()[:k]))
+    cum = float(sum(model.explainedVariance.toArray()[:k])) if model is not None else 0.0
     return out.select(G, F.size("pca").alias("n_components"), F.lit(cum).alias("explained_variance"))
 
 
@@ -76,7 +76,7 @@ def m5(spark, sf):
 def m6(spark, sf):
     from ..operators.cluster.dtw import dtw_kmeans
     f = feature_matrix(district_cube(spark, sf), G, "tons_total")
-    a, _ = dtw_kmeans(f, G, "features", k=3, max_iter=5)
+    a, _ = dtw_kmeans(f, G, "features", k=3, max_iter=5)   # k is capped at the number of series
     return a
 
 
