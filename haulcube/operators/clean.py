@@ -17,7 +17,8 @@ from ..functions.nullsafe import neq_keep_null, positive
 RAW_COLUMNS = ["Truck_ID", "Collection_Date", "Shift_ID", "District_Code", "Section_Code",
                "Route_Code", "Material_Type_Code", "Tons_Collected", "Net_Weight",
                "Dump_Time_Stamp"]
-DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy hh:mm:ss a")
+# tried in order; pass more (e.g. "MM/dd/yyyy hh:mm:ss a") when the raw files need them
+DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy")
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
