@@ -578,6 +578,7 @@ def f13(spark, sf):
     return j.select("Section_Code", F.concat(F.lit("#ff"), g, g).alias("colour"))
 
 
+# The 15-colour cluster palette of the original maps, in order.
 PALETTE = ["#e41a1c", "#377eb8", "#4daf4a", "#984ea3", "#ff7f00",
            "#ffff33", "#a65628", "#f781bf", "#999999", "#66c2a5",
            "#fc8d62", "#8da0cb", "#e78ac3", "#a6d854", "#ffd92f"]
