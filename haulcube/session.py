@@ -21,9 +21,6 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
-        # the cleaning stage fuses many string expressions; smaller generated methods
-        # stay under the JIT's size limit (measured ~1.5x faster at sf0.1)
-        .config("spark.sql.codegen.methodSplitThreshold", "256")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
