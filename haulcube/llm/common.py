@@ -72,3 +72,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def words_of(value) -> list[bytes]:
+    """Words of an Arrow string scalar as UTF-8 bytes (null: none)."""
+    return value.as_buffer().to_pybytes().split() if value.is_valid else []
+
+
+def as_long(x: np.ndarray):
+    """uint64 array as an Arrow array of signed longs (same bits)."""
+    import pyarrow as pa
+    return pa.array(np.ascontiguousarray(x, dtype=np.uint64).view(np.int64))
+
+
+def in_batches(rows, names: list[str], limit: int = 100_000):
+    """Concatenate tuples of Arrow arrays (one tuple per text) into record batches of about `limit` rows."""
+    import pyarrow as pa
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names=names)
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[0])
+        if n >= limit:
+            yield batch(held)
+            held, n = [], 0
+    if held:
+        yield batch(held)
+
+
+#: Stands for a null id wherever ids are compared: it comes before all others.
+NULL_ID = -(1 << 63)
+
+
+def id_key(col):
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
+
+
+def replace_text(rows: DataFrame, schema_columns: list[str], text_col: str, new_text, row_col: str = "_row") -> DataFrame:
+    """Columns of the struct `row_col` with another text; a column n_chars follows the text."""
+    out = []
+    for c in schema_columns:
+        value = F.col(row_col)[c]
+        if c == text_col:
+            value = new_text
+        elif c == "n_chars":
+            value = F.length(new_text).cast("long")
+        out.append(value.alias(c))
+    return rows.select(*out)

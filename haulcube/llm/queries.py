@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import line_dedup, quality_rules, simhash, substring
 from .common import documents
 
 QUERIES: dict = {}
@@ -15,6 +15,12 @@ def query(fn):
     return fn
 
 
+@query
+def op3_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("new_text", 256).alias("kept_sha256"))
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     return quality_rules.judge(documents(spark, sf_dir))
@@ -23,3 +29,9 @@ def op5_quality_rules(spark, sf_dir):
 @query
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
+
+
+@query
+def op10_substring_dedup(spark, sf_dir):
+    out = substring.drop_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
