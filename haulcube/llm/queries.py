@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators and their DuckDB oracles."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, simhash, substring
+from . import decontaminate, line_dedup, packing, quality_rules, simhash, substring
 from .common import documents
 
 QUERIES: dict = {}
@@ -35,3 +36,14 @@ def op9_simhash(spark, sf_dir):
 def op10_substring_dedup(spark, sf_dir):
     out = substring.drop_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_packing(spark, sf_dir):
+    out = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))

@@ -26,18 +26,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import as_long, small_side, written
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp long) for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, rows: bool = False) -> DataFrame:
+    """(id, fp long) for every row; with `rows`, the row itself as the struct `_row`, too."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"),
+                      *([F.struct(*docs.columns).alias("_row")] if rows else []))
+    out = src.select("id").schema.add("fp", "long")
+    if rows:
+        out = out.add(src.schema["_row"])
+
     def run(batches):
         shifts = np.arange(64, dtype=np.uint64)
         for batch in batches:
-            out = np.zeros(batch.num_rows, dtype=np.uint64)
+            fp = np.zeros(batch.num_rows, dtype=np.uint64)
             for r, text in enumerate(batch.column(1)):
-                raw = text.as_py()
-                words = raw.encode("utf-8", "surrogatepass").lower().split() if raw else []
+                words = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
                 if not words:
                     continue
                 if len(words) <= shingle:
@@ -50,11 +55,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for a in range(0, len(h), 8192):
                     bits = np.unpackbits(h[a:a + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                     counts += bits.sum(axis=0, dtype=np.int32)
-                out[r] = np.bitwise_or.reduce(np.where(2 * counts > len(h), np.uint64(1) << shifts, np.uint64(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return src.mapInArrow(run, "id long, fp long")
+                fp[r] = np.bitwise_or.reduce(np.where(2 * counts > len(h), np.uint64(1) << shifts, np.uint64(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_long(fp)] + ([batch.column(2)] if rows else []), names=out.names)
+    return src.mapInArrow(run, out)
 
 
 def _segments(max_bits: int):
@@ -163,14 +166,33 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
+def _groups(fps: DataFrame, max_bits: int, bucket: int) -> DataFrame:
+    """(fp, root): the group of every distinct fingerprint of the written table `fps`."""
+    distinct = written(fps.select("fp").distinct(), "simhash-distinct")
+    comp = components(links(distinct, max_bits, bucket))
+    return written(distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2, bucket: int = 64) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    firsts = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    comp = components(links(firsts.select("fp"), max_bits, bucket))
-    roots = (firsts.join(comp, firsts["fp"] == comp["node"], "left")
-             .select("fp", F.coalesce("root", "fp").alias("root"), "first"))
-    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = written(roots.select("fp", "root").join(ids, "root").select("fp", "component_id"), "simhash-comp")
+    roots = _groups(fps, max_bits, bucket)
+    first = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    ids = roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    of = written(roots.join(ids, "root").select("fp", "component_id"), "simhash-comp")
     return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                         max_bits: int = 2, bucket: int = 64) -> DataFrame:
+    """`docs` with one row of each group: the smallest id (null ids last), of equal ids any one."""
+    rows = written(fingerprints(docs, id_col, text_col, shingle, rows=True).withColumn("rid", F.monotonically_increasing_id()), "simhash-rows")
+    fps = rows.select("id", "fp", "rid")
+    roots = _groups(fps, max_bits, bucket)
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "rid")
+    best = fps.groupBy("fp").agg(F.min(rank).alias("best"))
+    keep = roots.join(best, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    keep = written(roots.join(keep, "root").select("fp", F.col("best.rid").alias("keep")), "simhash-keep")
+    gone = small_side(written(fps.join(keep, "fp").where("rid <> keep").select(F.col("rid").alias("_gone")), "simhash-gone"))
+    return rows.join(gone, rows["rid"] == gone["_gone"], "left_anti").select("_row.*")

@@ -42,7 +42,16 @@ def test_matches_brute_force(small_docs, odd_docs):
         assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def test_one_document_of_each_group_stays(small_docs, odd_docs):
+    for docs in (small_docs, odd_docs):
+        kept = S.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        groups = {c for _, _, c in brute_components([(r.doc_id, brute_fp(r.text)) for r in docs.select("doc_id", "text").collect()])}
+        assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(groups, key=str)
+
+
 def test_empty(no_docs):
+    assert S.drop_near_duplicates(no_docs).count() == 0
     assert S.near_duplicates(no_docs).count() == 0
 
 
