@@ -4,7 +4,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, quality_rules, simhash, substring
+from haulcube.session import scratch_dir
+
+from . import decontaminate, line_dedup, packing, quality_rules, secrets, simhash, substring, warc
 from .common import documents
 
 QUERIES: dict = {}
@@ -47,3 +49,17 @@ def op7_packing(spark, sf_dir):
 @query
 def op1_decontamination(spark, sf_dir):
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+@query
+def op8_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
+@query
+def op4_warc(spark, sf_dir):
+    folder = scratch_dir(spark, "warc")
+    manifest = warc.write_archives(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"), folder)
+    rows = warc.read_archives(spark, folder, manifest, with_payload=False).where("kind = 'record'")
+    return rows.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       warc.page_number("refers_to").alias("refers_to"))
