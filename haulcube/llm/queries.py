@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from haulcube.session import scratch_dir
 
-from . import decontaminate, line_dedup, packing, quality_rules, secrets, simhash, substring, warc
+from . import decontaminate, line_dedup, packing, quality_model, quality_rules, secrets, simhash, substring, url_filter, warc
 from .common import documents
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -63,3 +66,19 @@ def op4_warc(spark, sf_dir):
     rows = warc.read_archives(spark, folder, manifest, with_payload=False).where("kind = 'record'")
     return rows.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        warc.page_number("refers_to").alias("refers_to"))
+
+
+@query
+def op2_url_filter(spark, sf_dir):
+    """Labels reach a url through the document number in its path."""
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    number = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^?#]*/(\d+)", 1).try_cast("long")
+    labelled = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", (F.col("quality") == 0).alias("bad"))
+    out = url_filter.judge(pages, labelled, URL_RULES)
+    return out.select(F.col("_row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query
+def op6_quality_classifier(spark, sf_dir):
+    return quality_model.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
