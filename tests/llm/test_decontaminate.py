@@ -1,29 +1,6 @@
-import re
-
 from haulcube.llm import decontaminate as D
 
-
-def shingles(text, k=5):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    k = min(k, len(w))
-    return k, {" ".join(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
-
-
-def brute(docs, items, threshold=0.8):
-    held = {}
-    out = set()
-    for item, text in items:
-        k, want = shingles(text)
-        if not want:
-            continue
-        for i, t in docs:
-            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-            held.setdefault((i, item), set()).update({" ".join(w[a:a + k]) for a in range(len(w) - k + 1)} & want)
-        for i, _ in docs:
-            n = len(held[i, item])
-            if i is not None and n >= threshold * len(want):
-                out.add((i, item, len(want), n, n / len(want)))
-    return sorted(out)
+from .brute import contaminated as brute
 
 
 def check(docs, items):

@@ -1,40 +1,8 @@
 import random
 
 from haulcube.llm import line_dedup as L
-from haulcube.llm.common import NULL_ID
 
-
-def brute(rows, min_words=L.MIN_WORDS):
-    """Removed lines by definition, comparing every pair of lines."""
-    lines = []
-    for r, (i, t) in enumerate(rows):
-        for no, line in enumerate((t or "").split("\n")):
-            if t is not None:
-                lines.append((NULL_ID if i is None else i, r, no, line, line.encode().split()))
-    out = {r: (i, None if t is None else [], 0, 0) for r, (i, t) in enumerate(rows)}
-    for key, r, no, line, w in lines:
-        i, kept, n, gone = out[r]
-        drop = False
-        for key2, r2, no2, _, w2 in lines:
-            if w and w2 and (key2 < key or r2 == r and no2 < no):
-                if w == w2 or min(len(w), len(w2)) >= min_words and slow_distance(w, w2) <= 1:
-                    drop = True
-                    break
-        if not drop:
-            kept.append(line)
-        out[r] = (i, kept, n + bool(w), gone + drop)
-    return sorted(((i, None if k is None else "\n".join(k), n, g) for i, k, n, g in out.values()), key=str)
-
-
-def slow_distance(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return 2
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+from .brute import line_dedup as brute
 
 
 def check(docs):

@@ -1,48 +1,16 @@
-import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
-import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
 
 from haulcube.llm import packing as P
 
-PATH = public_tokenizers.path("word_bpe_49k.json")
+from .brute import TOKENIZER as PATH
+from .brute import verify_packing
 
 
 def verify(docs, **kw):
-    tok = Tokenizer.from_file(PATH)
-    length = kw.get("length", P.LENGTH)
-    want = Counter()
-    for r in docs.select("doc_id", "text").collect():
-        want[r.doc_id, tuple(tok.encode(r.text or "", add_special_tokens=False).ids + [1])] += 1
-    rows = P.pack(docs, PATH, **kw).collect()
-    seqs = defaultdict(list)
-    for r in rows:
-        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length > 0
-        seqs[r.sequence_id].append(r)
-    total = sum(len(ids) * n for (_, ids), n in want.items())
-    assert sorted(seqs) == list(range(-(-total // length)))
-    for s, pieces in seqs.items():
-        at = 0
-        for r in sorted(pieces, key=lambda r: r.offset):
-            assert r.offset == at
-            at += r.length
-        assert at == pieces[0].sequence_tokens == (length if s < max(seqs) else total - length * max(seqs))
-        assert pieces[0].padded_length == (at if at & (at - 1) == 0 else length)
-    by_id = defaultdict(list)
-    for r in rows:
-        by_id[r.doc_id].append(r)
-    for i, pieces in by_id.items():
-        texts = [ids for (k, ids), n in want.items() if k == i for _ in range(n)]
-        if len(texts) == 1:
-            pieces.sort(key=lambda r: r.start)
-            joined = np.frombuffer(b"".join(r.ids for r in pieces), "<u4")
-            assert tuple(joined) == texts[0] and all(r.doc_tokens == len(texts[0]) for r in pieces)
-        else:
-            assert sum(r.length for r in pieces) == sum(map(len, texts))
-    return rows
+    return verify_packing(docs, P.pack(docs, PATH, **kw).collect(), kw.get("length", P.LENGTH))
 
 
 def test_every_id_once(small_docs, odd_docs):

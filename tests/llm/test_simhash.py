@@ -1,38 +1,9 @@
-import re
-
-import xxhash
 from pyspark.sql import functions as F
 
 from haulcube.llm import simhash as S
 
-
-def brute_fp(text, k=3):
-    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    w = re.findall(r"[^\x20\x09-\x0D]+", text)
-    if not w:
-        return 0
-    sh = [" ".join(w[i:i + k]) for i in range(max(1, len(w) - k + 1))]
-    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
-def brute_components(rows, d=2):
-    fps = sorted({f for _, f in rows})
-    root = {f: f for f in fps}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-    for i, a in enumerate(fps):
-        for b in fps[i + 1:]:
-            if bin(a ^ b).count("1") <= d:
-                root[find(a)] = find(b)
-    least = {}
-    for i, f in rows:
-        if i is not None:
-            least[find(f)] = min(least.get(find(f), i), i)
-    return sorted(((i, f"{f:016x}", least.get(find(f))) for i, f in rows), key=str)
+from .brute import components as brute_components
+from .brute import fingerprint as brute_fp
 
 
 def test_matches_brute_force(small_docs, odd_docs):
