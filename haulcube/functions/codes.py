@@ -134,7 +134,7 @@ def normalise_code(c: Column) -> Column:
 def normalise_trimmed(c: Column) -> Column:
     """F1 rules on an already trimmed code; pass a plain column for the codegen path."""
     p2, p3, r3 = F.substring(c, 1, 2), F.substring(c, 1, 3), F.right(c, F.lit(3))
-    rest = F.substring(c, 3, 1 << 20)
+    rest = F.substr(c, F.lit(3))
     return (
         F.when(c == "", c)
         .when(p2.isin("QS", "QN"), F.concat(F.lit("QE"), rest))

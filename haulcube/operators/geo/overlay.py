@@ -6,7 +6,7 @@ touches), then de-duplicated and filtered by the exact box predicate.  The
 exact overlap area of each surviving pair is computed in an Arrow-batched
 pandas UDF: each ring is fanned into signed triangles and the area is the
 signed sum of convex triangle-triangle clips, exact for non-convex polygons
-and holes.
+and holes; the outer ring counts positive and holes negative, whatever their winding.
 """
 from __future__ import annotations
 
@@ -20,70 +20,81 @@ from pyspark.sql.types import DoubleType
 from .rings import bbox, grid_cells, polygon_area
 
 
+def _cross(u, v):
+    return u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+
+
 def _fan(rings):
-    """Signed triangles (sign, 3x2 array in CCW order) of all rings of a polygon."""
-    out = []
-    for ring in rings:
+    """(signs, counter-clockwise triangles) of a polygon: outer ring positive, holes negative, whatever their winding."""
+    signs, tris = [np.empty(0)], [np.empty((0, 3, 2))]
+    for k, ring in enumerate(rings):
         pts = np.array([[p["x"], p["y"]] for p in ring], dtype=float)
         if len(pts) > 1 and np.allclose(pts[0], pts[-1]):
             pts = pts[:-1]
-        for i in range(1, len(pts) - 1):
-            tri = np.stack([pts[0], pts[i], pts[i + 1]])
-            a = _cross(tri[1] - tri[0], tri[2] - tri[0])
-            if a == 0:
-                continue
-            out.append((1.0 if a > 0 else -1.0, tri if a > 0 else tri[::-1]))
+        if len(pts) < 3:
+            continue
+        tri = np.stack([np.broadcast_to(pts[0], (len(pts) - 2, 2)), pts[1:-1], pts[2:]], axis=1)
+        a = _cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])
+        tri = np.where((a < 0)[:, None, None], tri[:, ::-1], tri)
+        s = np.sign(a) * np.sign(a.sum()) * (1.0 if k == 0 else -1.0)
+        signs.append(s[a != 0])
+        tris.append(tri[a != 0])
+    return np.concatenate(signs), np.concatenate(tris)
+
+
+def _clip_areas(subject, clip):
+    """Areas of the intersections of triangle pairs (n, 3, 2), all half-planes clipped for the whole batch at once."""
+    v, n = subject, np.full(len(subject), 3)
+    for k in range(3):
+        a, edge = clip[:, k, None], (clip[:, (k + 1) % 3] - clip[:, k])[:, None]
+        at = np.arange(v.shape[1])
+        valid = at < n[:, None]
+        nxt = np.where(at + 1 < n[:, None], at + 1, 0)
+        d = _cross(edge, v - a)
+        dn, q = np.take_along_axis(d, nxt, 1), np.take_along_axis(v, nxt[..., None], 1)
+        inside = (d >= 0) & valid
+        crosses = ((d >= 0) != (dn >= 0)) & valid
+        t = np.divide(d, d - dn, out=np.zeros_like(d), where=crosses)
+        slots = np.stack([v, v + t[..., None] * (q - v)], axis=2).reshape(len(v), -1, 2)
+        used = np.stack([inside, crosses], axis=2).reshape(len(v), -1)
+        order = np.argsort(~used, axis=1, kind="stable")[:, :v.shape[1] + 1]  # a half-plane adds one corner at most
+        v, n = np.take_along_axis(slots, order[..., None], 1), used.sum(axis=1)
+    at = np.arange(v.shape[1])
+    nxt = np.where(at + 1 < n[:, None], at + 1, 0)
+    return 0.5 * np.where(at < n[:, None], _cross(v, np.take_along_axis(v, nxt[..., None], 1)), 0.0).sum(axis=1)
+
+
+def _overlap_areas(left, right, limit: int = 100_000):
+    """Overlap area per row of two lists of ring-array polygons."""
+    out = np.zeros(len(left))
+    held, n = [], 0
+
+    def flush():
+        row, sign, s, c = (np.concatenate(x) for x in zip(*held))
+        np.add.at(out, row, sign * _clip_areas(s, c))
+    for r, (a, b) in enumerate(zip(left, right)):
+        (sa, ta), (sb, tb) = _fan(a), _fan(b)
+        i, j = np.divmod(np.arange(len(sa) * len(sb)), max(len(sb), 1))
+        for k in range(0, len(i), limit):
+            x, y = i[k:k + limit], j[k:k + limit]
+            held.append((np.full(len(x), r), sa[x] * sb[y], ta[x], tb[y]))
+            n += len(x)
+            if n >= limit:
+                flush()
+                held, n = [], 0
+    if held:
+        flush()
     return out
 
 
-def _cross(u, v):
-    return u[0] * v[1] - u[1] * v[0]
-
-
-def _clip(subject, clip):
-    """Sutherland-Hodgman: convex CCW subject clipped by convex CCW clip polygon."""
-    out = list(subject)
-    n = len(clip)
-    for k in range(n):
-        a, b = clip[k], clip[(k + 1) % n]
-        inp, out = out, []
-        if not inp:
-            break
-        for i in range(len(inp)):
-            p, q = inp[i], inp[(i + 1) % len(inp)]
-            pin = _cross(b - a, p - a) >= 0
-            qin = _cross(b - a, q - a) >= 0
-            if pin:
-                out.append(p)
-            if pin != qin:
-                d = q - p
-                den = _cross(b - a, d)
-                if den != 0:
-                    s = _cross(b - a, a - p) / den
-                    out.append(p + s * d)
-    return out
-
-
-def _area(poly):
-    if len(poly) < 3:
-        return 0.0
-    p = np.array(poly)
-    return 0.5 * float(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]))
-
-
 def overlap_area_py(rings_a, rings_b) -> float:
-    total = 0.0
-    tb = _fan(rings_b)
-    for sa, ta in _fan(rings_a):
-        for sb, tbb in tb:
-            total += sa * sb * _area(_clip(list(ta), tbb))
-    return total
+    return float(_overlap_areas([rings_a], [rings_b])[0])
 
 
 @pandas_udf(DoubleType())
 def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact overlap area of two ring-array polygons, per row."""
-    return pd.Series([overlap_area_py(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Exact overlap area of two ring-array polygons; triangle pairs of many rows are clipped together."""
+    return pd.Series(_overlap_areas(a, b), dtype="float64")
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, cell: float) -> DataFrame:

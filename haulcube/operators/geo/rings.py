@@ -20,10 +20,15 @@ def ring_signed_area(r: Column) -> Column:
 def polygon_area(rings: Column) -> Column:
     """G1: |outer| - sum |holes| (independent of ring orientation)."""
     outer = F.abs(ring_signed_area(rings[0]))
-    holes = F.aggregate(F.slice(rings, 2, 1 << 20), F.lit(0.0), lambda a, r: a + F.abs(ring_signed_area(r)))
+    holes = F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0), lambda a, r: a + F.abs(ring_signed_area(r)))
     return outer - holes
 
 
+def multi_area(parts: Column) -> Column:
+    """Area of a multi-part polygon: ARRAY of disjoint ring-array polygons."""
+    return F.aggregate(parts, F.lit(0.0), lambda a, p: a + polygon_area(p))
+
+
 def n_vertices(rings: Column) -> Column:
     return F.aggregate(rings, F.lit(0), lambda a, r: a + F.size(r))
 

@@ -7,7 +7,7 @@ from ..operators.geo import contiguity as C
 from ..operators.geo.dissolve import dissolve
 from ..operators.geo.overlay import allocate_population, overlay
 from ..operators.geo.project import sql_to_state_plane, to_lon_lat, to_state_plane
-from ..operators.geo.rings import bbox, grid_cells, n_vertices, polygon_area
+from ..operators.geo.rings import bbox, grid_cells, multi_area, n_vertices, polygon_area
 from ..sources.geo_fixtures import TRACTS_SQL, section_layer, sections_sql, tract_layer
 from ..sources.tables import table
 from .base import CLEAN_CTE, SCUBE_ONLY, section_cube, sql
@@ -28,7 +28,7 @@ def lshapes(spark, sf):
         return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     ring = F.array(pt(x0, y0), pt(x0 + w, y0), pt(x0 + w, y0 + 1), pt(x0 + 1, y0 + 1), pt(x0 + 1, y0 + h), pt(x0, y0 + h), pt(x0, y0))
     return c.select(F.concat(F.lit("L"), j.cast("string")).alias("GEOID"), (j + 100).cast("double").alias("population"),
-                    F.array(ring).alias("rings"))
+                    F.array(F.when(j % 2 == 1, F.reverse(ring)).otherwise(ring)).alias("rings"))
 
 
 LSHAPES_SQL = """lsh AS (SELECT 'L' || CAST(c_custkey AS VARCHAR) AS GEOID,
@@ -113,11 +113,10 @@ ALLOC_SQL = (f"alloc AS (SELECT s.Section_Code, CAST(round_even(sum(t.population
              f"FROM sq s JOIN tracts t ON {OV} > 1e-12 GROUP BY 1)")
 
 
-@query("a31_population_allocation", sql(sections_sql(), SQ, TRACTS_SQL, ALLOC_SQL, select="SELECT * FROM alloc"))
+@query("a31_population_allocation", sql(sections_sql(), SQ, TRACTS_SQL, ALLOC_SQL, select=
+    "SELECT s.Section_Code, coalesce(a.population, 0) AS population FROM sections s LEFT JOIN alloc a USING (Section_Code)"))
 def a31(spark, sf):
-    a = allocate_population(section_layer(spark, sf), tract_layer(spark, sf))
-    o = overlay(section_layer(spark, sf), tract_layer(spark, sf), "Section_Code", "GEOID", 10.0).select("Section_Code").distinct()
-    return a.join(o, "Section_Code", "left_semi")
+    return allocate_population(section_layer(spark, sf), tract_layer(spark, sf))
 
 
 @query("j3_left_join_fill", sql(sections_sql(), SQ, TRACTS_SQL, ALLOC_SQL, select=
@@ -189,10 +188,9 @@ bnd AS (SELECT district, sum(sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay))
 def g6(spark, sf):
     sec = section_layer(spark, sf).withColumn("District_Code", F.left(F.col("Section_Code"), F.lit(4)))
     d = dissolve(sec, "District_Code", attrs=["population"], order="Section_Code")
-    stats = sec.groupBy("District_Code").agg(F.count(F.lit(1)).alias("n_members"),
-                                             F.sum(polygon_area(F.col("rings"))).alias("area"))
+    stats = sec.groupBy("District_Code").agg(F.count(F.lit(1)).alias("n_members"))
     seg = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0),
                                 lambda a, i: a + F.sqrt((r[i + 1]["x"] - r[i]["x"]) ** 2 + (r[i + 1]["y"] - r[i]["y"]) ** 2))
-    length = F.aggregate("rings", F.lit(0.0), lambda a, r: a + seg(r))
+    length = F.aggregate(F.flatten("parts"), F.lit(0.0), lambda a, r: a + seg(r))
     return d.join(stats, "District_Code").select("District_Code", "population", "n_members",
-                                                 F.round(length, 6).alias("boundary_length"), "area")
+                                                 F.round(length, 6).alias("boundary_length"), multi_area(F.col("parts")).alias("area"))

@@ -39,6 +39,28 @@ def write_dirty_csv(spark, sf):
     return path
 
 
+#: File order of the headed raw files: another column first, the ten in reverse order.
+HEADED = ["Site_Note", *reversed(RAW_COLUMNS)]
+
+
+def write_headed_csv(spark, sf, files: int = 4):
+    """The same dirty rows in files with a header line, an extra column and another column order."""
+    raw = loads(spark, sf)
+    rc = F.col("Route_Code").cast("long")
+    f = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RAW_COLUMNS}
+    f["Tons_Collected"] = F.when((rc % 211 == 0) | (rc % 223 == 0), F.lit("abc")).otherwise(f["Tons_Collected"])
+    f["Net_Weight"] = F.when((rc % 211 != 0) & (rc % 223 == 0), F.lit("")).otherwise(f["Net_Weight"])
+    f["Site_Note"] = F.lit("x")
+    line = F.concat_ws(",", *[f[c] for c in HEADED])
+    line = F.when((rc % 211 != 0) & (rc % 223 != 0) & (rc % 227 == 0), F.concat(line, F.lit(",EXTRA"))).otherwise(line)
+    rows = raw.select(F.pmod(F.xxhash64("Route_Code"), F.lit(files)).alias("file"), F.lit(1).alias("no"), line.alias("value"))
+    head = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("no"), F.lit(",".join(HEADED)).alias("value"))
+    path = scratch_dir(spark, "raw-csv-headed")
+    (rows.unionByName(head).repartition("file").sortWithinPartitions("file", "no").drop("no")
+     .write.mode("overwrite").partitionBy("file").text(path))
+    return path
+
+
 RC = "CAST(Route_Code AS BIGINT)"
 DIRTY_SQL = f"""dirty AS (SELECT Truck_ID, Collection_Date, Shift_ID, District_Code, Section_Code, Route_Code, Material_Type_Code,
   CASE WHEN {RC} % 211 = 0 OR {RC} % 223 = 0 THEN NULL ELSE Tons_Collected END AS Tons_Collected,
@@ -49,12 +71,17 @@ COLS = ", ".join(RAW_COLUMNS)
 
 @query("s1_csv_scan", sql(LOADS_SQL, DIRTY_SQL, select=f"SELECT {COLS} FROM dirty"))
 def s1(spark, sf):
-    return io.read_raw_csv(spark, write_dirty_csv(spark, sf))
+    return io.read_raw_csv(spark, write_headed_csv(spark, sf), header=True)
 
 
 @query("s1_csv_scan_strict", sql(LOADS_SQL, DIRTY_SQL, select=f"SELECT {COLS} FROM dirty WHERE NOT overlong"))
 def s1s(spark, sf):
-    return io.read_raw_csv(spark, write_dirty_csv(spark, sf), strict=True)
+    return io.read_raw_csv(spark, write_headed_csv(spark, sf), header=True, strict=True)
+
+
+@query("s1_csv_scan_by_position", sql(LOADS_SQL, DIRTY_SQL, select=f"SELECT {COLS} FROM dirty"))
+def s1p(spark, sf):
+    return io.read_raw_csv(spark, write_dirty_csv(spark, sf))
 
 
 @query("s1_stream_ingest", sql(LOADS_SQL, DIRTY_SQL, clean_sql("dirty"), select=

@@ -2,7 +2,8 @@
 
 Sections: one square per distinct normalised section code of the suppliers
 (a gap-free 10-wide grid with exact shared vertices); population = sum of
-the suppliers' account balances.  Tracts: one rectangle per customer.
+the suppliers' account balances.  Tracts: one rectangle per customer,
+every other one clockwise.
 Rings are ARRAY<ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>, outer ring first, closed.
 """
 from __future__ import annotations
@@ -48,7 +49,8 @@ def tract_layer(spark: SparkSession, sf: str) -> DataFrame:
     x0, y0 = (j % 20) * 5 + 1, F.floor(j / 20) * 5 + 2
     return c.select(F.lpad(j.cast("string"), 11, "0").alias("GEOID"),
                     (j + 100).cast("double").alias("population"),
-                    rect_ring(x0, y0, j % 3 + 3, j % 4 + 3).alias("rings"))
+                    F.transform(rect_ring(x0, y0, j % 3 + 3, j % 4 + 3),
+                                lambda r: F.when(j % 2 == 1, F.reverse(r)).otherwise(r)).alias("rings"))
 
 
 SECTIONS_SQL = f"""sup_sec AS (

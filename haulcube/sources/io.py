@@ -21,13 +21,20 @@ RAW_SCHEMA_SENTINEL = T.StructType(RAW_SCHEMA.fields + [T.StructField(SENTINEL,
 def read_raw_csv(spark: SparkSession, path: str, header: bool = False, strict: bool = False) -> DataFrame:
     """S1 (+N1-N3): all fields as strings, PERMISSIVE; then lenient numeric casts.
 
-    Short lines are null-padded, over-long lines keep their first 10 fields; with
+    With ``header`` the ten columns are taken by their names in the file header, whatever
+    their order and whatever else the file holds (an absent one is null); without, by position.
+    Short lines are null-padded, over-long lines keep their first fields; with
     ``strict`` the over-long ones are dropped (a trailing sentinel column catches them).
     """
-    df = (spark.read.schema(RAW_SCHEMA_SENTINEL).option("header", header).option("mode", "PERMISSIVE")
+    schema = RAW_SCHEMA_SENTINEL
+    if header:
+        names = spark.read.option("header", True).csv(path).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField(SENTINEL, T.StringType())])
+    df = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .csv(path))
-    return typed_raw(df, strict)
+    absent = [c for c in RAW_COLUMNS if c not in df.columns]
+    return typed_raw(df.withColumns({c: F.lit(None).cast("string") for c in absent}) if absent else df, strict)
 
 
 def typed_raw(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -93,12 +100,16 @@ def write_geojson(df: DataFrame, path: str, id_col: str, props, rings: str = "ri
     return path
 
 
-def read_geojson(spark: SparkSession, path: str, id_col: str, props: dict) -> DataFrame:
-    """FeatureCollection files -> (id, props..., rings ARRAY<ARRAY<STRUCT<x,y>>>)."""
+def read_geojson(spark: SparkSession, path: str, id_col: str, props: dict, multi_line: bool = False) -> DataFrame:
+    """FeatureCollections -> (id, props..., rings ARRAY<ARRAY<STRUCT<x,y>>>).
+
+    One collection per line, any number of lines per file; ``multi_line`` reads files that hold a
+    single collection over many lines (nothing after it would be read).
+    """
     prop_schema = ", ".join([f"{id_col}: string"] + [f"{k}: {v}" for k, v in props.items()])
     schema = (f"type string, features array<struct<type: string, properties: struct<{prop_schema}>, "
               "geometry: struct<type: string, coordinates: array<array<array<double>>>>>>")
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     f = raw.select(F.explode("features").alias("f"))
     rings = F.transform(F.col("f.geometry.coordinates"),
                         lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))

@@ -3,9 +3,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from haulcube.operators.geo.dissolve import dissolve
 from haulcube.operators.geo.overlay import overlap_area_py
 from haulcube.operators.geo.project import to_lon_lat, to_state_plane
-from haulcube.operators.geo.rings import polygon_area
+from haulcube.operators.geo.rings import multi_area, polygon_area
 
 
 def rect(x0, y0, x1, y1):
@@ -33,6 +34,29 @@ def test_lshape_overlap_is_sum_of_parts():
     assert math.isclose(overlap_area_py(sq, L), want, abs_tol=1e-9)
 
 
+def test_overlap_ignores_winding():
+    flip = lambda rings: [r[::-1] for r in rings]
+    a, b = rect(0, 0, 10, 10), rect(5, 5, 15, 15)
+    holed = [rect(0, 0, 10, 10)[0], rect(2, 2, 4, 4)[0]]
+    for x in (a, flip(a)):
+        for y in (b, flip(b)):
+            assert math.isclose(overlap_area_py(x, y), 25.0, abs_tol=1e-9)
+        for h in (holed, [holed[0], holed[1][::-1]], flip(holed)):
+            assert math.isclose(overlap_area_py(x, h), 96.0, abs_tol=1e-9) and math.isclose(overlap_area_py(h, x), 96.0, abs_tol=1e-9)
+    assert math.isclose(overlap_area_py(flip(lshape(1, 2, 4, 5)), rect(0, 0, 3, 4)), 3.0, abs_tol=1e-9)
+
+
+def test_dissolve_multi_part_and_holes(spark):
+    flip = lambda rings: [r[::-1] for r in rings]
+    ring = [rect(x, y, x + 1, y + 1) for x in range(3) for y in range(3) if (x, y) != (1, 1)]  # a square with a hole
+    corner = [rect(0, 0, 1, 1), flip(rect(1, 1, 2, 2)), rect(5, 5, 6, 6)]  # two touching parts and one apart
+    rows = [("ring", str(i), flip(p) if i % 2 else p) for i, p in enumerate(ring)] + [("corner", str(i), p) for i, p in enumerate(corner)]
+    df = spark.createDataFrame(rows, "k string, m string, rings array<array<struct<x:double,y:double>>>")
+    got = {r.k: r for r in dissolve(df, "k").select("*", multi_area(F.col("parts")).alias("area")).collect()}
+    assert got["ring"].area == 8 and [len(p) for p in got["ring"].parts] == [2]
+    assert got["corner"].area == 3 and [len(p) for p in got["corner"].parts] == [1, 1, 1]
+
+
 def test_area_with_hole(spark):
     ring = rect(0, 0, 10, 10)[0]
     hole = rect(2, 2, 4, 4)[0][::-1]
