@@ -43,16 +43,15 @@ def auto_eps(points: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
     return knee(kd, "kdist")
 
 
-def dbscan(points: DataFrame, id_col: str, vec: str, eps: float, min_samples: int = 3,
-           max_rounds: int = 1000) -> DataFrame:
-    """(id, cluster) with -1 for noise."""
+def dbscan(points: DataFrame, id_col: str, vec: str, eps: float, min_samples: int = 3) -> DataFrame:
+    """(id, cluster) with -1 for noise.  Labels only fall, so the propagation ends by itself."""
     edges = radius_edges(points, id_col, vec, eps).checkpoint(eager=True)
     deg = edges.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
     core = deg.filter(F.col("deg") >= min_samples).select(F.col("i").alias("u"))
     cc = edges.join(core.withColumnRenamed("u", "i"), "i").join(core.withColumnRenamed("u", "j"), "j") \
         .filter(F.col("i") != F.col("j")).select("i", "j").checkpoint(eager=True)
     lab = core.select("u", F.col("u").alias("lab")).checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:
         nb = cc.join(lab.select(F.col("u").alias("j"), F.col("lab").alias("lj")), "j") \
             .groupBy("i").agg(F.min("lj").alias("m"))
         new = lab.join(nb.withColumnRenamed("i", "u"), "u", "left") \
@@ -62,8 +61,6 @@ def dbscan(points: DataFrame, id_col: str, vec: str, eps: float, min_samples: in
         lab = new.drop("_chg")
         if not changed:
             break
-    else:
-        raise RuntimeError("DBSCAN label propagation did not converge")
     comps = lab.select("lab").distinct()
     num = global_index(comps, ["lab"], "cluster")
     core_lab = lab.join(num, "lab").select("u", "cluster")

@@ -1,9 +1,8 @@
 """Forecast scoring.
 
-Metrics are two small aggregates: the per-model mean of y (a few rows,
-broadcast) and then one grouped pass for SSE/SST/MAE/MAPE.  No window over a
-model's rows, so a model with billions of predictions is still split over
-many tasks with partial aggregation.
+Metrics are one grouped pass with partial aggregation: SSE, MAE and MAPE as
+sums, SST as population variance times count.  No join and no window over a
+model's rows, so a model with billions of predictions is split over many tasks.
 """
 from __future__ import annotations
 
@@ -29,17 +28,11 @@ def metrics(pred: DataFrame, keys, y: str = "y_true", p: str = "y_pred", digits:
     """RMSE, MAE, MAPE (fraction, zeros excluded), R2 (null when SST = 0)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     v = valid_pairs(pred, y, p).select(*keys, F.col(y).alias("_y"), F.col(p).alias("_p"))
-    if keys:
-        # one mean per model/group: a few rows, bounded by the number of keys
-        mu = v.groupBy(*keys).agg(F.avg("_y").alias("_m"))
-        j = v.join(F.broadcast(mu), keys)
-    else:
-        j = v.withColumn("_m", v.select(F.avg("_y")).scalar())
     e = F.col("_y") - F.col("_p")
-    agg = j.groupBy(*keys).agg(
+    agg = v.groupBy(*keys).agg(
         F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         F.avg(F.when(F.col("_y") != 0, F.abs(e) / F.abs(F.col("_y")))).alias("mape"),
-        F.sum(e * e).alias("_sse"), F.sum((F.col("_y") - F.col("_m")) ** 2).alias("_sst"))
+        F.sum(e * e).alias("_sse"), (F.var_pop("_y") * F.count("_y")).alias("_sst"))
     r2 = F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))
     out = agg.select(*keys, "rmse", "mae", "mape", r2.alias("r2"))
     if digits is not None:

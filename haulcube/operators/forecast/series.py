@@ -29,12 +29,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- seasonal AR
-def _ar_fit(z: np.ndarray, p: int):
-    n = len(z) - p
+def _ar_fit(z: np.ndarray, p: int, start: int):
+    """Least squares on the targets z[start:]; (coefficients, AIC)."""
+    n = len(z) - start
     if n <= p + 2:
         return None
-    X = np.column_stack([np.ones(n)] + [z[p - i:len(z) - i] for i in range(1, p + 1)])
-    yv = z[p:]
+    X = np.column_stack([np.ones(n)] + [z[start - i:len(z) - i] for i in range(1, p + 1)])
+    yv = z[start:]
     coef, *_ = np.linalg.lstsq(X, yv, rcond=None)
     rss = float(((yv - X @ coef) ** 2).sum())
     s2 = max(rss / n, 1e-12)
@@ -42,14 +43,18 @@ def _ar_fit(z: np.ndarray, p: int):
 
 
 def seasonal_ar_forecast(y: np.ndarray, h: int, max_p: int = 3, season: int = SEASON) -> np.ndarray:
-    """Seasonal difference D in {0, 1} and AR order p <= max_p by AIC; recursive forecast."""
+    """Seasonal difference D in {0, 1} and AR order p <= max_p by AIC; recursive forecast.
+
+    All candidates are scored on the same weeks (those the largest one can predict), so their AIC
+    values are comparable.
+    """
     best = None
-    for D in (0, 1):
-        if D and len(y) <= season + max_p + 2:
-            continue
+    seasonal = len(y) > season + 2 * max_p + 2
+    first = season + max_p if seasonal else max_p
+    for D in (0, 1) if seasonal else (0,):
         z = y[season:] - y[:-season] if D else y
         for p in range(0, max_p + 1):
-            fit = _ar_fit(z, p)
+            fit = _ar_fit(z, p, first - season * D)
             if fit is not None and (best is None or fit[1] < best[0]):
                 best = (fit[1], D, p, fit[0])
     if best is None:

@@ -327,7 +327,7 @@ SEQ_SQL = """seq AS (SELECT District_Code, week_start, tons_refuse AS target,
   row_number() OVER (PARTITION BY District_Code ORDER BY week_start) AS rn,
   list([tons_refuse, tons_paper, tons_mgp]) OVER (PARTITION BY District_Code ORDER BY week_start ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING) AS win
   FROM cube),
-seqs AS (SELECT * FROM seq WHERE rn > 52)"""
+seqs AS (SELECT * FROM seq WHERE rn > 52 AND week_start <= (SELECT max(week_start) - 364 FROM cube))"""
 
 
 @query("a35_sequence_scaling", sql(DCUBE_CTE, SEQ_SQL, select="""SELECT
@@ -337,7 +337,9 @@ seqs AS (SELECT * FROM seq WHERE rn > 52)"""
   round((SELECT avg(target) FROM seqs), 6) AS y_mean, round((SELECT stddev_pop(target) FROM seqs) + 1e-8, 6) AS y_std
 FROM (SELECT unnest(win) AS c FROM seqs)"""))
 def a35(spark, sf):
-    s = FT.seq_scaling(FT.sequences(district_cube(spark, sf)))
+    cube = district_cube(spark, sf)
+    train = FT.sequences(cube).filter(F.col("week_start") <= FT.cutoff_of(cube))     # statistics of the training weeks only
+    s = FT.seq_scaling(train)
     return s.select(*[R(c) for c in s.columns])
 
 
@@ -515,10 +517,11 @@ def t8(spark, sf):
 
 
 @query("t9_ensemble_scores", sql(PRED, metrics_sql("preds", "model", 4), select=
-    "SELECT *, model = (SELECT arg_min(model, [rmse, 0]) FROM met) AS is_best FROM met"))
+    "SELECT *, model = (SELECT model FROM met ORDER BY rmse, list_position(['NAIVE52', 'MA4'], model) LIMIT 1) AS is_best FROM met"))
 def t9(spark, sf):
     t = comparison_table(preds(spark, sf))
-    best = best_model(t).scalar()
+    order = spark.createDataFrame([("NAIVE52", 0), ("MA4", 1)], "model string, model_order int")   # ties: the earlier model
+    best = best_model(t, order=order).scalar()
     return t.withColumn("is_best", F.col("model") == best)
 
 
@@ -544,13 +547,13 @@ def u2(spark, sf):
 
 
 @query("f10_method_labels", sql(DCUBE_CTE, assign_sql(), select=
-    "SELECT DISTINCT m AS method, replace(regexp_replace(m, '^cluster_', ''), '_', ' ') AS raw_label FROM (SELECT unnest(['cluster_fixed', 'cluster_by_borough']) AS m FROM assign)"))
+    "SELECT DISTINCT m AS method, array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(replace(regexp_replace(m, '^cluster_', ''), '_', ' '), ' ')], ' ') AS label FROM (SELECT unnest(['cluster_fixed', 'cluster_by_borough']) AS m FROM assign)"))
 def f10(spark, sf):
     from .q_basic import u3
     w = u3(spark, sf).withColumnRenamed("cluster_borough", "cluster_by_borough")
     cols = [c for c in w.columns if c.startswith("cluster_")]
     long = w.unpivot(G, cols, "method", "cluster")
-    return long.select("method", F.replace(F.regexp_replace("method", "^cluster_", ""), F.lit("_"), F.lit(" ")).alias("raw_label")).distinct()
+    return long.select("method", F.initcap(F.replace(F.regexp_replace("method", "^cluster_", ""), F.lit("_"), F.lit(" "))).alias("label")).distinct()
 
 
 @query("f12_per_capita_rate", sql(CLEAN_CTE, SCUBE_ONLY, __import__("haulcube.sources.geo_fixtures", fromlist=["x"]).sections_sql(), select=

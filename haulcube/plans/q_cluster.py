@@ -25,8 +25,8 @@ def emb(spark, sf, noise=False):
 
 PTS = "pts AS (SELECT vec_id AS id, label AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 PTS_NOISE = "pts AS (SELECT vec_id AS id, CASE WHEN label = 0 THEN -1 ELSE label END AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-PAIRS = "pd AS (SELECT a.id AS i, b.id AS j, a.k AS ki, b.k AS kj, list_distance(a.v, b.v) AS d FROM pts a, pts b)"
-KNN = ("knn AS (SELECT i, d AS kdist FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM pd) WHERE rn = 5)")
+PAIRS = "pd AS MATERIALIZED (SELECT a.id AS i, b.id AS j, a.k AS ki, b.k AS kj, list_distance(a.v, b.v) AS d FROM pts a, pts b)"
+KNN = ("knn AS MATERIALIZED (SELECT i, d AS kdist FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM pd) WHERE rn = 5)")
 KNEE = """ks AS (SELECT kdist, row_number() OVER (ORDER BY kdist) - 1 AS idx FROM knn),
 dd AS (SELECT a.idx, c.kdist - 2 * b.kdist + a.kdist AS d2 FROM ks a JOIN ks b ON b.idx = a.idx + 1 JOIN ks c ON c.idx = a.idx + 2),
 knee AS (SELECT arg_min(idx, [-d2, idx]) + 1 AS knee_idx FROM dd),
@@ -42,7 +42,7 @@ def m1(spark, sf):
 
 @query("m2_multistream_features")
 def m2(spark, sf):
-    m = multistream_matrix(district_cube(spark, sf), G, coverage=0.5)
+    m = multistream_matrix(district_cube(spark, sf), G)
     return m.select(G, F.size("features").alias("n_features"),
                     F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"))
 
@@ -59,7 +59,7 @@ def m3(spark, sf):
 @query("m4_kmeans_best_of_n")
 def m4(spark, sf):
     from ..operators.cluster.kmeans import kmeans_best_of
-    lab, cost, _ = kmeans_best_of(emb(spark, sf), "v", 10, n_init=3, seed=42, max_iter=50)
+    lab, cost, _ = kmeans_best_of(emb(spark, sf), "v", 10, n_init=10, seed=42)
     return lab.select("vec_id", "cluster", F.lit(cost).alias("inertia"))
 
 
@@ -208,19 +208,11 @@ def m13(spark, sf):
     return out
 
 
-_LEVEL_RUNS: dict = {}
-
-
 def _district_level(spark, sf):
-    """One run of every method per (application, tables); both outputs are checkpointed,
-    so the assignment and metric queries share it instead of clustering twice."""
+    """Every method on the district level; (assignments, metrics)."""
     from ..operators.cluster.level import cluster_level
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LEVEL_RUNS:
-        cube = district_cube(spark, sf).select(G, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
-        a, m = cluster_level(cube, G, "district", value="tons_total", k_values=range(2, 5), n_init=2, dtw_iter=3)
-        _LEVEL_RUNS[key] = (a.checkpoint(eager=True), m.checkpoint(eager=True))
-    return _LEVEL_RUNS[key]
+    cube = district_cube(spark, sf).select(G, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
+    return cluster_level(cube, G, "district", value="tons_total", k_values=range(2, 5), n_init=2, dtw_iter=3)
 
 
 @query("m12_cluster_level")

@@ -22,13 +22,13 @@ def _cube(spark, sf):
 @query("t3_seasonal_ar_per_group")
 def t3(spark, sf):
     tr, te = temporal_split(_cube(spark, sf))
-    return per_group_forecast(tr, te, G, "tons_refuse", "sar", "SARIMA")
+    return per_group_forecast(tr, te, G, "tons_refuse", "sar", "Seasonal AR")
 
 
 @query("t4_trend_fourier_per_group")
 def t4(spark, sf):
     tr, te = temporal_split(_cube(spark, sf))
-    return per_group_forecast(tr, te, G, "tons_refuse", "trend", "Prophet")
+    return per_group_forecast(tr, te, G, "tons_refuse", "trend", "Trend + Fourier")
 
 
 @query("t5_gradient_boosting")
@@ -52,8 +52,8 @@ def t7(spark, sf):
 def t9all(spark, sf):
     cube = _cube(spark, sf)
     tr, te = temporal_split(cube)
-    parts = [per_group_forecast(tr, te, G, "tons_refuse", "sar", "SARIMA"),
-             per_group_forecast(tr, te, G, "tons_refuse", "trend", "Prophet"),
+    parts = [per_group_forecast(tr, te, G, "tons_refuse", "sar", "Seasonal AR"),
+             per_group_forecast(tr, te, G, "tons_refuse", "trend", "Trend + Fourier"),
              gradient_boosting(cube, trees=TREES_IN_CHECK)[0], sequence_regressor(cube), fixed_predictions(cube)]
     allp = parts[0]
     for p in parts[1:]:

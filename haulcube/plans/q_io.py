@@ -203,15 +203,15 @@ def s13(spark, sf):
 
 @query("s14_model_persistence")
 def s14(spark, sf):
-    from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+    from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
     from ..operators.forecast.models import assemble
     from ..operators.features import gb_features, feature_columns
     f = gb_features(district_cube(spark, sf)).dropna("any")
     data = assemble(f, feature_columns(f), "tons_refuse")
-    model = LinearRegression(regParam=0.1).fit(data)
-    path = scratch_dir(spark, "model-lr")
+    model = GBTRegressor(maxIter=10, maxDepth=4, seed=42).fit(data)
+    path = scratch_dir(spark, "model-gbt")
     model.write().overwrite().save(path)
-    return LinearRegressionModel.load(path).transform(data).select("District_Code", "week_start", "prediction")
+    return GBTRegressionModel.load(path).transform(data).select("District_Code", "week_start", "prediction")
 
 
 @query("s15_polygon_layer_roundtrip", sql(sections_sql(), select=
