@@ -11,26 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nullsafe import safe_div
+from .ordering import quantiles, quantiles_of, value_ranks
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 def describe(df: DataFrame, cols, group: str | None = None) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles, max (long form per column)."""
-    parts = []
-    for c in cols:
-        q = F.percentile(F.col(c), list(QUARTILES))
-        aggs = [F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
-                q.alias("_q"), F.max(F.col(c).cast("double")).alias("max")]
-        g = df.groupBy(group) if group else df.groupBy()
-        parts.append(g.agg(*aggs))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*([group] if group else []), "column", "count", "mean", "std", "min",
-                      F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                      F.col("_q")[2].alias("q75"), "max")
+    """Count, mean, sample std, min, exact quartiles, max (long form per column with any value)."""
+    keys = ["column", *([group] if group else [])]
+    long = df.select(*([group] if group else []), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("_x")).select(
+        *([group] if group else []), "_x.column", "_x.v")
+    # the value counts are made in one scan; everything else is read off them
+    ranks = value_ranks(long, keys, "v")
+    n, v = F.col("n"), F.col("v")
+    s1, s2, m = F.sum(v * n), F.sum(v * v * n), F.sum(n)
+    base = ranks.groupBy(*keys).agg(
+        m.alias("count"), (s1 / m).alias("mean"),
+        F.when(m > 1, F.sqrt(F.greatest(s2 - s1 * s1 / m, F.lit(0.0)) / F.nullif(m - 1, F.lit(0)))).alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles_of(ranks, keys, "v", QUARTILES)
+    return base.join(q, keys).select(*([group] if group else []), "column", "count", "mean", "std", "min",
+                                     F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -81,8 +83,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, lo: Column | None = None,
 
 def box_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles (linear), IQR whiskers = most extreme values inside 1.5*IQR."""
-    q = df.groupBy(group).agg(F.percentile(value, list(QUARTILES)).alias("_q"))
-    q = q.select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantiles(df, group, value, QUARTILES).toDF(group, "q1", "median", "q3")
     j = df.select(group, value).join(q, group)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import week_start
 from ..functions.codes import MEASURES, STREAM_COLUMNS, STREAM_ORDER, borough_of, literal_map
+from ..operators.ordering import quantiles
 from ..operators import features as FT
 from ..operators import profile as PR
 from ..operators.cluster.features import feature_long, multistream_matrix
@@ -117,7 +118,7 @@ def a9(spark, sf):
 def a10(spark, sf):
     from ..functions.nullsafe import safe_div
     g = district_cube(spark, sf).groupBy(G).agg(safe_div(F.stddev_samp("tons_total"), F.avg("tons_total")).alias("cv"))
-    med = g.select(F.percentile("cv", 0.5)).scalar()
+    med = quantiles(g, [], "cv", [0.5]).scalar()
     return g.select(G, R("cv"), r6(med).alias("median_cv"))
 
 
@@ -213,7 +214,7 @@ def a20(spark, sf):
 @query("a20_histogram_clipped", sql(CLEAN_CTE, _hist_sql(True), select=HIST_SELECT))
 def a20c(spark, sf):
     c = clean_df(spark, sf)
-    q99 = c.select(F.percentile("Tons_Collected", 0.99)).scalar()
+    q99 = quantiles(c, [], "Tons_Collected", [0.99]).scalar()
     h = PR.histogram(c, "Tons_Collected", 50, hi=q99)
     return h.select("bin", R("bin_lo"), R("bin_hi"), "count")
 
@@ -237,9 +238,8 @@ def a21(spark, sf):
 @query("a22_quantiles", sql(CLEAN_CTE, select="SELECT round(quantile_cont(Tons_Collected, 0.5), 6) AS q50, "
                                             "round(quantile_cont(Tons_Collected, 0.95), 6) AS q95, round(quantile_cont(Tons_Collected, 0.99), 6) AS q99 FROM clean"))
 def a22(spark, sf):
-    q = F.percentile("Tons_Collected", [0.5, 0.95, 0.99])
-    d = clean_df(spark, sf).agg(q.alias("q"))
-    return d.select(*[r6(F.col("q")[i]).alias(n) for i, n in enumerate(("q50", "q95", "q99"))])
+    d = quantiles(clean_df(spark, sf), [], "Tons_Collected", [0.5, 0.95, 0.99])
+    return d.select(*[r6(F.col(f"q{i}")).alias(n) for i, n in enumerate(("q50", "q95", "q99"))])
 
 
 @query("a23_correlation_matrix", sql(DCUBE_CTE, select=" UNION ALL ".join(
@@ -575,7 +575,7 @@ def f13(spark, sf):
     sec = section_layer(spark, sf).select("Section_Code")
     avg = section_cube(spark, sf).groupBy("Section_Code").agg(F.avg("tons_total").alias("raw"))
     j = sec.join(avg, "Section_Code", "left")
-    q95 = j.select(F.percentile("raw", 0.95)).scalar()
+    q95 = quantiles(j, [], "raw", [0.95]).scalar()
     inten = F.when(q95 > 0, F.least(F.coalesce(F.col("raw"), F.lit(0.0)) / q95, F.lit(1.0))).otherwise(F.lit(0.0))
     g = F.lower(F.lpad(F.hex((255 * (1 - inten)).cast("int")), 2, "0"))
     return j.select("Section_Code", F.concat(F.lit("#ff"), g, g).alias("colour"))

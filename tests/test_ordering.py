@@ -18,3 +18,16 @@ def test_global_index_with_hot_value(spark):
     parts = (df.select("v", F.xxhash64("v", "id").alias("_tb")).repartitionByRange(8, "v", "_tb")
              .filter(F.col("v") == 7.0).select(F.spark_partition_id().alias("p")).distinct().count())
     assert parts > 1
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+    from haulcube.operators.ordering import quantiles
+    rnd = np.random.default_rng(3)
+    rows = [("hot", float(x)) for x in rnd.integers(0, 5, 500)] + [("wide", float(x)) for x in rnd.normal(size=301)] + [("one", 4.0), ("one", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: list(r)[1:] for r in quantiles(df, "k", "v", probs).collect()}
+    for k in ("hot", "wide", "one"):
+        assert np.allclose(got[k], np.quantile([v for g, v in rows if g == k and v is not None], probs))
+    assert np.allclose(list(quantiles(df, [], "v", probs).first()), np.quantile([v for _, v in rows if v is not None], probs))
