@@ -13,43 +13,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dtw(x: np.ndarray, y: np.ndarray, band: int | None = None):
-    """(distance, path) with squared-difference cost; distance = sqrt(min cumulative cost)."""
-    n, m = len(x), len(y)
-    D = np.full((n + 1, m + 1), np.inf)
-    D[0, 0] = 0.0
-    cost = (x[:, None] - y[None, :]) ** 2
-    for i in range(1, n + 1):
-        lo, hi = 1, m
+def dtw_tables(x: np.ndarray, centres: np.ndarray, band: int | None = None) -> np.ndarray:
+    """Cumulative squared-difference costs (k, n + 1, m + 1) of one series against k centres of one length.
+
+    Cells of an anti-diagonal don't depend on each other, so each is filled for all centres at once.
+    """
+    n, m = len(x), centres.shape[1]
+    D = np.full((len(centres), n + 1, m + 1), np.inf)
+    D[:, 0, 0] = 0.0
+    for s in range(2, n + m + 1):
+        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
+        j = s - i
         if band is not None:
-            lo, hi = max(1, i - band), min(m, i + band)
-        row_prev = D[i - 1]
-        c = cost[i - 1]
-        # D[i, j] = c[j-1] + min(D[i-1, j-1], D[i-1, j], D[i, j-1]); the last term is sequential
-        best_diag_up = np.minimum(row_prev[lo - 1:hi], row_prev[lo:hi + 1])
-        acc = D[i, lo - 1]
-        for j in range(lo, hi + 1):
-            v = c[j - 1] + min(best_diag_up[j - lo], acc)
-            D[i, j] = v
-            acc = v
-    i, j, path = n, m, [(n - 1, m - 1)]
+            near = np.abs(i - j) <= band
+            i, j = i[near], j[near]
+        D[:, i, j] = (x[i - 1] - centres[:, j - 1]) ** 2 + np.minimum(
+            np.minimum(D[:, i - 1, j - 1], D[:, i - 1, j]), D[:, i, j - 1])
+    return D
+
+
+def warping_path(D: np.ndarray):
+    """Optimal path (pairs of positions) of one cumulative cost table."""
+    i, j = D.shape[0] - 1, D.shape[1] - 1
+    path = [(i - 1, j - 1)]
     while i > 1 or j > 1:
         cands = [(D[i - 1, j - 1], i - 1, j - 1), (D[i - 1, j], i - 1, j), (D[i, j - 1], i, j - 1)]
         _, i, j = min(cands, key=lambda t: t[0])
         path.append((i - 1, j - 1))
-    return float(np.sqrt(D[n, m])), path[::-1]
+    return path[::-1]
+
+
+def dtw(x: np.ndarray, y: np.ndarray, band: int | None = None):
+    """(distance, path) with squared-difference cost; distance = sqrt(min cumulative cost)."""
+    D = dtw_tables(np.asarray(x, float), np.asarray(y, float)[None], band)[0]
+    return float(np.sqrt(D[-1, -1])), warping_path(D)
 
 
 def _assign_fn(centres: list[np.ndarray], id_col: str, vec: str):
+    stacked = np.stack([np.asarray(c, dtype=np.float64) for c in centres])
+
     def fn(batches):
         for pdf in batches:
             ids, best, dists, pos, vals = [], [], [], [], []
             out_rows = []
             for sid, x in zip(pdf[id_col], pdf[vec]):
                 x = np.asarray(x, dtype=np.float64)
-                res = [dtw(x, c) for c in centres]
-                k = int(np.argmin([r[0] for r in res]))
-                d, path = res[k]
+                tables = dtw_tables(x, stacked)
+                k = int(np.argmin(tables[:, -1, -1]))
+                d, path = float(np.sqrt(tables[k, -1, -1])), warping_path(tables[k])
                 out_rows.append((sid, k, d, [int(p[1]) for p in path], [float(x[p[0]]) for p in path]))
             if out_rows:
                 ids, best, dists, pos, vals = map(list, zip(*out_rows))
