@@ -1,4 +1,4 @@
-"""Every clustering method on one aggregation level -> (assignments, metrics).
+"""Every clustering method on one aggregation level -> (assignments, metrics, silhouette curves).
 
 A driver loop over methods and k values; each step is a distributed job on the
 (small, pinned) feature matrix.  Groups are keyed by a dense integer id for
@@ -19,20 +19,21 @@ from .ward import cut_tree, ward_linkage
 K_RANGE = range(2, 16)
 METRIC_SCHEMA = ("method string, silhouette double, calinski_harabasz double, davies_bouldin double, "
                  "n_clusters int, best_k int, eps double, n_noise long, level string")
+CURVE_SCHEMA = "method string, level string, k int, silhouette double, inertia double"
 
 
 def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_refuse", coverage: float = 0.8,
-                  k_values=K_RANGE, n_init: int = 10, dtw_iter: int = 30):
+                  k_values=K_RANGE, n_init: int = 10, dtw_iter: int = 30, dtw_final_iter: int = 50):
     spark = cube.sparkSession
     X = feature_matrix(cube, group, value, coverage)
     X = X.select(group, "features", F.dense_rank().over(Window.orderBy(group)).cast("long").alias("gid")).checkpoint(eager=True)
     n = X.count()
-    if n < 5:                                               # N13: always a pair of frames
+    if n < 5:                                               # N13: always the same frames
         return (spark.createDataFrame([], f"{group} string, cluster_kmeans int, cluster_dtw_kmeans int, "
                                           "cluster_hierarchical int, cluster_dbscan int"),
-                spark.createDataFrame([], METRIC_SCHEMA))
+                spark.createDataFrame([], METRIC_SCHEMA), spark.createDataFrame([], CURVE_SCHEMA))
     ks = [k for k in k_values if k <= n - 1]                # N14
-    labels, rows = {}, []
+    labels, rows, curve = {}, [], []
 
     def metric_row(method, pts, vec, lab, best_k=None, eps=None, n_noise=None):
         m = cluster_metrics(pts, "gid", vec, lab).first()
@@ -42,7 +43,9 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     # K-means on the PCA projection
     pca, _, _ = pca_95(X, "features")
     pca = pca.checkpoint(eager=True)
-    sil = silhouette_by_k(pca, "gid", "pca", ks, n_init=n_init).orderBy(F.desc("silhouette"), "k").first()
+    by_k = silhouette_by_k(pca, "gid", "pca", ks, n_init=n_init).orderBy(F.desc("silhouette"), "k").collect()   # one row per k
+    curve += [("KMeans", level, r["k"], r["silhouette"], r["inertia"]) for r in by_k]
+    sil = by_k[0]
     lab, _, _ = kmeans_best_of(pca, "pca", sil["k"], n_init=n_init)
     labels["cluster_kmeans"] = lab.select("gid", F.col("cluster").cast("int").alias("c"))
     metric_row("KMeans", lab, "pca", "cluster", best_k=sil["k"])
@@ -52,10 +55,13 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     for k in ks:
         a, _ = dtw_kmeans(X.select("gid", "features"), "gid", "features", k, max_iter=dtw_iter)
         s = silhouette(X.join(a.select("gid", "cluster"), "gid"), "gid", "features", "cluster").first()[0]
+        curve.append(("DTW-KMeans", level, k, s, None))
         if s is not None and (best is None or s > best[0]):
-            best = (s, k, a.checkpoint(eager=True))
-    labels["cluster_dtw_kmeans"] = best[2].select("gid", F.col("cluster").cast("int").alias("c"))
-    metric_row("DTW-KMeans", X.join(best[2].select("gid", "cluster"), "gid"), "features", "cluster", best_k=best[1])
+            best = (s, k)
+    final, _ = dtw_kmeans(X.select("gid", "features"), "gid", "features", best[1], max_iter=dtw_final_iter)   # refit at the best k
+    final = final.select("gid", "cluster").checkpoint(eager=True)
+    labels["cluster_dtw_kmeans"] = final.select("gid", F.col("cluster").cast("int").alias("c"))
+    metric_row("DTW-KMeans", X.join(final, "gid"), "features", "cluster", best_k=best[1])
 
     # Ward tree, cut by silhouette
     lk, leaves = ward_linkage(X.select("gid", "features"), "gid", "features")
@@ -63,6 +69,7 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     for k in ks:
         cut = cut_tree(lk, leaves, "gid", k).checkpoint(eager=True)
         s = silhouette(X.join(cut, "gid"), "gid", "features", "cluster").first()[0]
+        curve.append(("Hierarchical", level, k, s, None))
         if s is not None and (best is None or s > best[0]):
             best = (s, k, cut)
     labels["cluster_hierarchical"] = best[2].select("gid", F.col("cluster").cast("int").alias("c"))
@@ -78,4 +85,4 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     assign = X.select(group, "gid")
     for name, l in labels.items():
         assign = assign.join(l.withColumnRenamed("c", name), "gid", "left")
-    return assign.drop("gid"), spark.createDataFrame(rows, METRIC_SCHEMA)
+    return assign.drop("gid"), spark.createDataFrame(rows, METRIC_SCHEMA), spark.createDataFrame(curve, CURVE_SCHEMA)

@@ -76,7 +76,7 @@ def m5(spark, sf):
 def m6(spark, sf):
     from ..operators.cluster.dtw import dtw_kmeans
     f = feature_matrix(district_cube(spark, sf), G, "tons_total")
-    a, _ = dtw_kmeans(f, G, "features", k=3, max_iter=5)   # k is capped at the number of series
+    a, _ = dtw_kmeans(f, G, "features", k=3)   # k is capped at the number of series
     return a
 
 
@@ -208,18 +208,25 @@ def m13(spark, sf):
     return out
 
 
-def _district_level(spark, sf):
-    """Every method on the district level; (assignments, metrics)."""
+def _level(cube, group, level):
+    """Every method on one level; (assignments, metrics, curves)."""
     from ..operators.cluster.level import cluster_level
-    cube = district_cube(spark, sf).select(G, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
-    return cluster_level(cube, G, "district", value="tons_total", k_values=range(2, 5), n_init=2, dtw_iter=3)
+    cube = cube.select(group, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
+    return cluster_level(cube, group, level, value="tons_total", k_values=range(2, 5), n_init=2, dtw_iter=3)
 
 
 @query("m12_cluster_level")
 def m12(spark, sf):
-    return _district_level(spark, sf)[1]
+    """Metrics of both levels."""
+    return _level(district_cube(spark, sf), G, "district")[1].unionByName(_level(section_cube(spark, sf), "Section_Code", "section")[1])
 
 
 @query("m12_cluster_assignments")
 def m12a(spark, sf):
-    return _district_level(spark, sf)[0]
+    return _level(district_cube(spark, sf), G, "district")[0]
+
+
+@query("m12_silhouette_curves")
+def m12c(spark, sf):
+    """Silhouette by k of the searched methods, tagged with method and level."""
+    return _level(district_cube(spark, sf), G, "district")[2]
