@@ -83,17 +83,17 @@ def measure(docs: DataFrame, text_col: str = "text", source_col: str = "source",
 def host_verdicts(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     """One row per host: documents, rule failures, shrunk failure rate, `host_bad`."""
     fails = (F.col("base_failed") | F.col("soft_failed")).cast("long")
-    hosts = measured.groupBy("_host").agg(F.count("*").alias("n"), F.sum(fails).alias("x"))
+    hosts = written(measured.groupBy("_host").agg(F.count("*").alias("n"), F.sum(fails).alias("x")), "quality-hosts")
     x, n = F.col("x"), F.col("n")
     total = hosts.agg((F.sum(x) / F.sum(n)).alias("m"), (F.sum(x * x / n) / F.sum(n)).alias("sq"), (F.count("*") / F.sum(n)).alias("inv"))
     m = F.col("m")
     # between-host variance = spread of the rates (weighted by documents) less its sampling part;
     # strength a + b = m (1 - m) / variance - 1
     spread = F.greatest(F.col("sq") - m * m - m * (1 - m) * F.col("inv"), F.lit(1e-6))
-    prior = total.select("m", F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(1.0)).alias("k"))
-    both = hosts.join(F.broadcast(prior))  # one row by construction
-    shrunk = (F.col("x") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k"))
-    return both.select("_host", "n", "x", shrunk.alias("fail_rate"), (shrunk > host_rate).alias("host_bad"))
+    mean = total.select("m").scalar()
+    strength = total.select(F.greatest(m * (1 - m) / spread - 1, F.lit(1.0))).scalar()
+    shrunk = (x + mean * strength) / (n + strength)
+    return hosts.select("_host", "n", "x", shrunk.alias("fail_rate")).withColumn("host_bad", F.col("fail_rate") > host_rate)
 
 
 def _judged(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
