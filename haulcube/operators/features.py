@@ -106,20 +106,19 @@ def even_selection(df: DataFrame, key: str, n: int) -> DataFrame:
 def acf(df: DataFrame, group: str, time: str, y: str, max_lag: int = 104) -> DataFrame:
     """r_k = sum (x_t - m)(x_{t+k} - m) / sum (x_t - m)^2, biased, per series.
 
-    Indexed series joined to itself on (group, i + k) with k from a small
-    exploded lag list; the aggregate is per (group, k).
+    A series is bounded by the calendar, so each group is collected once (ordered by time) and the
+    lags are folded over the array: one shuffle, no self-join.
     """
-    w = Window.partitionBy(group).orderBy(time)
-    s = df.select(group, F.row_number().over(w).alias("i"), F.col(y).alias("x"),
-                  F.avg(y).over(Window.partitionBy(group)).alias("m"))
-    # the indexed series is read three times below: pin it (cube-sized, not fact-sized)
-    s = s.select(group, "i", (F.col("x") - F.col("m")).alias("d")).checkpoint(eager=True)
-    den = s.groupBy(group).agg(F.sum(F.col("d") * F.col("d")).alias("den"))
-    a = s.select(group, "i", "d", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("k"))
-    b = s.select(group, F.col("i").alias("j"), F.col("d").alias("d2"))
-    j = a.join(b, (a[group] == b[group]) & (b["j"] == a["i"] + a["k"])).select(a[group], "k", "d", "d2")
-    num = j.groupBy(group, "k").agg(F.sum(F.col("d") * F.col("d2")).alias("num"))
-    return num.join(den, group).select(group, "k", (F.col("num") / F.col("den")).alias("acf"))
+    s = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(y).cast("double").alias("x")))).alias("s"),
+                              F.avg(y).alias("m"))
+    s = s.select(group, F.transform("s", lambda p: F.coalesce(p["x"] - F.col("m"), F.lit(0.0))).alias("d"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    s = s.select(group, "d", F.size("d").alias("n"), dot(F.col("d"), F.col("d")).alias("den"))
+    s = s.select(group, "d", "n", "den", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag), F.col("n") - 1))).alias("k"))
+    num = dot(F.slice("d", 1, F.col("n") - F.col("k")), F.slice("d", F.col("k") + 1, F.col("n") - F.col("k")))
+    return s.select(group, "k", F.try_divide(num, F.col("den")).alias("acf"))
 
 
 def seq_scaling(seqs: DataFrame, cols=SEQ_COLS) -> DataFrame:
