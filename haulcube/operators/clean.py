@@ -14,6 +14,7 @@ from ..functions.codes import (DROP_SECTIONS, PLACEHOLDER_TRUCK, PRIMARY_STREAMS
                                borough_of, normalise_trimmed, stream_name)
 from ..functions.nullsafe import neq_keep_null, positive
 
+# The ten columns of the raw files.
 RAW_COLUMNS = ["Truck_ID", "Collection_Date", "Shift_ID", "District_Code", "Section_Code",
                "Route_Code", "Material_Type_Code", "Tons_Collected", "Net_Weight",
                "Dump_Time_Stamp"]

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Lags, rolling widths and sequence columns of the feature tables.
 LAGS = (1, 2, 4, 13, 26, 52)
 ROLLS = (4, 13, 52)
 SEQ_COLS = ("tons_refuse", "tons_paper", "tons_mgp")
@@ -73,6 +74,7 @@ def gb_features(cube: DataFrame, group: str = "District_Code", y: str = "tons_re
     return category_codes(df, group, code_col)
 
 
+# Names of the model features.
 FEATURE_PREFIXES = ("lag_", "roll_", "district_")
 CALENDAR_FEATURES = ["year", "month", "week_of_year", "month_sin", "month_cos", "week_sin", "week_cos"]
 
