@@ -30,38 +30,101 @@ from pyspark.sql import functions as F
 from .common import small_side, written
 
 LENGTH, WINDOW, MAX_QUEUES = 2048, 65536, 4096
-#: Distinct white-space separated chunks (and pieces) remembered by one Python worker, about 150 bytes each.
-REMEMBERED = 400_000
+#: Distinct chunks (and letter runs) remembered by one Python worker, about 200 bytes each.
+REMEMBERED = 600_000
+#: Marks that may follow a word as one run; not the apostrophe (contractions) nor the brackets of special tokens.
+MARKS = b"!#$%&()*+,-./:;=?@"
+#: Pre-tokenizer of word vocabularies: letter runs, single digits and other runs stand alone, white space is dropped.
+RUNS = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Encoder:
     """`tokenizers` ids of a text, as little-endian uint32 bytes.
 
-    The tokenizer drops white space, lower-cases and splits into letter runs, single digits and other runs
-    before it merges, so white-space chunks are independent; each distinct chunk is encoded once.
+    Where the tokenizer's own description says that white space is dropped and letter runs stand alone, white-space
+    chunks are independent and so are a word of letters and the marks after it: each distinct chunk or lower-cased
+    letter run is encoded once.  Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.separate = (str((first.get("pattern") or {}).get("Regex", "")).endswith(RUNS) and first.get("behavior") == "Removed"
+                         and steps == ["NFC", "Replace", "Lowercase"])
+        special = [t for t in spec.get("added_tokens", []) if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.cut, self.cut_id = (special[-1]["content"], special[-1]["id"]) if special else (None, None)
+        # ids that end a run (the suffix of the merge model): they part runs that were encoded together
+        suffix, vocab = spec["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes) -> bytes:
-        known = self.known
-        chunks = text.split()
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({c for c in chunks if c not in known})
-            for a in range(0, len(new), 4096):
-                part = new[a:a + 4096]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[c] for c in chunks])
+        self.runs: dict[bytes, bytes] = {}
+
+    def _encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of short texts, many to a call with a special token in between."""
+        out = []
+        plain = self.cut is None or any(b"<" in t for t in texts)
+        for a in range(0, len(texts), 512):
+            part = [t.decode() for t in texts[a:a + 512]]
+            if plain:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                continue
+            ids = np.array(self.tokenizer.encode(self.cut.join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.cut_id), len(ids))
+            held = ids.tobytes()
+            out += [held[4 * a:4 * b] for a, b in zip(np.append(0, ends[:-1] + 1).tolist(), ends.tolist())]
+        return out
+
+    def _encode_runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of single runs, many to a text; the run ends show in the ids."""
+        out = []
+        parts = [runs[a:a + 512] for a in range(0, len(runs), 512)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                out += self._encode_all(part)
+                continue
+            held, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [held[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, chunks: list[bytes]):
+        """Add the ids of new chunks to `known`; a word of (Latin) letters and the marks after it is put together from two runs."""
+        runs, whole, pairs = self.runs, [], []
+        for c in chunks:
+            w = c.rstrip(MARKS)
+            m = c[len(w):]
+            if w.isalpha():  # ASCII
+                pairs.append((c, w.lower(), m))
+            elif w and (t := w.decode()).isalpha() and max(t) < "\u0250":  # composed letters, so NFC leaves them
+                pairs.append((c, w, m))
+            else:
+                whole.append(c)
+        new = list({r for _, w, m in pairs for r in (w, m) if r and r not in runs})
+        runs.update(zip(new, self._encode_runs(new)))
+        self.known.update(zip(whole, self._encode_all(whole)))
+        runs[b""] = b""
+        for c, w, m in pairs:
+            self.known[c] = runs[w] + runs[m]
+
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        if not self.separate:
+            return [np.array(e.ids, "<u4").tobytes()
+                    for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        for held in (self.known, self.runs):
+            if len(held) > REMEMBERED:
+                held.clear()
+        split = [t.split() for t in texts]
+        self._learn(list(set().union(*split) - self.known.keys()))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
 
 def _encoder(path: str) -> Encoder:
@@ -88,11 +151,12 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
         encoder = _encoder(tokenizer_path)
         served: dict[str, int] = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                rows = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 256):
+                rows = batch.slice(a, 256)
                 place, n, ids = [], [], []
-                for queue, text in zip(rows.column(1).to_pylist(), rows.column(2)):
-                    x = (encoder.encode(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end
+                texts = encoder.encode_batch([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in rows.column(2)])
+                for queue, x in zip(rows.column(1).to_pylist(), texts):
+                    x += end
                     at = served.get(queue, 0)
                     served[queue] = at + len(x) // 4
                     place.append(at)

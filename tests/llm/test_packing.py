@@ -23,6 +23,16 @@ def test_special_strings_and_scripts(spark):
     verify(spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string"), length=16, window=32)
 
 
+def test_encoder_equals_the_library(small_docs):
+    from tokenizers import Tokenizer
+    tok, enc = Tokenizer.from_file(PATH), P.Encoder(PATH)
+    assert enc.separate
+    texts = [r.text for r in small_docs.collect()] + [
+        "<|endoftext|> a<|startoftext|>b", "don't can't I'll we've x's 'S 'T", "WORD. word, word! wor;d a:b ?a a? 12. 3a, É. é, e\u0301. \u00a0x\u2003y z",
+        "\u0130stanbul \u1e9e \u03a3. \u0391\u03a3, \ufb01. \U0001F600! \x00 \x1c\x1f a\x85b", "", " \n", "<", "a<b", "|>"]
+    assert [list(np.frombuffer(x, "<u4")) for x in enc.encode_batch([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_windows_hold_the_mixture(spark):
     rows = [(i, " ".join(f"word{i}" for _ in range(50 + i % 37)), ("big", "big", "big", "small", None)[i % 5]) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
