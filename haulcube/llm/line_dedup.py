@@ -32,7 +32,6 @@ from .common import as_long, id_key, in_batches, may_contain, membership_bits, m
 MIN_WORDS = 8
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
-SUB, WHOLE, CUT = 0, 1, 2
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -61,7 +60,7 @@ def _halves(words: list[bytes]) -> list[int]:
 
 
 def neighbourhood(words: list[bytes]):
-    """(keys, kinds): hashed deletion variants of one line with the place and length they stand for."""
+    """(keys, places): hashes of the line without its i-th word, i = 0.., and of the whole line (place -1)."""
     n = len(words)
     wh = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     up = np.full(n, _BASE, np.uint64)
@@ -70,14 +69,9 @@ def neighbourhood(words: list[bytes]):
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(wh * up, out=prefix[1:])
     without = prefix[:n] + (prefix[n] - prefix[1:]) * np.uint64(_INV)
-    place = np.arange(n, dtype=np.uint64)
-    size = np.uint64(n) << np.uint64(32)
-    sub = mix64(without ^ mix64(size + place + np.uint64(1)))
-    whole = mix64(prefix[n:] ^ mix64(np.array([n], np.uint64) << np.uint64(32)))
-    cut = np.unique(mix64(without ^ mix64(np.full(n, n - 1, np.uint64) << np.uint64(32))))
-    keys = np.concatenate((sub, whole, cut))
-    kinds = np.repeat(np.array([SUB, WHOLE, CUT], np.int8), [n, 1, len(cut)])
-    return keys, kinds
+    size = np.full(n + 1, n - 1, np.uint64)
+    size[n] = n
+    return mix64(np.append(without, prefix[n]) ^ mix64(size)), np.append(np.arange(n), -1)
 
 
 def _lines(value):
@@ -116,107 +110,120 @@ def _line_keys(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _shared_lines(docs: DataFrame, repeated: np.ndarray, halves: np.ndarray, min_words: int) -> DataFrame:
-    """(kind, k, h, id, line): repeated lines (kind null) and the neighbourhoods of lines that share a half."""
+    """(h, tag, id, line) of the lines that are repeated or share a half with a different line; the text only of the latter."""
     shared = docs.sparkSession.sparkContext.broadcast((repeated, halves))  # bitmaps of a fixed size
 
     def run(batches):
         again, near = shared.value
-
+        for batch in batches:
+            held = [], [], [], []
+            for r, value in enumerate(batch.column(1)):
+                lines = _lines(value)
+                if not lines:
+                    continue
+                key = batch.column(0)[r].as_py()
+                hashes = [_hash(words) for words in lines.values()]
+                long = [(i, _halves(words)) for i, words in enumerate(lines.values()) if len(words) >= min_words]
+                hit = may_contain(again, np.array([x for x, _ in hashes], np.uint64))
+                some = np.zeros(len(hashes), bool)
+                if long:
+                    at = np.repeat([i for i, _ in long], [len(x) for _, x in long])
+                    some[at[may_contain(near, np.array([x for _, part in long for x in part], np.uint64))]] = True
+                texts = list(lines)
+                for i in np.flatnonzero(hit | some).tolist():
+                    held[0].append(hashes[i][0])
+                    held[1].append(hashes[i][1] | 1)
+                    held[2].append(key)
+                    held[3].append(texts[i].decode() if some[i] else None)
+            if held[0]:
+                yield pa.RecordBatch.from_arrays([as_long(np.array(held[0], np.uint64)), as_long(np.array(held[1], np.uint64)),
+                                                  pa.array(held[2], pa.int64()), pa.array(held[3], pa.string())], names=["h", "tag", "id", "line"])
+    return docs.mapInArrow(run, "h long, tag long, id long, line string")
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """(r, place, h, id): the deletion neighbourhood of every distinct line (h, id, line)."""
+    def run(batches):
         def rows():
             for batch in batches:
-                for r, value in enumerate(batch.column(1)):
-                    lines = _lines(value)
-                    if not lines:
-                        continue
-                    key = batch.column(0)[r].as_py()
-                    hashes = [_hash(words) for words in lines.values()]
-                    h = np.array([x for x, _ in hashes], np.uint64)
-                    hit = np.flatnonzero(may_contain(again, h))
-                    if len(hit):
-                        yield (pa.nulls(len(hit), pa.int8()), as_long(h[hit]), as_long(np.array([hashes[i][1] | 1 for i in hit], np.uint64)),
-                               pa.array(np.full(len(hit), key, np.int64)), pa.nulls(len(hit), pa.string()))
-                    for (text, words), (line, _) in zip(lines.items(), hashes):
-                        n = len(words)
-                        if n < min_words or not may_contain(near, np.array(_halves(words), np.uint64)).any():
-                            continue
-                        keys, kinds = neighbourhood(words)
-                        texts = [None] * len(keys)
-                        texts[n] = text.decode()  # the entry of the whole line
-                        yield (pa.array(kinds), as_long(keys), as_long(np.full(len(keys), line, np.uint64)),
-                               pa.array(np.full(len(keys), key, np.int64)), pa.array(texts, pa.string()))
-        yield from in_batches(rows(), ["kind", "k", "h", "id", "line"], 50_000)
-    return docs.mapInArrow(run, "kind byte, k long, h long, id long, line string")
+                for i, value in enumerate(batch.column(2)):
+                    keys, places = neighbourhood(value.as_buffer().to_pybytes().split())
+                    one = pa.array(np.full(len(keys), i, np.int32))
+                    yield as_long(keys), pa.array(places.astype(np.int32)), batch.column(0).take(one), batch.column(1).take(one)
+        yield from in_batches(rows(), ["r", "place", "h", "id"])
+    return lines.mapInArrow(run, "r long, place int, h long, id long")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ok = [within_one_edit(a.as_py().split(), b.as_py().split()) for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["h", "src"]).filter(pa.array(ok, pa.bool_()))
-    return pairs.select("h", "src", "line", "src_line").mapInArrow(run, "h long, src long")
+            ok = [within_one_edit(a.as_py().split(" "), b.as_py().split(" ")) for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["h", "first"]).filter(pa.array(ok, pa.bool_()))
+    return pairs.select("h", "first", "line", "src_line").mapInArrow(run, "h long, first long")
+
+
+def _near_firsts(lines: DataFrame) -> DataFrame:
+    """(h, first): the smallest id that holds a line within one edit of line h, if smaller than h's own; `lines` is written."""
+    variants = written(_variants(lines), "line-variants")
+    cut = F.col("place") >= 0
+    # a replacement: equal without the same word; the earliest line of the key is the source of the others
+    same = (variants.where(cut).groupBy("r", "place").agg(F.min("id").alias("first"), F.min("h").alias("h0"), F.max("h").alias("h1"))
+            .where("h0 <> h1").select("r", "place", "first"))
+    # an insertion: a line equals another one without a word; each side's earliest line is the other side's source
+    pair = (variants.groupBy("r").agg(F.min(F.when(~cut, F.col("id"))).alias("whole"), F.min(F.when(cut, F.col("id"))).alias("cut"))
+            .where("whole is not null and cut is not null"))
+    same, pair = written(same, "line-replaced"), written(pair, "line-inserted")
+    met = variants.where(cut).join(same, ["r", "place"]).select("r", "h", "id", "first", F.col("place").alias("src_place"), F.lit(0).alias("kind"))
+    longer = variants.where(cut).join(pair, "r").select("r", "h", "id", F.col("whole").alias("first"), F.lit(-1).alias("src_place"), F.lit(1).alias("kind"))
+    shorter = variants.where(~cut).join(pair, "r").select("r", "h", "id", F.col("cut").alias("first"), F.lit(None).cast("int").alias("src_place"), F.lit(2).alias("kind"))
+    met = written(met.unionByName(longer).unionByName(shorter).where("id >= first"), "line-met")
+    later = met.where("id > first").select("r", "kind", "src_place", "h", "first")
+    # the source: the line that the first id has on the other side of the key
+    source = variants.join(later.select("r", "kind", "src_place", F.col("first").alias("id")).distinct(), ["r", "id"]).where(
+        F.when(F.col("kind") == 0, F.col("place") == F.col("src_place")).when(F.col("kind") == 1, F.col("place") == -1).otherwise(F.col("place") >= 0))
+    source = source.groupBy("r", "kind", F.coalesce("src_place", F.lit(-2)).alias("sp"), F.col("id").alias("first")).agg(F.min("h").alias("src"))
+    linked = (later.withColumn("sp", F.coalesce("src_place", F.lit(-2))).join(source, ["r", "kind", "sp", "first"]).where("h <> src")
+              .select("h", "first", "src").distinct())
+    texts = lines.select("h", "line")
+    pairs = linked.join(texts, "h").join(texts.select(F.col("h").alias("src"), F.col("line").alias("src_line")), "src")
+    return _verified(pairs).groupBy("h").agg(F.min("first").alias("first"))
 
 
 def decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, lines): hashes of the lines of each id that an earlier id has, too; `docs` has (id, t), no null id."""
-    counted = _line_keys(docs, min_words).groupBy("k", "tag").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    counted = _line_keys(docs, min_words).groupBy("k", "tag").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     repeats = written(counted.where("lo <> hi"), "line-repeats")
-    exact_first = repeats.where("tag <> 0").select("k", F.col("tag").alias("h"), F.col("lo").alias("first"))
-    halves = repeats.where("tag = 0").select("k").distinct()
-    rows = written(_shared_lines(docs, membership_bits(exact_first, "k"), membership_bits(halves, "k"), min_words), "line-variants")
-
-    exact = (rows.where("kind is null").select("k", "h", "id").join(exact_first, ["k", "h"])
-             .where("id > first").select("id", F.col("k").alias("line")))
-
-    near = rows.where("kind is not null").withColumn("sub", F.col("kind") == SUB)
-    # first ids per key: of all its lines (replacement), or of the whole line and of the longer lines (insertion)
-    groups = near.groupBy("sub", "k").agg(
-        F.min("id").alias("any"), F.min(F.when(F.col("kind") == WHOLE, F.col("id"))).alias("whole"),
-        F.min(F.when(F.col("kind") == CUT, F.col("id"))).alias("cut"), F.min("h").alias("h0"), F.max("h").alias("h1"))
-    groups = written(groups.where("h0 <> h1").where("sub or (whole is not null and cut is not null)")
-                     .select("sub", "k", "any", "whole", "cut"), "line-groups")
-    other = F.when(F.col("sub"), F.col("any")).when(F.col("kind") == CUT, F.col("whole")).otherwise(F.col("cut"))
-    met = near.select("sub", "kind", "k", "h", "id").join(groups, ["sub", "k"]).withColumn("other", other)
-    met = written(met.where("id >= any").select("sub", "kind", "k", "h", "id", "other"), "line-met")
-    later = met.where("id > other")
-    # the source of a key is its line in the first id; of several, the least hash
-    plays = F.when(F.col("sub"), F.lit(SUB)).when(F.col("kind") == WHOLE, F.lit(CUT)).otherwise(F.lit(WHOLE))
-    source = (near.select("sub", "kind", "k", "h", "id")
-              .join(later.select("sub", "k", "other", plays.cast("byte").alias("kind")).distinct().withColumnRenamed("other", "id"),
-                    ["sub", "kind", "k", "id"])
-              .select("sub", "k", plays.cast("byte").alias("kind"), F.col("id").alias("other"), "h")
-              .groupBy("sub", "k", "kind", "other").agg(F.min("h").alias("src")))
-    linked = written(later.join(source, ["sub", "k", "kind", "other"]).where("h <> src").select("id", "h", "src"), "line-linked")
-    texts = written(near.where((F.col("kind") == WHOLE)).groupBy("h").agg(F.min("line").alias("line")), "line-texts")
-    pairs = (linked.select("h", "src").distinct().join(texts, "h")
-             .join(texts.select(F.col("h").alias("src"), F.col("line").alias("src_line")), "src"))
-    near_gone = linked.join(_verified(pairs), ["h", "src"]).select("id", F.col("h").alias("line"))
-    return exact.unionByName(near_gone).groupBy("id").agg(F.collect_set("line").alias("lines"))
+    exact_first = repeats.where("tag <> 0").select(F.col("k").alias("h"), "tag", F.col("lo").alias("first"))
+    halves = repeats.where("tag = 0").select("k")
+    rows = written(_shared_lines(docs, membership_bits(exact_first, "h"), membership_bits(halves, "k"), min_words), "line-shared")
+    exact = rows.join(exact_first, ["h", "tag"]).where("id > first").select("id", "h")
+    distinct = written(rows.where("line is not null").groupBy("h").agg(F.min("id").alias("id"), F.min("line").alias("line"))
+                       .select("h", "id", "line"), "line-distinct")
+    near = written(_near_firsts(distinct), "line-near")
+    close = rows.where("line is not null").join(near, "h").where("id > first").select("id", "h")
+    return exact.unionByName(close).groupBy("id").agg(F.collect_set("h").alias("lines"))
 
 
 def strip_text(raw: bytes, gone, min_words: int = MIN_WORDS):
     """(kept text, lines with words, removed lines) of one text, given the hashes of lines that an earlier id has."""
     gone = set(gone)
-    seen, by_key, kept, n_lines, n_removed = set(), {}, [], 0, 0
     lines = [(line, line.split()) for line in raw.split(b"\n")]
-    shared, once = set(), set()
-    for text in {b" ".join(words): words for _, words in lines if len(words) >= min_words}.values():
-        for half in _halves(text):
-            (shared if half in once else once).add(half)
+    distinct = {}
+    for _, words in lines:
+        if words:
+            distinct.setdefault(b" ".join(words), words)
+    near = _near_inside([w for w in distinct.values() if len(w) >= min_words])
+    seen, kept, n_lines, n_removed = set(), [], 0, 0
     for line, words in lines:
         if not words:
             kept.append(line)
             continue
         n_lines += 1
         text = b" ".join(words)
-        h = _hash(words)[0] if gone else 0
-        drop = text in seen or (h - (1 << 64) if h >> 63 else h) in gone if gone else text in seen
-        if text not in seen and len(words) >= min_words and any(x in shared for x in _halves(words)):
-            keys, kinds = neighbourhood(words)
-            for key, kind in zip(keys.tolist(), kinds.tolist()):
-                partners = by_key.setdefault((kind == SUB, key), [])
-                drop = drop or any((kind == SUB or k != kind) and within_one_edit(words, w) for k, w in partners)
-                if all(k != kind for k, _ in partners):
-                    partners.append((kind, words))
+        drop = text in seen or text in near
+        if gone and not drop:
+            h = _hash(words)[0]
+            drop = (h - (1 << 64) if h >> 63 else h) in gone
         seen.add(text)
         if drop:
             n_removed += 1
@@ -225,6 +232,32 @@ def strip_text(raw: bytes, gone, min_words: int = MIN_WORDS):
     return b"\n".join(kept), n_lines, n_removed
 
 
+def _near_inside(lines: list[list[bytes]]) -> set[bytes]:
+    """The distinct lines of one text that are within one edit of a line before them."""
+    if len(lines) < 2:
+        return set()
+    found, halves, by_key = set(), {}, {}
+    for i, words in enumerate(lines):
+        n = len(words)
+        for k in {n // 2, (n - 1) // 2}:
+            halves.setdefault((0, b" ".join(words[:k])), []).append(i)
+        for k in {n - n // 2, n - 1 - (n - 1) // 2}:
+            halves.setdefault((1, b" ".join(words[n - k:])), []).append(i)
+    for i in sorted({i for same in halves.values() if len(same) > 1 for i in same}):
+        words = lines[i]
+        keys, places = neighbourhood(words)
+        for key, place in zip(keys.tolist(), places.tolist()):
+            # one earlier line per place stands for the rest: those without the same word, and the whole line against the cut ones
+            partners = by_key.setdefault(key, {})
+            others = [partners.get(-1), partners.get(place)] if place >= 0 else [partners.get("cut")]
+            if any(o is not None and within_one_edit(words, o) for o in others):
+                found.add(b" ".join(words))
+            partners.setdefault(place, words)
+            if place >= 0:
+                partners.setdefault("cut", words)
+    return found
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(_row, new_text, n_lines, n_removed) for every row; `_row` is the input row."""
     src = docs.select(F.struct(*docs.columns).alias("_row"), id_key(F.col(id_col).cast("long")).alias("id"), F.col(text_col).alias("t"))
