@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_long, id_key, in_batches, may_contain, membership_bits, mix64, replace_text, written
+from .common import as_long, id_key, may_contain, membership_bits, mix64, replace_text, written
 
 MIN_WORDS = 8
 _BASE = 0x9E3779B97F4A7C15
@@ -46,8 +46,7 @@ def within_one_edit(a: list, b: list) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def _hash(words: list[bytes]):
-    line = b" ".join(words)
+def _hash(line: bytes):
     return xxhash.xxh64_intdigest(line, 1), xxhash.xxh64_intdigest(line, 2)
 
 
@@ -88,24 +87,25 @@ def _lines(value):
 def _line_keys(docs: DataFrame, min_words: int) -> DataFrame:
     """(k, tag, v): per distinct line of a text its hash pair with the id, and its halves with its hash."""
     def run(batches):
-        def rows():
-            for batch in batches:
-                for r, value in enumerate(batch.column(1)):
-                    key = batch.column(0)[r].as_py()
+        for batch in batches:
+            k, tag, v = [], [], []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key &= 2**64 - 1
+                for line, words in _lines(value).items():
+                    h, h2 = _hash(line)
+                    k.append(h)
+                    tag.append(h2 | 1)
+                    v.append(key)
+                    if len(words) >= min_words:
+                        part = _halves(words)
+                        k += part
+                        tag += [0] * len(part)
+                        v += [h] * len(part)
+                if len(k) > 100_000:
+                    yield pa.RecordBatch.from_arrays([as_long(np.array(x, np.uint64)) for x in (k, tag, v)], names=["k", "tag", "v"])
                     k, tag, v = [], [], []
-                    for words in _lines(value).values():
-                        h, h2 = _hash(words)
-                        k.append(h)
-                        tag.append(h2 | 1)
-                        v.append(key & (2**64 - 1))
-                        if len(words) >= min_words:
-                            for half in _halves(words):
-                                k.append(half)
-                                tag.append(0)
-                                v.append(h)
-                    if k:
-                        yield as_long(np.array(k, np.uint64)), as_long(np.array(tag, np.uint64)), as_long(np.array(v, np.uint64))
-        yield from in_batches(rows(), ["k", "tag", "v"])
+            if k:
+                yield pa.RecordBatch.from_arrays([as_long(np.array(x, np.uint64)) for x in (k, tag, v)], names=["k", "tag", "v"])
     return docs.mapInArrow(run, "k long, tag long, v long")
 
 
@@ -113,44 +113,50 @@ def _shared_lines(docs: DataFrame, repeated: np.ndarray, halves: np.ndarray, min
     """(h, tag, id, line) of the lines that are repeated or share a half with a different line; the text only of the latter."""
     shared = docs.sparkSession.sparkContext.broadcast((repeated, halves))  # bitmaps of a fixed size
 
+    def hits(again, near, ids, texts, pairs, at, parts):
+        h = np.array([x for x, _ in pairs], np.uint64)
+        some = np.zeros(len(pairs), bool)
+        some[np.array(at, np.int64)[may_contain(near, np.array(parts, np.uint64))]] = True
+        keep = np.flatnonzero(may_contain(again, h) | some)
+        tags = np.array([x | 1 for _, x in pairs], np.uint64)
+        return pa.RecordBatch.from_arrays(
+            [as_long(h[keep]), as_long(tags[keep]), pa.array(np.array(ids, np.int64)[keep]),
+             pa.array([texts[i].decode() if some[i] else None for i in keep.tolist()], pa.string())], names=["h", "tag", "id", "line"])
+
     def run(batches):
         again, near = shared.value
         for batch in batches:
-            held = [], [], [], []
-            for r, value in enumerate(batch.column(1)):
-                lines = _lines(value)
-                if not lines:
-                    continue
-                key = batch.column(0)[r].as_py()
-                hashes = [_hash(words) for words in lines.values()]
-                long = [(i, _halves(words)) for i, words in enumerate(lines.values()) if len(words) >= min_words]
-                hit = may_contain(again, np.array([x for x, _ in hashes], np.uint64))
-                some = np.zeros(len(hashes), bool)
-                if long:
-                    at = np.repeat([i for i, _ in long], [len(x) for _, x in long])
-                    some[at[may_contain(near, np.array([x for _, part in long for x in part], np.uint64))]] = True
-                texts = list(lines)
-                for i in np.flatnonzero(hit | some).tolist():
-                    held[0].append(hashes[i][0])
-                    held[1].append(hashes[i][1] | 1)
-                    held[2].append(key)
-                    held[3].append(texts[i].decode() if some[i] else None)
-            if held[0]:
-                yield pa.RecordBatch.from_arrays([as_long(np.array(held[0], np.uint64)), as_long(np.array(held[1], np.uint64)),
-                                                  pa.array(held[2], pa.int64()), pa.array(held[3], pa.string())], names=["h", "tag", "id", "line"])
+            held = [], [], [], [], []
+            ids, texts, pairs, at, parts = held
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for line, words in _lines(value).items():
+                    if len(words) >= min_words:
+                        part = _halves(words)
+                        at += [len(ids)] * len(part)
+                        parts += part
+                    ids.append(key)
+                    texts.append(line)
+                    pairs.append(_hash(line))
+                if len(ids) > 20_000:
+                    yield hits(again, near, *held)
+                    for x in held:
+                        x.clear()
+            if ids:
+                yield hits(again, near, *held)
     return docs.mapInArrow(run, "h long, tag long, id long, line string")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     """(r, place, h, id): the deletion neighbourhood of every distinct line (h, id, line)."""
     def run(batches):
-        def rows():
-            for batch in batches:
-                for i, value in enumerate(batch.column(2)):
-                    keys, places = neighbourhood(value.as_buffer().to_pybytes().split())
-                    one = pa.array(np.full(len(keys), i, np.int32))
-                    yield as_long(keys), pa.array(places.astype(np.int32)), batch.column(0).take(one), batch.column(1).take(one)
-        yield from in_batches(rows(), ["r", "place", "h", "id"])
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                rows = batch.slice(a, 1000)
+                found = [neighbourhood(value.as_buffer().to_pybytes().split()) for value in rows.column(2)]
+                one = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
+                yield pa.RecordBatch.from_arrays(
+                    [as_long(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([p for _, p in found]).astype(np.int32)),
+                     rows.column(0).take(one), rows.column(1).take(one)], names=["r", "place", "h", "id"])
     return lines.mapInArrow(run, "r long, place int, h long, id long")
 
 
@@ -212,7 +218,7 @@ def strip_text(raw: bytes, gone, min_words: int = MIN_WORDS):
     for _, words in lines:
         if words:
             distinct.setdefault(b" ".join(words), words)
-    near = _near_inside([w for w in distinct.values() if len(w) >= min_words])
+    near = _near_inside([w for w in distinct.values() if len(w) >= min_words], (min_words - 1) // 2)
     seen, kept, n_lines, n_removed = set(), [], 0, 0
     for line, words in lines:
         if not words:
@@ -222,7 +228,7 @@ def strip_text(raw: bytes, gone, min_words: int = MIN_WORDS):
         text = b" ".join(words)
         drop = text in seen or text in near
         if gone and not drop:
-            h = _hash(words)[0]
+            h = _hash(text)[0]
             drop = (h - (1 << 64) if h >> 63 else h) in gone
         seen.add(text)
         if drop:
@@ -232,17 +238,17 @@ def strip_text(raw: bytes, gone, min_words: int = MIN_WORDS):
     return b"\n".join(kept), n_lines, n_removed
 
 
-def _near_inside(lines: list[list[bytes]]) -> set[bytes]:
-    """The distinct lines of one text that are within one edit of a line before them."""
+def _near_inside(lines: list[list[bytes]], ends: int) -> set[bytes]:
+    """The distinct lines of one text that are within one edit of a line before them.
+
+    Such lines share their first or their last `ends` words.
+    """
     if len(lines) < 2:
         return set()
     found, halves, by_key = set(), {}, {}
     for i, words in enumerate(lines):
-        n = len(words)
-        for k in {n // 2, (n - 1) // 2}:
-            halves.setdefault((0, b" ".join(words[:k])), []).append(i)
-        for k in {n - n // 2, n - 1 - (n - 1) // 2}:
-            halves.setdefault((1, b" ".join(words[n - k:])), []).append(i)
+        halves.setdefault((0, *words[:ends]), []).append(i)
+        halves.setdefault((1, *words[-ends:]), []).append(i)
     for i in sorted({i for same in halves.values() if len(same) > 1 for i in same}):
         words = lines[i]
         keys, places = neighbourhood(words)
