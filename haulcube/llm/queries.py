@@ -63,7 +63,7 @@ def op8_secret_scan(spark, sf_dir):
 def op4_warc(spark, sf_dir):
     folder = scratch_dir(spark, "warc")
     manifest = warc.write_archives(spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet"), folder)
-    rows = warc.read_archives(spark, folder, manifest, with_payload=False).where("kind = 'record'")
+    rows = warc.read_archives(spark, folder, manifest, with_payload=False, whole=True).where("kind = 'record'")
     return rows.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        warc.page_number("refers_to").alias("refers_to"))
 

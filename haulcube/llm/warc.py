@@ -10,7 +10,8 @@ manifest, so lost executors and repeated tasks leave no duplicate records.
 by the writer), kept if the manifest names them, and parsed.  A record is checked by its gzip checksum,
 version line, Content-Length and SHA-1 digests; after a failed check the reader searches for the next
 valid gzip member or version line, recovers the records after it and logs the bytes in between as a
-quarantined gap.
+quarantined gap.  With `whole` the reader raises instead if a file of the manifest is missing, has a gap or
+holds another number of records than the manifest says.
 
 Defined results: a null payload is empty; a null url writes no target header; rows that share the largest
 id of their payload are all responses; null ids take part in no revisit; empty tables give empty archives.
@@ -115,7 +116,7 @@ def parse(data, at: int):
     """(end, record dict) of the record that starts at `at` in uncompressed bytes; raises Damaged."""
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + 65536)
+    stop = data.find(b"\r\n\r\n", at)  # a url, so a header, has no size limit
     if stop < 0:
         raise Damaged("unterminated header")
     head = {}
@@ -239,18 +240,31 @@ _SCHEMA = ("file string, kind string, start long, end long, reason string, recor
 _FIELDS = ["record_type", "record_id", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload"]
 
 
-def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None, with_payload: bool = True) -> DataFrame:
-    """One row per record and per quarantined gap (kind "record" or "gap") of the archives in `folder`."""
+def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None, with_payload: bool = True,
+                  whole: bool = False) -> DataFrame:
+    """One row per record and per quarantined gap (kind "record" or "gap") of the archives in `folder`.
+
+    With `whole`, anything that the manifest names and the archives don't hold is an error.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    if manifest is not None:
+    if whole:
+        wanted = manifest.select("file", "records")
+        lost = [r.file for r in wanted.join(files.select("file"), "file", "left_anti").limit(10).collect()]
+        if lost:
+            raise ValueError(f"files of the manifest are missing: {lost}")
+        files = files.join(small_side(wanted), "file")
+    elif manifest is not None:
         files = files.join(small_side(manifest.select("file")), "file", "left_semi")
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1)):
-                rows = []
+            for at, (name, data) in enumerate(zip(batch.column(0), batch.column(1))):
+                rows, found = [], 0
                 for kind, start, end, what in salvage(data.as_buffer().to_pybytes()):
+                    found += kind == "record"
+                    if whole and kind == "gap":
+                        raise ValueError(f"{name}: gap at {start}-{end}: {what}")
                     values = [what[f] for f in _FIELDS] if kind == "record" else [None] * len(_FIELDS)
                     if not with_payload:
                         values[-1] = None
@@ -260,6 +274,8 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
                         rows = []
                 if rows:
                     yield _batch(rows)
+                if whole and found != batch.column(2)[at].as_py():
+                    raise ValueError(f"{name}: {found} records read, {batch.column(2)[at]} written")
     return files.mapInArrow(run, _SCHEMA)
 
 

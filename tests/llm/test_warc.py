@@ -3,6 +3,8 @@ import hashlib
 import os
 import random
 
+import pytest
+
 from haulcube.llm import warc as W
 from haulcube.session import scratch_dir
 
@@ -108,3 +110,21 @@ def test_salvage_of_plain_records_and_bad_digests():
         for _ in range(3):
             x[rnd.randrange(len(x))] = rnd.randrange(256)
         events(bytes(x))
+
+
+def test_long_urls_are_read_back(spark):
+    rows = [(1, " " * 200_000, "x" * 1000), (2, "u" * 200_000, "x" * 1000), (3, "http://c/", "x" * 1000)]
+    folder = scratch_dir(spark, "warc-test")
+    manifest = W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = {ident(r.record_id): r for r in W.read_archives(spark, folder, manifest, whole=True).collect()}
+    assert {i: (r.kind, r.target_uri, r.record_type) for i, r in got.items()} == {
+        1: ("record", "%20" * 200_000, "revisit"), 2: ("record", "u" * 200_000, "revisit"), 3: ("record", "http://c/", "response")}
+
+
+def test_whole_archives_hold_what_the_manifest_says(spark):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(5)], "page_id long, url string, html string")
+    folder, _ = roundtrip(spark, pages.coalesce(1))
+    name = next(n for n in os.listdir(folder.replace("file:", "")) if n.endswith(".gz"))
+    for n, wanted in [(name, 6), ("warc-missing.warc.gz", 5)]:
+        with pytest.raises(Exception, match="5 records read, 6 written|are missing"):
+            W.read_archives(spark, folder, spark.createDataFrame([(n, wanted)], "file string, records long"), whole=True).collect()
