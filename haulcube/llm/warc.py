@@ -151,15 +151,35 @@ def parse(data, at: int):
                      "payload_bytes": int(length[1]) if length else len(payload), "payload": payload}
 
 
+def _before_fault(z, step) -> bytes:
+    """What `step` gives before zlib raises: to the byte, unless the last byte shares a compressed byte with the fault."""
+    out = []
+    for size in (4096, 64, 1):  # zlib drops the output of the call that raises, so the calls get smaller
+        for at in range(0, len(step), size):
+            kept = z.copy()
+            try:
+                out.append(z.decompress(step[at:at + size]))
+            except zlib.error:
+                z, step = kept, step[at:at + size]
+                break
+    try:
+        while step or out[-1]:
+            out.append(z.decompress(step, 1))
+            step = z.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def _inflate(data, at: int):
-    """(end, bytes, fault) of the gzip member at `at`; on a fault the bytes are what could be read."""
+    """(end, bytes, fault) of the gzip member at `at`; on a fault the bytes are what stands before it."""
     z, out, view = zlib.decompressobj(31), [], memoryview(data)
     while not z.eof and at < len(data):
-        step = view[at:at + 65536]
+        step, kept = view[at:at + 65536], z.copy()
         try:
             out.append(z.decompress(step))
         except zlib.error as e:
-            return at, b"".join(out), str(e)
+            return at, b"".join([*out, _before_fault(kept, step)]), str(e)
         at += len(step)
     return at - len(z.unused_data), b"".join(out), None if z.eof else "member is cut"
 

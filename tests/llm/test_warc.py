@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import os
 import random
+import zlib
 
 import pytest
 
@@ -128,3 +129,18 @@ def test_whole_archives_hold_what_the_manifest_says(spark):
     for n, wanted in [(name, 6), ("warc-missing.warc.gz", 5)]:
         with pytest.raises(Exception, match="5 records read, 6 written|are missing"):
             W.read_archives(spark, folder, spark.createDataFrame([(n, wanted)], "file string, records long"), whole=True).collect()
+
+
+def test_salvage_keeps_the_records_before_a_fault():
+    recs = [W.record(i, f"http://x/{i}", random.Random(i).randbytes(30) + b"text" * 50, None) for i in range(200)]
+    data, ids = gzip.compress(b"".join(recs)), [str(i) for i in range(200)]
+    wrong = bytearray(data)
+    wrong[-8] ^= 1  # the checksum: every record is whole
+    got, gaps = events(bytes(wrong) + W.member(recs[0]))
+    assert got == [*ids, "0"] and [g[:2] for g in gaps] == [(0, len(data))]
+    z, most = zlib.decompressobj(31), bytearray(data)
+    most[len(data) // 2:] = b"\xff" * (len(data) - len(data) // 2)
+    readable = len(z.decompress(data[:len(data) // 2]))  # a fault right after these bytes
+    got, gaps = events(bytes(most))
+    whole = sum(sum(map(len, recs[:i + 1])) <= readable for i in range(200))
+    assert got[:whole] == ids[:whole] and whole > 50 and len(gaps) == 1
