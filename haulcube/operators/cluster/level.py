@@ -22,17 +22,52 @@ METRIC_SCHEMA = ("method string, silhouette double, calinski_harabasz double, da
 CURVE_SCHEMA = "method string, level string, k int, silhouette double, inertia double"
 
 
+def keyed(X: DataFrame, group: str) -> DataFrame:
+    """The pinned feature matrix with a dense integer id `gid`."""
+    return X.select(group, "features", F.dense_rank().over(Window.orderBy(group)).cast("long").alias("gid")).checkpoint(eager=True)
+
+
+def capped(k_values, n: int) -> list[int]:
+    return [k for k in k_values if k <= n - 1]              # N14
+
+
+def _best(curve) -> int:
+    """The least k of the largest silhouette; one cluster where no k has one."""
+    return max((c for c in curve if c[1] is not None), key=lambda c: c[1], default=(1, None))[0]
+
+
+def dtw_search(X: DataFrame, id_col: str, vec: str, k_values, max_iter: int = 30, final_iter: int = 50):
+    """M6: a DTW k-means per k, refitted at the k of the best Euclidean silhouette; (assignments, k, [(k, silhouette)])."""
+    series, curve = X.select(id_col, vec), []
+    for k in k_values:
+        a, _ = dtw_kmeans(series, id_col, vec, k, max_iter=max_iter)
+        curve.append((k, silhouette(X.join(a.select(id_col, "cluster"), id_col), id_col, vec, "cluster").first()[0]))
+    best = _best(curve)
+    return dtw_kmeans(series, id_col, vec, best, max_iter=final_iter)[0], best, curve
+
+
+def ward_search(X: DataFrame, id_col: str, vec: str, k_values):
+    """M8: the Ward tree cut at the k of the best silhouette; (assignments, k, [(k, silhouette)])."""
+    lk, leaves = ward_linkage(X.select(id_col, vec), id_col, vec)
+    cuts, curve = {}, []
+    for k in k_values:
+        cuts[k] = cut_tree(lk, leaves, id_col, k).checkpoint(eager=True)
+        curve.append((k, silhouette(X.join(cuts[k], id_col), id_col, vec, "cluster").first()[0]))
+    best = _best(curve)
+    return cuts[best] if best in cuts else cut_tree(lk, leaves, id_col, best), best, curve
+
+
 def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_refuse", coverage: float = 0.8,
                   k_values=K_RANGE, n_init: int = 10, dtw_iter: int = 30, dtw_final_iter: int = 50):
     spark = cube.sparkSession
     X = feature_matrix(cube, group, value, coverage)
-    X = X.select(group, "features", F.dense_rank().over(Window.orderBy(group)).cast("long").alias("gid")).checkpoint(eager=True)
+    X = keyed(X, group)
     n = X.count()
     if n < 5:                                               # N13: always the same frames
         return (spark.createDataFrame([], f"{group} string, cluster_kmeans int, cluster_dtw_kmeans int, "
                                           "cluster_hierarchical int, cluster_dbscan int"),
                 spark.createDataFrame([], METRIC_SCHEMA), spark.createDataFrame([], CURVE_SCHEMA))
-    ks = [k for k in k_values if k <= n - 1]                # N14
+    ks = capped(k_values, n)
     labels, rows, curve = {}, [], []
 
     def metric_row(method, pts, vec, lab, best_k=None, eps=None, n_noise=None):
@@ -51,29 +86,17 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     metric_row("KMeans", lab, "pca", "cluster", best_k=sil["k"])
 
     # DTW k-means (Euclidean silhouette picks k)
-    best = None
-    for k in ks:
-        a, _ = dtw_kmeans(X.select("gid", "features"), "gid", "features", k, max_iter=dtw_iter)
-        s = silhouette(X.join(a.select("gid", "cluster"), "gid"), "gid", "features", "cluster").first()[0]
-        curve.append(("DTW-KMeans", level, k, s, None))
-        if s is not None and (best is None or s > best[0]):
-            best = (s, k)
-    final, _ = dtw_kmeans(X.select("gid", "features"), "gid", "features", best[1], max_iter=dtw_final_iter)   # refit at the best k
+    final, best_k, by_k = dtw_search(X, "gid", "features", ks, dtw_iter, dtw_final_iter)
+    curve += [("DTW-KMeans", level, k, s, None) for k, s in by_k]
     final = final.select("gid", "cluster").checkpoint(eager=True)
     labels["cluster_dtw_kmeans"] = final.select("gid", F.col("cluster").cast("int").alias("c"))
-    metric_row("DTW-KMeans", X.join(final, "gid"), "features", "cluster", best_k=best[1])
+    metric_row("DTW-KMeans", X.join(final, "gid"), "features", "cluster", best_k=best_k)
 
     # Ward tree, cut by silhouette
-    lk, leaves = ward_linkage(X.select("gid", "features"), "gid", "features")
-    best = None
-    for k in ks:
-        cut = cut_tree(lk, leaves, "gid", k).checkpoint(eager=True)
-        s = silhouette(X.join(cut, "gid"), "gid", "features", "cluster").first()[0]
-        curve.append(("Hierarchical", level, k, s, None))
-        if s is not None and (best is None or s > best[0]):
-            best = (s, k, cut)
-    labels["cluster_hierarchical"] = best[2].select("gid", F.col("cluster").cast("int").alias("c"))
-    metric_row("Hierarchical", X.join(best[2], "gid"), "features", "cluster", best_k=best[1])
+    cut, best_k, by_k = ward_search(X, "gid", "features", ks)
+    curve += [("Hierarchical", level, k, s, None) for k, s in by_k]
+    labels["cluster_hierarchical"] = cut.select("gid", F.col("cluster").cast("int").alias("c"))
+    metric_row("Hierarchical", X.join(cut, "gid"), "features", "cluster", best_k=best_k)
 
     # DBSCAN with the knee eps
     eps = auto_eps(X, "gid", "features").first()["eps"]

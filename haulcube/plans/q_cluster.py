@@ -66,18 +66,19 @@ def m4(spark, sf):
 @query("m5_silhouette_by_k")
 def m5(spark, sf):
     from ..operators.cluster.kmeans import pca_95, silhouette_by_k
+    from ..operators.cluster.level import K_RANGE
     f = feature_matrix(district_cube(spark, sf), G, "tons_total")
     pca, _, _ = pca_95(f, "features")
     return silhouette_by_k(pca.select(F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(G)).cast("long").alias("gid"), "pca"),
-                           "gid", "pca", range(2, 7), n_init=3)
+                           "gid", "pca", K_RANGE)
 
 
 @query("m6_dtw_kmeans")
 def m6(spark, sf):
-    from ..operators.cluster.dtw import dtw_kmeans
-    f = feature_matrix(district_cube(spark, sf), G, "tons_total")
-    a, _ = dtw_kmeans(f, G, "features", k=3)   # k is capped at the number of series
-    return a
+    from ..operators.cluster.level import K_RANGE, capped, dtw_search, keyed
+    X = keyed(feature_matrix(district_cube(spark, sf), G, "tons_total"), G)
+    a, _, _ = dtw_search(X, "gid", "features", capped(K_RANGE, X.count()))
+    return X.select(G, "gid").join(a, "gid").select(G, "cluster", "dist")
 
 
 @query("m7_ward_linkage")
@@ -89,9 +90,10 @@ def m7(spark, sf):
 
 @query("m8_tree_cut_maxclust")
 def m8(spark, sf):
-    from ..operators.cluster.ward import cut_tree, ward_linkage
-    lk, leaves = ward_linkage(feature_matrix(district_cube(spark, sf), G, "tons_total"), G, "features")
-    return cut_tree(lk, leaves, G, 4)
+    from ..operators.cluster.level import K_RANGE, capped, keyed, ward_search
+    X = keyed(feature_matrix(district_cube(spark, sf), G, "tons_total"), G)
+    cut, _, _ = ward_search(X, "gid", "features", capped(K_RANGE, X.count()))
+    return X.select(G, "gid").join(cut, "gid").select(G, "cluster")
 
 
 CENT = """el AS (SELECT id, k, unnest(v) AS x, unnest(range(len(v))) AS i FROM pts WHERE k <> -1),
@@ -212,7 +214,7 @@ def _level(cube, group, level):
     """Every method on one level; (assignments, metrics, curves)."""
     from ..operators.cluster.level import cluster_level
     cube = cube.select(group, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
-    return cluster_level(cube, group, level, value="tons_total", k_values=range(2, 5), n_init=2, dtw_iter=3)
+    return cluster_level(cube, group, level, value="tons_total")
 
 
 @query("m12_cluster_level")

@@ -12,7 +12,6 @@ from .base import district_cube
 from .registry import query
 
 G = "District_Code"
-TREES_IN_CHECK = 20   # the catalogue run uses a short ensemble; the library default is 500
 
 
 def _cube(spark, sf):
@@ -33,13 +32,13 @@ def t4(spark, sf):
 
 @query("t5_gradient_boosting")
 def t5(spark, sf):
-    p, _, _ = gradient_boosting(_cube(spark, sf), trees=TREES_IN_CHECK)
+    p, _, _ = gradient_boosting(_cube(spark, sf))
     return p
 
 
 @query("t6_feature_importance")
 def t6(spark, sf):
-    _, imp, _ = gradient_boosting(_cube(spark, sf), trees=TREES_IN_CHECK)
+    _, imp, _ = gradient_boosting(_cube(spark, sf))
     return imp
 
 
@@ -54,7 +53,7 @@ def t9all(spark, sf):
     tr, te = temporal_split(cube)
     parts = [per_group_forecast(tr, te, G, "tons_refuse", "sar", "Seasonal AR"),
              per_group_forecast(tr, te, G, "tons_refuse", "trend", "Trend + Fourier"),
-             gradient_boosting(cube, trees=TREES_IN_CHECK)[0], sequence_regressor(cube), fixed_predictions(cube)]
+             gradient_boosting(cube)[0], sequence_regressor(cube), fixed_predictions(cube)]
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
