@@ -12,16 +12,15 @@ The windows stand one after the other in a single stream, which is cut every `le
 last sequence is short: it is padded to `length`, except when its size is a power of two.
 
 Tokens are written once with their partition and their place among the partition's tokens of the same
-source; the places of partitions are prefix sums over one row per (partition, source).  Beyond
-`max_queues` sources, sources share queues by hash, which bounds what each task holds.
+source; the places of partitions are prefix sums over one row per (partition, source).  Every source has a
+queue of its own, however many there are: a table has one row per queue and window it is served in, with the
+position of its tokens in the stream, and is joined to the pieces.
 
 Defined results: a null text is empty and gives the end id alone; a null source is a queue of its own;
 repeated rows are packed each; empty tables give empty results; extra columns are ignored.
 """
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, written
 
-LENGTH, WINDOW, MAX_QUEUES = 2048, 65536, 4096
+LENGTH, WINDOW = 2048, 65536
 #: Distinct chunks (and letter runs) remembered by one Python worker, about 200 bytes each.
 REMEMBERED = 600_000
 #: Marks that may follow a word as one run; not the apostrophe (contractions) nor the brackets of special tokens.
@@ -172,7 +171,7 @@ class Schedule:
     """Closed form of the deficit round-robin over queues of the given sizes and shares.
 
     Queue q gets share[q] / rounds of a token a round on top of its deficit; `served(w)` is what each queue
-    has handed out before round w.
+    has handed out before round w.  It holds all queues in arrays; `pack` computes the same by joins.
     """
 
     def __init__(self, sizes: list[int], shares: list[int], rounds: int):
@@ -209,67 +208,101 @@ class Schedule:
             t = stop
 
 
-def _schedule(sizes: dict[str, int], window: int, targets: dict[str, float] | None) -> tuple[list[str], Schedule]:
-    queues = sorted(sizes)
-    total = sum(sizes.values())
+def _queues(sizes: DataFrame, window: int, targets: dict[str, float] | None) -> tuple[DataFrame, int, int]:
+    """(written table of queue, size and share; tokens; rounds)."""
+    total = int(sizes.agg(F.sum("size")).first()[0] or 0)
     rounds = max(1, -(-total // window))
     if targets is None:
-        return queues, Schedule([sizes[q] for q in queues], [sizes[q] for q in queues], rounds)
-    weight = [max(float(targets.get(q, 0.0)), 1e-6) for q in queues]
+        return sizes.withColumn("share", F.col("size")), total, rounds
+    given = [("=" + k if k is not None else "null", float(v)) for k, v in targets.items()]
+    given = sizes.sparkSession.createDataFrame(given, "queue string, weight double")
+    weighed = written(sizes.join(given, "queue", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-6))), "pack-weights")
+    whole = float(weighed.agg(F.sum("weight")).first()[0] or 1.0)
     # tokens per round and queue as a fraction with the common denominator `rounds`
-    shares = [max(1, round(x / sum(weight) * window * rounds)) for x in weight]
-    return queues, Schedule([sizes[q] for q in queues], shares, rounds)
+    share = F.greatest(F.lit(1), F.round(F.col("weight") / whole * window * rounds).cast("long"))
+    return written(weighed.select("queue", "size", share.alias("share")), "pack-queues"), total, rounds
+
+
+def _offsets(queues: DataFrame, rounds: int) -> DataFrame:
+    """(queue, w, position): where the tokens of a queue in window w begin in the stream; only windows that hold some.
+
+    A queue of a token or more a round is listed by window, another by token, each in a window of its own.
+    """
+    def round_of(t):
+        return f"((cast({t} as decimal(20, 0)) + 1) * cast({rounds} as decimal(18, 0)) - 1) div share"
+
+    def served(w):
+        return f"least(size, (share div {rounds}) * {w} + (share % {rounds}) * {w} div {rounds})"
+    last = F.expr(f"if(share >= {rounds}, {round_of('size - 1')}, size - 1)")
+    chunks = queues.select("*", last.alias("last")).select("*", F.explode(F.expr("sequence(0L, last div 65536)")).alias("c")).repartition("queue", "c")
+    here = chunks.select("queue", "size", "share", F.explode(F.expr("sequence(c * 65536, least(last, c * 65536 + 65535))")).alias("x"))
+    here = here.select("queue", F.expr(f"if(share >= {rounds}, x, {round_of('x')})").alias("w"),
+                       F.expr(f"if(share >= {rounds}, {served('(x + 1)')} - {served('x')}, 1L)").alias("n"))
+    order = Window.partitionBy("w").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    here = written(here.select("queue", "w", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("inside")), "pack-windows")
+    # tokens before each window: sums inside ranges of windows and over the ranges
+    ranges = written(here.groupBy("w").agg(F.sum("n").alias("n")).repartitionByRange("w").withColumn("r", F.spark_partition_id()), "pack-ranges")
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranges.groupBy("r").agg(F.sum("n").alias("n")).select("r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))  # a row a partition
+    inner = Window.partitionBy("r").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("r", "w", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("base")).join(F.broadcast(begins), "r")
+    bases = written(ranges.select("w", (F.col("base") + F.col("begin")).alias("base")), "pack-bases")
+    return written(here.join(small_side(bases), "w").select("queue", "w", (F.col("base") + F.col("inside")).alias("position")), "pack-offsets")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, window: int = WINDOW, end_id: int = 1,
-         targets: dict[str, float] | None = None, max_queues: int = MAX_QUEUES, id_col: str = "doc_id",
+         targets: dict[str, float] | None = None, max_queues: int | None = None, id_col: str = "doc_id",
          text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per piece: id, start, ids (uint32 bytes), length, ids_crc32, doc_tokens, sequence_id, offset,
-    sequence_tokens, padded_length."""
+    sequence_tokens, padded_length.  `max_queues` has no effect any more: no sources share a queue."""
     table = written(tokens(docs, tokenizer_path, end_id, id_col, text_col, source_col), "pack-tokens")
     parts = written(table.groupBy("part", "queue").agg(F.sum("n").alias("n")), "pack-parts")
-    if parts.select("queue").distinct().count() > max_queues:
-        queue_of = F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(max_queues)))
-    else:
-        queue_of = F.col("queue")
-    # sources that share a queue stand one after the other within a partition
-    order = Window.partitionBy("q").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("q", queue_of)
-    sizes = {r.q: int(r.n) for r in parts.groupBy("q").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
-    if targets is not None:
-        targets = {("=" + k if k is not None else "null"): v for k, v in targets.items()}
-    queues, schedule = _schedule(sizes, window, targets)
-    number = {q: i for i, q in enumerate(queues)}
-    total = sum(sizes.values())
-    base = written(parts.select("part", "queue", "q", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "pack-base")
-    placed = table.join(small_side(base), ["part", "queue"]).select("id", "q", (F.col("base") + F.col("place")).alias("at"), "n", "ids")
-    shared = docs.sparkSession.sparkContext.broadcast((number, schedule))  # one row per queue
-    last, rest = divmod(total, length)
-
-    def run(batches):
-        number, schedule = shared.value
+    sizes = written(parts.groupBy("queue").agg(F.sum("n").alias("size")), "pack-sizes")
+    queues, total, rounds = _queues(sizes, window, targets)
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("part", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    base = written(base.join(queues, "queue"), "pack-base")
+    placed = table.join(small_side(base), ["part", "queue"]).select("id", "queue", (F.col("base") + F.col("place")).alias("at"), "n", "ids", "size", "share")
+
+    def windows(batches):
+        """Cut each text where its queue's windows end."""
         for batch in batches:
-            out = []
-            for i, q, at, n, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                w = number[q]
-                for start, position, size in schedule.pieces(w, at, n):
-                    while size:
-                        sequence, offset = divmod(position, length)
-                        k = min(size, length - offset)
-                        held = ids[4 * start:4 * (start + k)]
-                        full = length if sequence < last else rest
-                        out.append((i, start, held, k, zlib.crc32(held), n, sequence, offset, full))
-                        start, position, size = start + k, position + k, size - k
-            cols = list(zip(*out)) or [()] * 9
-            full = cols[8]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())]
-                + [pa.array(c, pa.int64()) for c in cols[3:9]]
-                + [pa.array([f if f & (f - 1) == 0 else length for f in full], pa.int64())],
-                names=NAMES)
-    rows = placed.mapInArrow(run, "id long, start long, ids binary, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-                                  "offset long, sequence_tokens long, padded_length long")
-    return rows.withColumnRenamed("id", id_col)
+            out, held_bytes = [], 0
+            for i, q, at, n, ids, size, share in zip(*(c.to_pylist() for c in batch.columns)):
+                t, end = at, at + n
+                while t < end:
+                    w = ((t + 1) * rounds - 1) // share
+                    stop = min(end, size, share * (w + 1) // rounds)
+                    held = ids[4 * (t - at):4 * (stop - at)]
+                    out.append((i, q, w, t - share * w // rounds, t - at, n, held))
+                    held_bytes += len(held)
+                    t = stop
+                    if len(out) >= 50_000 or held_bytes >= 16 << 20:
+                        yield _pieces(out)
+                        out, held_bytes = [], 0
+            if out:
+                yield _pieces(out)
+    cut = placed.mapInArrow(windows, "id long, queue string, w long, skip long, start long, doc_tokens long, ids binary")
+    cut = cut.join(small_side(_offsets(queues, rounds)), ["queue", "w"])
+    cut = cut.select("id", "start", "doc_tokens", "ids", F.expr("octet_length(ids) div 4").alias("n"), (F.col("position") + F.col("skip")).alias("at"))
+    # at most window / length + 1 sequences a piece
+    rows = cut.select("*", F.explode(F.expr(f"sequence(at div {length}, (at + n - 1) div {length})")).alias("sequence_id"))
+    rows = rows.select("*", F.expr(f"greatest(at, sequence_id * {length})").alias("first"), F.expr(f"least(at + n, (sequence_id + 1) * {length})").alias("stop"))
+    last, rest = divmod(total, length)
+    full = F.when(F.col("sequence_id") < last, length).otherwise(rest).cast("long")
+    rows = rows.select("id", (F.col("start") + F.col("first") - F.col("at")).alias("start"),
+                       F.expr("substring(ids, cast(4 * (first - at) + 1 as int), cast(4 * (stop - first) as int))").alias("ids"),
+                       F.expr("stop - first").alias("length"), "doc_tokens", "sequence_id",
+                       (F.col("first") - F.col("sequence_id") * length).alias("offset"), full.alias("sequence_tokens"))
+    power = F.col("sequence_tokens").bitwiseAND(F.col("sequence_tokens") - 1) == 0
+    rows = rows.withColumn("ids_crc32", F.crc32("ids")).withColumn("padded_length", F.when(power, F.col("sequence_tokens")).otherwise(length).cast("long"))
+    return rows.select(*NAMES).withColumnRenamed("id", id_col)
+
+
+def _pieces(rows):
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                      names=["id", "queue", "w", "skip", "start", "doc_tokens", "ids"])
 
 
 NAMES = ["id", "start", "ids", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_length"]

@@ -75,3 +75,33 @@ def test_schedule_is_deficit_round_robin(rounds):
 
 def test_empty(no_docs):
     assert P.pack(no_docs, PATH).count() == 0
+
+
+def test_many_sources_keep_their_queues(spark):
+    n = 4200  # of them 4,199 small ones
+    rows = [(i, " ".join(["word"] * (1 + i % 3)), f"s{i}") for i in range(1, n)] + [(n + i, " ".join(["word"] * 50), "big") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    source = {i: s for i, _, s in rows}
+    for targets, window in ((None, 4096), ({"big": 1.0, "s7": 3.0}, 512)):
+        out = P.pack(docs, PATH, length=256, window=window, targets=targets).collect()
+        sizes = Counter()
+        for r in out:
+            sizes["=" + source[r.doc_id]] += r.length
+        queues, total = sorted(sizes), sum(sizes.values())
+        rounds = -(-total // window)
+        shares = [sizes[q] for q in queues]
+        if targets:
+            weight = [max(targets.get(q[1:], 0.0), 1e-6) for q in queues]
+            shares = [max(1, round(x / sum(weight) * window * rounds)) for x in weight]
+        plan = P.Schedule([sizes[q] for q in queues], shares, rounds)
+        want, w = [], 0  # the queue of each token of the first windows
+        while len(want) < 4 * window and w < rounds:
+            before, after, _ = plan.window(w)
+            for q in np.flatnonzero(after > before):
+                want += [queues[q]] * int(after[q] - before[q])
+            w += 1
+        got = [None] * total
+        for r in out:
+            a = r.sequence_id * 256 + r.offset
+            got[a:a + r.length] = ["=" + source[r.doc_id]] * r.length
+        assert None not in got and got[:len(want)] == want
