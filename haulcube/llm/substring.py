@@ -8,8 +8,8 @@ The token k-mers (windows) are the edges of a De Bruijn graph.  Consecutive wind
 minimizer (the least hash among their 6-word pieces) form a path; where every occurrence of a minimizer
 carries the same path, the path does not branch and is compacted to a single edge, so one join decides
 all its windows.  Only branching minimizers are opened into single windows, and only once per distinct
-path.  Paths and windows are compared together with their minimizer, i.e. on two independent 64-bit
-hashes, and every decision carries the source coordinate (the smallest id) it was made against.
+path.  Paths and windows are compared together with their minimizer; where that is truly shared, 64
+bits decide.  Decisions carry no source coordinate, and no span is verified word by word.
 
 Steps: (1) count minimizers; (2) a fixed-size bitmap of the repeated ones prunes the second reading, an
 exact join follows; (3) nonbranching paths are decided by the smallest id of their minimizer, branching
