@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulcube.session import scratch_dir
 
-from . import decontaminate, line_dedup, oracles, packing, quality_model, quality_rules, secrets, simhash, substring, url_filter, warc
+from . import decontaminate, line_dedup, oracles, packing, quality_model, quality_rules, runs, secrets, simhash, substring, url_filter, warc
 from .common import documents
 
 #: (host, path, verdict)
@@ -84,6 +84,11 @@ def op6_quality_classifier(spark, sf_dir):
     return quality_model.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return runs.digest(runs.find_runs(runs.with_planted_repeats(documents(spark, sf_dir))))
+
+
 ORACLES.update(
     op1_decontamination=oracles.OP1, op3_line_dedup=oracles.OP3, op4_warc=oracles.OP4, op5_quality_rules=oracles.OP5,
     op8_secret_scan=oracles.secrets_sql(secrets.RULES, secrets.BASE), op10_substring_dedup=oracles.OP10)
