@@ -33,6 +33,12 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def small_table(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast a *written* table of strings, numbers and lists only after adding up its size in bytes (as text)."""
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 64)).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
+
+
 def words_col(text):
     """Array of the words of a text column (null text: empty array)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")

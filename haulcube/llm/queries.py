@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulcube.session import scratch_dir
 
-from . import decontaminate, line_dedup, oracles, packing, quality_model, quality_rules, runs, secrets, simhash, substring, url_filter, warc
+from . import conversations, decontaminate, line_dedup, oracles, packing, quality_model, quality_rules, runs, secrets, simhash, substring, url_filter, warc
 from .common import documents
 
 #: (host, path, verdict)
@@ -89,6 +89,12 @@ def op11_periodic_runs(spark, sf_dir):
     return runs.digest(runs.find_runs(runs.with_planted_repeats(documents(spark, sf_dir))))
 
 
+@query
+def op12_conversation_repair(spark, sf_dir):
+    rows = conversations.with_planted_faults(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+    return conversations.digest(conversations.repair(rows, kept_col="kept"))
+
+
 ORACLES.update(
     op1_decontamination=oracles.OP1, op3_line_dedup=oracles.OP3, op4_warc=oracles.OP4, op5_quality_rules=oracles.OP5,
     op8_secret_scan=oracles.secrets_sql(secrets.RULES, secrets.BASE), op10_substring_dedup=oracles.OP10)
