@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulcube.session import scratch_dir
 
-from . import conversations, decontaminate, line_dedup, oracles, packing, quality_model, quality_rules, runs, secrets, simhash, substring, url_filter, warc
+from . import conversations, decontaminate, line_dedup, oracles, packing, personal, quality_model, quality_rules, runs, secrets, simhash, substring, url_filter, warc
 from .common import documents
 
 #: (host, path, verdict)
@@ -95,6 +95,11 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.digest(conversations.repair(rows, kept_col="kept"))
 
 
+@query
+def op13_personal_data(spark, sf_dir):
+    return personal.digest(personal.find_identifiers(documents(spark, sf_dir)))
+
+
 ORACLES.update(
     op1_decontamination=oracles.OP1, op3_line_dedup=oracles.OP3, op4_warc=oracles.OP4, op5_quality_rules=oracles.OP5,
     op8_secret_scan=oracles.secrets_sql(secrets.RULES, secrets.BASE), op10_substring_dedup=oracles.OP10)
