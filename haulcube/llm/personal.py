@@ -230,5 +230,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, r=r: s["base"] & (s["rank"] == r))).cast("long").alias(f"n_{k}") for r, k in enumerate(KINDS)]
+
+    def number(rank):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["rank"] == rank))).cast("long")
+    counts = [number(r).alias(f"n_{k}") for r, k in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
