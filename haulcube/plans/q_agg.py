@@ -327,15 +327,16 @@ SEQ_SQL = """seq AS (SELECT District_Code, week_start, tons_refuse AS target,
   row_number() OVER (PARTITION BY District_Code ORDER BY week_start) AS rn,
   list([tons_refuse, tons_paper, tons_mgp]) OVER (PARTITION BY District_Code ORDER BY week_start ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING) AS win
   FROM cube),
-seqs AS (SELECT * FROM seq WHERE rn > 52 AND week_start <= (SELECT max(week_start) - 364 FROM cube))"""
+seqs AS (SELECT * FROM seq WHERE rn > 52)"""
+TRAIN_SEQ = "trainseqs AS (SELECT * FROM seqs WHERE week_start <= (SELECT max(week_start) - 364 FROM cube))"
 
 
-@query("a35_sequence_scaling", sql(DCUBE_CTE, SEQ_SQL, select="""SELECT
+@query("a35_sequence_scaling", sql(DCUBE_CTE, SEQ_SQL, TRAIN_SEQ, select="""SELECT
   round(avg(c[1]), 6) AS tons_refuse_mean, round(stddev_pop(c[1]) + 1e-8, 6) AS tons_refuse_std,
   round(avg(c[2]), 6) AS tons_paper_mean, round(stddev_pop(c[2]) + 1e-8, 6) AS tons_paper_std,
   round(avg(c[3]), 6) AS tons_mgp_mean, round(stddev_pop(c[3]) + 1e-8, 6) AS tons_mgp_std,
-  round((SELECT avg(target) FROM seqs), 6) AS y_mean, round((SELECT stddev_pop(target) FROM seqs) + 1e-8, 6) AS y_std
-FROM (SELECT unnest(win) AS c FROM seqs)"""))
+  round((SELECT avg(target) FROM trainseqs), 6) AS y_mean, round((SELECT stddev_pop(target) FROM trainseqs) + 1e-8, 6) AS y_std
+FROM (SELECT unnest(win) AS c FROM trainseqs)"""))
 def a35(spark, sf):
     cube = district_cube(spark, sf)
     train = FT.sequences(cube).filter(F.col("week_start") <= FT.cutoff_of(cube))     # statistics of the training weeks only

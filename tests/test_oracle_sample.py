@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 SAMPLE = ["a4_weekly_cube", "p2_clean_loads", "a26_forecast_metrics", "t2_feature_table", "a24_group_correlation",
           "w8_interpolate_gaps", "j11_densify_calendar", "s1_csv_scan", "j7_overlay_intersection",
           "a31_population_allocation", "g6_dissolve", "m9_cluster_metrics", "m11_dbscan", "m13_adjusted_rand_matrix",
-          "w12_autocorrelation", "a20_histogram"]
+          "w12_autocorrelation", "w7_sequence_windows", "a35_sequence_scaling", "a20_histogram"]
 
 
 def _norm(v):
