@@ -1,20 +1,21 @@
 """Automatic eps and DBSCAN.
 
-eps: k-th neighbour distances (block-tiled), sorted with a distributed global
+eps: k-th neighbour distances (pivot index), sorted with a distributed global
 index, knee = arg-max of the second difference (joins on index + 1, + 2).
-DBSCAN: radius graph (block-tiled), core = degree >= min_samples (self
-included), connected components of core points by min-label propagation
-(iterated to a fixpoint, checkpointed every round), cluster number = rank of
-each component's smallest core id, border points -> smallest neighbouring
+DBSCAN: radius graph (pivot index), core = degree >= min_samples (self
+included), connected components of core points in logarithmic rounds,
+cluster number = rank of each component's smallest core id, border points -> smallest neighbouring
 cluster, everything else -1.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...session import pinned
+from ..components import components
 from ..ordering import global_index
-from .pairs import knn_distances, radius_edges
+from .metric_index import knn_distances, radius_edges
 
 
 def knee(values: DataFrame, value: str) -> DataFrame:
@@ -44,25 +45,15 @@ def auto_eps(points: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
 
 
 def dbscan(points: DataFrame, id_col: str, vec: str, eps: float, min_samples: int = 3) -> DataFrame:
-    """(id, cluster) with -1 for noise.  Labels only fall, so the propagation ends by itself."""
-    edges = radius_edges(points, id_col, vec, eps).checkpoint(eager=True)
+    """(id, cluster) with -1 for noise."""
+    edges = pinned(radius_edges(points, id_col, vec, eps), "dbscan-edges")
     deg = edges.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.filter(F.col("deg") >= min_samples).select(F.col("i").alias("u"))
+    core = pinned(deg.filter(F.col("deg") >= min_samples).select(F.col("i").alias("u")), "dbscan-core")
     cc = edges.join(core.withColumnRenamed("u", "i"), "i").join(core.withColumnRenamed("u", "j"), "j") \
-        .filter(F.col("i") != F.col("j")).select("i", "j").checkpoint(eager=True)
-    lab = core.select("u", F.col("u").alias("lab")).checkpoint(eager=True)
-    while True:
-        nb = cc.join(lab.select(F.col("u").alias("j"), F.col("lab").alias("lj")), "j") \
-            .groupBy("i").agg(F.min("lj").alias("m"))
-        new = lab.join(nb.withColumnRenamed("i", "u"), "u", "left") \
-            .select("u", F.least("lab", F.coalesce("m", "lab")).alias("lab"), (F.col("m") < F.col("lab")).alias("_chg"))
-        new = new.checkpoint(eager=True)
-        changed = new.filter(F.col("_chg")).limit(1).count()
-        lab = new.drop("_chg")
-        if not changed:
-            break
-    comps = lab.select("lab").distinct()
-    num = global_index(comps, ["lab"], "cluster")
+        .filter(F.col("i") < F.col("j")).select("i", "j")
+    lab, _ = components(core.select(F.col("u").alias("node")), cc)
+    lab = lab.select(F.col("node").alias("u"), F.col("component").alias("lab"))
+    num = global_index(lab.select("lab").distinct(), ["lab"], "cluster")
     core_lab = lab.join(num, "lab").select("u", "cluster")
     border = edges.join(core_lab.select(F.col("u").alias("j"), "cluster"), "j") \
         .groupBy("i").agg(F.min("cluster").alias("bc"))

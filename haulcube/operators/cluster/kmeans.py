@@ -1,13 +1,22 @@
 """PCA and K-means on Spark ML (M3, M4, M5)."""
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import silhouette
+from ...session import pinned
+from .metrics import silhouettes
+
+#: Fits that run as concurrent jobs; each is a chain of short jobs, so one alone leaves most executors idle.
+CONCURRENT_FITS = 8
+ROWS_PER_TASK = 20_000
 
 
 def pca_95(df: DataFrame, vec: str, out: str = "pca", variance: float = 0.95):
@@ -30,29 +39,58 @@ def pca_95(df: DataFrame, vec: str, out: str = "pca", variance: float = 0.95):
     return out_df, k, model
 
 
+def fit_all(df: DataFrame, vec: str, k_values, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> dict[int, tuple]:
+    """{k: (model, cost)}: for each k the best of `n_init` seeded runs by within-cluster sum of squares.
+
+    The vectors are written once; all (k, start) fits run as concurrent jobs over them.
+    """
+    table = pinned(df.select(F.col(vec).alias("_v")), "kmeans-input")
+    tasks = max(1, math.ceil(table.count() / ROWS_PER_TASK))
+    v = table.select(array_to_vector("_v").alias("_v")).coalesce(tasks).persist()
+
+    def fit(job):
+        k, s = job
+        model = KMeans(k=k, seed=seed + s, maxIter=max_iter, featuresCol="_v", predictionCol="_c", tol=1e-6).fit(v)
+        return model, model.summary.trainingCost
+    jobs = [(k, s) for k in k_values for s in range(n_init)]
+    try:
+        with ThreadPoolExecutor(CONCURRENT_FITS) as pool:
+            done = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), jobs))
+    finally:
+        v.unpersist()
+    best = {}
+    for (k, _), (model, cost) in zip(jobs, done):
+        if k not in best or cost < best[k][1]:
+            best[k] = model, cost
+    return best
+
+
+def labelled(df: DataFrame, vec: str, model, out: str = "cluster") -> DataFrame:
+    return model.transform(df.withColumn("_v", array_to_vector(vec))).drop("_v").withColumnRenamed("_c", out)
+
+
 def kmeans_best_of(df: DataFrame, vec: str, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300):
-    """M4: best of `n_init` seeded runs by within-cluster sum of squares."""
-    v = df.withColumn("_v", array_to_vector(vec))
-    best = None
-    for s in range(n_init):
-        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, featuresCol="_v", predictionCol="_c", tol=1e-6).fit(v)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    model, cost = best
-    return model.transform(v).drop("_v").withColumnRenamed("_c", "cluster"), cost, model
+    """M4: (labelled rows, cost, model) of the best of `n_init` seeded runs."""
+    model, cost = fit_all(df, vec, [k], n_init, seed, max_iter)[k]
+    return labelled(df, vec, model), cost, model
 
 
-def silhouette_by_k(df: DataFrame, id_col: str, vec: str, k_values, n_init: int = 10, seed: int = 42) -> DataFrame:
-    """M5: (k, silhouette, inertia) for each k; k is capped at n - 1."""
+def kmeans_search(df: DataFrame, id_col: str, vec: str, k_values, n_init: int = 10, seed: int = 42):
+    """M5: ([(k, silhouette, inertia)], {k: (model, cost)}); k is capped at n - 1 (N14), all silhouettes come from one pass."""
     n = df.count()
-    rows = []
-    for k in k_values:
-        if n < 3:
-            break
-        if k > n - 1:
-            continue
-        lab, cost, _ = kmeans_best_of(df, vec, k, n_init, seed)
-        sil = silhouette(lab, id_col, vec, "cluster").first()[0]
-        rows.append((int(k), sil, float(cost)))
+    ks = [k for k in k_values if n >= 3 and k <= n - 1]
+    fits = fit_all(df, vec, ks, n_init, seed) if ks else {}
+    lab = df.select(id_col, vec)
+    for k in ks:
+        lab = labelled(lab, vec, fits[k][0], f"_c{k}")
+    by = {}
+    if ks:
+        lab = pinned(lab.select(id_col, vec, F.array(*(F.col(f"_c{k}") for k in ks)).alias("_labels")), "kmeans-labels")
+        by = {r["labeling"]: r["silhouette"] for r in silhouettes(lab, id_col, vec, "_labels").collect()}     # a row per k
+    return [(int(k), by.get(i), float(fits[k][1])) for i, k in enumerate(ks)], fits
+
+
+def silhouette_by_k(df: DataFrame, id_col: str, vec: str, k_values, n_init: int = 10, seed: int = 42) -> DataFrame:
+    """M5: (k, silhouette, inertia) for each k."""
+    rows, _ = kmeans_search(df, id_col, vec, k_values, n_init, seed)
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")

@@ -6,15 +6,17 @@ the pair kernels and mapped back at the end.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...session import pinned
+from ..ordering import global_index
 from .dbscan import auto_eps, dbscan
-from .dtw import dtw_kmeans
+from .dtw import DtwSearch
 from .features import feature_matrix
-from .kmeans import kmeans_best_of, pca_95, silhouette_by_k
-from .metrics import cluster_metrics, silhouette
-from .ward import cut_tree, ward_linkage
+from .kmeans import kmeans_search, labelled, pca_95
+from .metrics import cluster_metrics, silhouettes
+from .ward import cut_tree, cut_tree_all, ward_linkage
 
 K_RANGE = range(2, 16)
 METRIC_SCHEMA = ("method string, silhouette double, calinski_harabasz double, davies_bouldin double, "
@@ -23,8 +25,9 @@ CURVE_SCHEMA = "method string, level string, k int, silhouette double, inertia d
 
 
 def keyed(X: DataFrame, group: str) -> DataFrame:
-    """The pinned feature matrix with a dense integer id `gid`."""
-    return X.select(group, "features", F.dense_rank().over(Window.orderBy(group)).cast("long").alias("gid")).checkpoint(eager=True)
+    """The pinned feature matrix with a dense integer id `gid`; only the ids are numbered."""
+    ids = global_index(X.select(group), [group], "gid").select(group, (F.col("gid") + 1).cast("long").alias("gid"))
+    return pinned(X.select(group, "features").join(ids, group), "level-matrix")
 
 
 def capped(k_values, n: int) -> list[int]:
@@ -36,25 +39,40 @@ def _best(curve) -> int:
     return max((c for c in curve if c[1] is not None), key=lambda c: c[1], default=(1, None))[0]
 
 
+def curve_of(X: DataFrame, id_col: str, vec: str, labels: DataFrame, k_values) -> list[tuple]:
+    """[(k, silhouette)] of `labels` (id, k, cluster), from one pass over the distances."""
+    ks = sorted(k_values)
+    if not ks:
+        return []
+    wide = labels.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("k", "cluster"))).alias("_l"))
+    got = silhouettes(X.join(wide, id_col).select(id_col, vec, F.col("_l.cluster").alias("_labels")), id_col, vec, "_labels")
+    by = {r["labeling"]: r["silhouette"] for r in got.collect()}        # a row per k
+    return [(k, by.get(i)) for i, k in enumerate(ks)]
+
+
 def dtw_search(X: DataFrame, id_col: str, vec: str, k_values, max_iter: int = 30, final_iter: int = 50):
-    """M6: a DTW k-means per k, refitted at the k of the best Euclidean silhouette; (assignments, k, [(k, silhouette)])."""
-    series, curve = X.select(id_col, vec), []
-    for k in k_values:
-        a, _ = dtw_kmeans(series, id_col, vec, k, max_iter=max_iter)
-        curve.append((k, silhouette(X.join(a.select(id_col, "cluster"), id_col), id_col, vec, "cluster").first()[0]))
+    """M6: DTW k-means for every k at once, refitted at the k of the best Euclidean silhouette; (assignments, k, [(k, silhouette)]).
+
+    The refit starts like the search did, so it goes on from the search's centres.
+    """
+    search = DtwSearch(X, id_col, vec, k_values).advance(max_iter)
+    labels = pinned(search.assign(), "dtw-labels")
+    curve = curve_of(X, id_col, vec, labels, search.centres)
     best = _best(curve)
-    return dtw_kmeans(series, id_col, vec, best, max_iter=final_iter)[0], best, curve
+    if best not in search.centres:
+        search = DtwSearch(X, id_col, vec, [best])
+    return search.advance(final_iter, [best]).assign([best]).drop("k"), best, curve
 
 
 def ward_search(X: DataFrame, id_col: str, vec: str, k_values):
     """M8: the Ward tree cut at the k of the best silhouette; (assignments, k, [(k, silhouette)])."""
     lk, leaves = ward_linkage(X.select(id_col, vec), id_col, vec)
-    cuts, curve = {}, []
-    for k in k_values:
-        cuts[k] = cut_tree(lk, leaves, id_col, k).checkpoint(eager=True)
-        curve.append((k, silhouette(X.join(cuts[k], id_col), id_col, vec, "cluster").first()[0]))
+    if not k_values:
+        return cut_tree(lk, leaves, id_col, 1), 1, []
+    cuts = pinned(cut_tree_all(lk, leaves, id_col, k_values), "ward-cuts")
+    curve = curve_of(X, id_col, vec, cuts, k_values)
     best = _best(curve)
-    return cuts[best] if best in cuts else cut_tree(lk, leaves, id_col, best), best, curve
+    return (cuts.where(F.col("k") == best).drop("k") if best in k_values else cut_tree(lk, leaves, id_col, best)), best, curve
 
 
 def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_refuse", coverage: float = 0.8,
@@ -75,20 +93,20 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
         rows.append((method, m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"], m["n_clusters"],
                      best_k, eps, n_noise, level))
 
-    # K-means on the PCA projection
+    # K-means on the PCA projection; the fit at the best k is among those of the search
     pca, _, _ = pca_95(X, "features")
-    pca = pca.checkpoint(eager=True)
-    by_k = silhouette_by_k(pca, "gid", "pca", ks, n_init=n_init).orderBy(F.desc("silhouette"), "k").collect()   # one row per k
-    curve += [("KMeans", level, r["k"], r["silhouette"], r["inertia"]) for r in by_k]
-    sil = by_k[0]
-    lab, _, _ = kmeans_best_of(pca, "pca", sil["k"], n_init=n_init)
+    pca = pinned(pca.select(group, "gid", "pca"), "level-pca")
+    by_k, fits = kmeans_search(pca, "gid", "pca", ks, n_init=n_init)
+    curve += [("KMeans", level, k, s, inertia) for k, s, inertia in by_k]
+    best_k = _best(by_k)
+    lab = labelled(pca, "pca", fits[best_k][0])
     labels["cluster_kmeans"] = lab.select("gid", F.col("cluster").cast("int").alias("c"))
-    metric_row("KMeans", lab, "pca", "cluster", best_k=sil["k"])
+    metric_row("KMeans", lab, "pca", "cluster", best_k=best_k)
 
     # DTW k-means (Euclidean silhouette picks k)
     final, best_k, by_k = dtw_search(X, "gid", "features", ks, dtw_iter, dtw_final_iter)
     curve += [("DTW-KMeans", level, k, s, None) for k, s in by_k]
-    final = final.select("gid", "cluster").checkpoint(eager=True)
+    final = pinned(final.select("gid", "cluster"), "dtw-final")
     labels["cluster_dtw_kmeans"] = final.select("gid", F.col("cluster").cast("int").alias("c"))
     metric_row("DTW-KMeans", X.join(final, "gid"), "features", "cluster", best_k=best_k)
 
@@ -100,7 +118,7 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
 
     # DBSCAN with the knee eps
     eps = auto_eps(X, "gid", "features").first()["eps"]
-    db = dbscan(X, "gid", "features", eps, 3).checkpoint(eager=True)
+    db = pinned(dbscan(X, "gid", "features", eps, 3), "dbscan-labels")
     labels["cluster_dbscan"] = db.select("gid", F.col("cluster").alias("c"))
     n_noise = db.filter(F.col("cluster") == -1).count()
     metric_row("DBSCAN", X.join(db, "gid"), "features", "cluster", eps=float(eps), n_noise=n_noise)

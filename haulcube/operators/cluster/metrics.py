@@ -6,10 +6,13 @@ dispersion aggregates; the adjusted Rand index from a contingency table.
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import distance_sums
+from ...session import pinned
+from .pairs import _dist, _mat, distance_sums, tile_apply
 
 
 def dim_means(df: DataFrame, vec: str, keys) -> DataFrame:
@@ -25,17 +28,36 @@ def sqdist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def silhouettes(points: DataFrame, id_col: str, vec: str, labels: str) -> DataFrame:
+    """(labeling, silhouette): mean over the non-noise points of each labeling of the array column `labels`, from one pass over
+    the distances; a labeling of fewer than 2 clusters has no row."""
+    s = distance_sums(points, id_col, vec, labels)
+    own = F.col("label") == F.col("other")
+    per = s.groupBy("labeling", "id").agg(
+        F.max(F.when(own, F.when(F.col("n") > 1, F.col("sum_d") / (F.col("n") - 1)).otherwise(0.0))).alias("a"),
+        F.max(F.when(own, F.col("n") == 1)).alias("single"),
+        F.min(F.when(~own, F.col("sum_d") / F.col("n"))).alias("b")).where("b is not null")
+    sv = F.when(F.col("single") | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.groupBy("labeling").agg(F.avg(sv).alias("silhouette"))
+
+
 def silhouette(points: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
     """Mean silhouette over non-noise points (null when fewer than 2 clusters)."""
-    p = points.filter(F.col(label) != -1)
-    s = distance_sums(p, id_col, vec, label)
-    own = s.filter(F.col("label") == F.col("other")).select(
-        "id", F.when(F.col("n") > 1, F.col("sum_d") / (F.col("n") - 1)).otherwise(F.lit(0.0)).alias("a"),
-        (F.col("n") == 1).alias("single"))
-    other = s.filter(F.col("label") != F.col("other")).groupBy("id").agg(F.min(F.col("sum_d") / F.col("n")).alias("b"))
-    j = own.join(other, "id")
-    sv = F.when(F.col("single"), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return j.agg(F.avg(sv).alias("silhouette"))
+    s = silhouettes(points.select(id_col, vec, F.array(label).alias("_labels")), id_col, vec, "_labels")
+    return s.agg(F.max("silhouette").alias("silhouette"))
+
+
+def _worst_ratio(l, r):
+    """Davies-Bouldin: per cluster of the left tile the largest (S + S') / distance to a cluster of the right tile."""
+    parts = [pd.DataFrame({"k": pd.Series(dtype="int64"), "r": pd.Series(dtype="float64")})]
+    if len(l) and len(r):
+        li, ri, sl, sr = l["_k"].to_numpy(), r["_k"].to_numpy(), l["S"].to_numpy(), r["S"].to_numpy()
+        for s, D in _dist(_mat(l["mu"]), _mat(r["mu"])):
+            ratio = np.full(D.shape, -np.inf)
+            other = li[s:s + len(D), None] != ri[None, :]
+            np.divide(sl[s:s + len(D), None] + sr[None, :], D, out=ratio, where=other)
+            parts.append(pd.DataFrame({"k": li[s:s + len(D)], "r": ratio.max(axis=1)}))
+    return pd.concat(parts[1:] or parts, ignore_index=True)
 
 
 def cluster_metrics(points: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
@@ -45,7 +67,8 @@ def cluster_metrics(points: DataFrame, id_col: str, vec: str, label: str) -> Dat
         return points.sparkSession.createDataFrame(
             [(None, None, None, int(n_clusters))],
             "silhouette double, calinski_harabasz double, davies_bouldin double, n_clusters int")
-    p = points.filter(F.col(label) != -1).select(id_col, vec, F.col(label).alias("_k")).checkpoint(eager=True)
+    p = points.filter(F.col(label) != -1).select(id_col, vec, F.col(label).alias("_k"))
+    p = pinned(p, "metric-points")
     cents = dim_means(p, vec, ["_k"])
     mu = dim_means(p, vec, []).first()["mu"]
     mu_c = F.array(*[F.lit(float(x)) for x in mu])
@@ -58,14 +81,9 @@ def cluster_metrics(points: DataFrame, id_col: str, vec: str, label: str) -> Dat
     k = n_clusters
     ch = c.agg(((F.sum(F.col("n_c") * sqdist(F.col("mu"), mu_c)) / (k - 1)) /
                 (F.sum("wss") / (n - k))).alias("ch")).first()[0]
-    # cluster pairs: each centroid row explodes the k cluster ids (k = n_clusters,
-    # already known and small), then an equi-join on the partner id
-    ks = [r[0] for r in c.select("_k").collect()]
-    c2 = c.select(F.col("_k").alias("_j"), F.col("mu").alias("mu_j"), F.col("S").alias("S_j"))
-    ex = c.select("_k", "mu", "S", F.explode(F.array(*[F.lit(x) for x in ks])).alias("_j"))
-    rr = ex.filter(F.col("_k") != F.col("_j")).join(c2, "_j").select(
-        "_k", ((F.col("S") + F.col("S_j")) / F.sqrt(sqdist(F.col("mu"), F.col("mu_j")))).alias("r"))
-    db = rr.groupBy("_k").agg(F.max("r").alias("r")).agg(F.avg("r")).first()[0]
+    # worst ratio per cluster over tiles of centres
+    c = c.select(F.col("_k").cast("long").alias("_k"), "mu", "S")
+    db = tile_apply(c, ["_k", "mu", "S"], _worst_ratio, "k long, r double").groupBy("k").agg(F.max("r").alias("r")).agg(F.avg("r")).first()[0]
     sil = silhouette(p.withColumnRenamed("_k", label), id_col, vec, label).first()[0]
     return points.sparkSession.createDataFrame(
         [(sil, ch, db, int(k))], "silhouette double, calinski_harabasz double, davies_bouldin double, n_clusters int")

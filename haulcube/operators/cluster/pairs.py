@@ -1,4 +1,4 @@
-"""Block-tiled pairwise distance work (J9, J10, W14, M9, M7 support).
+"""Block-tiled pairwise distance work (J9, M9, M7 support).
 
 Points are hashed into tiles of bounded size; tile pairs are formed by
 exploding each point into the list of partner tiles (the replication scheme
@@ -35,9 +35,9 @@ def _sides(points: DataFrame, cols, tiles: int):
 
 
 def tile_apply(points: DataFrame, cols, fn, schema: str, block_rows: int = BLOCK_ROWS,
-               right: DataFrame | None = None) -> DataFrame:
-    """Apply fn(left_pdf, right_pdf) -> pdf on every (left tile, right tile) pair."""
-    tiles = n_tiles(points if right is None else points.unionByName(right.select(*cols)), block_rows)
+               right: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """Apply fn(left_pdf, right_pdf) -> pdf on every (left tile, right tile) pair; `rows` is the larger side's count where it is known."""
+    tiles = n_tiles(points if right is None else right, block_rows) if rows is None else max(1, math.ceil(rows / block_rows))
     l, r = _sides(points, cols, tiles)
     if right is not None:
         _, r = _sides(right, cols, tiles)
@@ -56,65 +56,31 @@ def _dist(a: np.ndarray, b: np.ndarray, chunk: int = 64):
 
 
 # ------------------------------------------------------------------ kernels
-def knn_distances(points: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
-    """(id, k-th smallest distance, self included) — NearestNeighbors(k).kneighbors()[:, -1]."""
-    def fn(l, r):
-        if l.empty or r.empty:
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "d": pd.Series(dtype=object)})
-        A, B = _mat(l[vec]), _mat(r[vec])
-        out_ids, out_d = [], []
-        kk = min(k, len(B))
-        for s, D in _dist(A, B):
-            part = np.sort(np.partition(D, kk - 1, axis=1)[:, :kk], axis=1)
-            out_ids.extend(l[id_col].iloc[s:s + len(D)].tolist())
-            out_d.extend(part.tolist())
-        return pd.DataFrame({"id": out_ids, "d": out_d})
-    cand = tile_apply(points.select(id_col, vec), [id_col, vec], fn, "id long, d array<double>")
-    best = cand.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("ds"))
-    return best.select(F.col("id").alias(id_col), F.element_at("ds", -1).alias("kdist"))
-
-
-def radius_edges(points: DataFrame, id_col: str, vec: str, eps) -> DataFrame:
-    """(i, j, d) with d <= eps, self pairs included (DBSCAN neighbourhoods)."""
-    eps = float(eps)
-
-    def fn(l, r):
-        if l.empty or r.empty:
-            return pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
-        A, B = _mat(l[vec]), _mat(r[vec])
-        li, ri = l[id_col].to_numpy(), r[id_col].to_numpy()
-        parts = []
-        for s, D in _dist(A, B):
-            a, b = np.nonzero(D <= eps)
-            parts.append(pd.DataFrame({"i": li[s + a], "j": ri[b], "d": D[a, b]}))
-        return pd.concat(parts, ignore_index=True)
-    return tile_apply(points.select(id_col, vec), [id_col, vec], fn, "i long, j long, d double")
+def distance_sums(points: DataFrame, id_col: str, vec: str, labels: str) -> DataFrame:
+    """(labeling, id, label, other, sum_d, n): distances from each point to all points of each label (self included).
 
+    `labels` is an array column, one label per labeling; label -1 takes no part.  All labelings share one pass over the
+    distances: a block is multiplied with the stacked indicator columns of all their labels.
+    """
+    schema = "labeling int, id long, label long, other long, sum_d double, n long"
 
-def distance_sums(points: DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
-    """(id, label, other_label, sum_d, n) over all points of each other label (self included)."""
     def fn(l, r):
-        if l.empty or r.empty:
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "label": pd.Series(dtype="int64"),
-                                 "other": pd.Series(dtype="int64"), "sum_d": pd.Series(dtype="float64"),
-                                 "n": pd.Series(dtype="int64")})
-        A, B = _mat(l[vec]), _mat(r[vec])
-        rl = r[label].to_numpy()
-        labs = np.unique(rl)
-        onehot = (rl[:, None] == labs[None, :]).astype(np.float64)
-        cnt = onehot.sum(axis=0)
-        rows = []
-        for s, D in _dist(A, B):
-            sums = D @ onehot
-            ids = l[id_col].iloc[s:s + len(D)].to_numpy()
-            own = l[label].iloc[s:s + len(D)].to_numpy()
-            rows.append(pd.DataFrame({"id": np.repeat(ids, len(labs)), "label": np.repeat(own, len(labs)),
-                                      "other": np.tile(labs, len(ids)), "sum_d": sums.ravel(),
-                                      "n": np.tile(cnt, len(ids)).astype("int64")}))
-        return pd.concat(rows, ignore_index=True)
-    p = points.select(id_col, vec, F.col(label).cast("long").alias(label))
-    t = tile_apply(p, [id_col, vec, label], fn, "id long, label long, other long, sum_d double, n long")
-    return t.groupBy("id", "label", "other").agg(F.sum("sum_d").alias("sum_d"), F.sum("n").alias("n"))
+        parts = [pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if "double" in c else "int64") for c in schema.split(", ")})]
+        if len(l) and len(r):
+            L, R = _mat(l[labels]).astype(np.int64), _mat(r[labels]).astype(np.int64)
+            columns = [(k, x) for k in range(R.shape[1]) for x in np.unique(R[:, k]).tolist() if x != -1]
+            which, other = np.array([k for k, _ in columns], np.int64), np.array([x for _, x in columns], np.int64)
+            onehot = (R[:, which] == other[None, :]).astype(np.float64)
+            count = onehot.sum(axis=0).astype(np.int64)
+            ids = l[id_col].to_numpy(np.int64)
+            for s, D in _dist(_mat(l[vec]), _mat(r[vec])):
+                sums, own = D @ onehot, L[s:s + len(D)][:, which]
+                a, m = np.nonzero(own != -1)
+                parts.append(pd.DataFrame({"labeling": which[m], "id": ids[s + a], "label": own[a, m], "other": other[m], "sum_d": sums[a, m], "n": count[m]}))
+        return pd.concat(parts[1:] or parts, ignore_index=True)
+    p = points.select(F.col(id_col).cast("long").alias(id_col), vec, F.col(labels).cast("array<long>").alias(labels))
+    t = tile_apply(p, [id_col, vec, labels], fn, schema)
+    return t.groupBy("labeling", "id", "label", "other").agg(F.sum("sum_d").alias("sum_d"), F.sum("n").alias("n"))
 
 
 def distance_summary(points: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -140,24 +106,24 @@ def distance_summary(points: DataFrame, id_col: str, vec: str) -> DataFrame:
     return g.withColumnRenamed("id", id_col)
 
 
-def ward_nearest(clusters: DataFrame) -> DataFrame:
-    """Per active cluster (cid, size, c): nearest other cluster by Ward distance, ties -> smaller id."""
+def ward_nearest(asking: DataFrame, clusters: DataFrame, rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per row of `asking` (cid, size, c): the nearest other of `clusters` by Ward distance, ties -> smaller id."""
     def fn(l, r):
         if l.empty or r.empty:
             return pd.DataFrame({"cid": pd.Series(dtype="int64"), "nn": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
+        r = r.sort_values("cid")
         A, B = _mat(l["c"]), _mat(r["c"])
-        la, ra = l["size"].to_numpy(np.float64), r["size"].to_numpy(np.float64)
+        la, rb = l["size"].to_numpy(np.float64), r["size"].to_numpy(np.float64)[None, :]
         li, ri = l["cid"].to_numpy(), r["cid"].to_numpy()
         out = []
         for s, D in _dist(A, B):
             a = la[s:s + len(D), None]
-            W = np.sqrt(2 * a * rb / (a + rb)) * D if (rb := ra[None, :]) is not None else D
+            W = np.sqrt(2 * a * rb / (a + rb)) * D
             W = np.where(li[s:s + len(D), None] == ri[None, :], np.inf, W)
-            # smallest distance, ties by smaller partner id: lexsort per row
-            order = np.lexsort((np.broadcast_to(ri, W.shape), W), axis=1)
-            j = order[:, 0]
+            j = W.argmin(axis=1)                            # the first, so the smallest id
             out.append(pd.DataFrame({"cid": li[s:s + len(D)], "nn": ri[j], "d": W[np.arange(len(D)), j]}))
         return pd.concat(out, ignore_index=True)
-    t = tile_apply(clusters.select("cid", "size", "c"), ["cid", "size", "c"], fn, "cid long, nn long, d double")
+    cols = ["cid", "size", "c"]
+    t = tile_apply(asking.select(*cols), cols, fn, "cid long, nn long, d double", block_rows, right=clusters.select(*cols), rows=rows).where("d < double('inf')")
     return t.groupBy("cid").agg(F.min_by(F.struct("nn", "d"), F.struct("d", "nn")).alias("b")) \
         .select("cid", "b.nn", "b.d")

@@ -1,130 +1,87 @@
 """Ward agglomerative clustering by reciprocal-nearest-neighbour rounds (M7, M8).
 
-Ward linkage is reducible, so every pair of mutual nearest neighbours can be
-merged in the same round without changing the hierarchy.  Each round is a
-block-tiled nearest-neighbour search over the active clusters, a self-join
-for mutual pairs and a union; the active set is checkpointed every round.
-Merge heights are then sorted into the usual linkage table.
+Ward linkage is reducible: every pair of mutual nearest neighbours can be merged in the same round without
+changing the hierarchy, and a merged pair is never nearer to a third cluster than both its halves.  So a table of nearest
+neighbours is kept between rounds; only new clusters and those whose neighbour was merged search again (block-tiled).
+Equal distances go to the smaller id at every size, so the least pair of all is always mutual and each round merges.
+A round is two written tables.  Merge heights are sorted into the usual linkage table at the end.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...session import pinned
+from ..components import flatten
 from ..ordering import global_index
 from .pairs import BLOCK_ROWS, ward_nearest
 
 
-def _nn_chain(first_id: int):
-    """Finish Ward on a bounded active set (<= one block) in one task: NN-chain, O(m^2)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["cid"].astype("int64").tolist()
-        size = dict(zip(ids, pdf["size"].astype("float64")))
-        cen = {i: np.asarray(c, dtype=np.float64) for i, c in zip(ids, pdf["c"])}
-        active = sorted(ids)
-        nxt, chain, out = first_id, [], []
-        while len(active) > 1:
-            if not chain:
-                chain.append(active[0])
-            a = chain[-1]
-            others = np.array([i for i in active if i != a])
-            C = np.stack([cen[i] for i in others])
-            sz = np.array([size[i] for i in others])
-            d = np.sqrt(2 * size[a] * sz / (size[a] + sz)) * np.sqrt(((C - cen[a]) ** 2).sum(axis=1))
-            j = int(np.lexsort((others, d))[0])
-            b = int(others[j])
-            if len(chain) >= 2 and d[others == chain[-2]][0] <= d[j]:
-                b = chain[-2]
-            if len(chain) >= 2 and b == chain[-2]:
-                chain.pop(); chain.pop()
-                h = float(d[others == b][0])
-                n_ab = size[a] + size[b]
-                cen[nxt] = (cen[a] * size[a] + cen[b] * size[b]) / n_ab
-                size[nxt] = n_ab
-                out.append((nxt, min(a, b), max(a, b), h, int(n_ab)))
-                active = [i for i in active if i not in (a, b)] + [nxt]
-                nxt += 1
-            else:
-                chain.append(b)
-        return pd.DataFrame(out, columns=["m", "l", "r", "h", "size"])
-    return fn
-
-
-def ward_linkage(points: DataFrame, id_col: str, vec: str, max_rounds: int = 10_000,
-                 local_max: int = BLOCK_ROWS) -> DataFrame:
+def ward_linkage(points: DataFrame, id_col: str, vec: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Linkage table: (step, left, right, height, size); leaves are 0..n-1 by id order."""
     spark = points.sparkSession
-    leaves = global_index(points.select(id_col, vec), [id_col], "cid").checkpoint(eager=True)
+    numbered = global_index(points.select(id_col), [id_col], "cid").select(id_col, F.col("cid").cast("long").alias("cid"))
+    leaves = pinned(numbered.join(points.select(id_col, vec), id_col), "ward-leaves")
     n = leaves.count()
-    active = leaves.select(F.col("cid").cast("long").alias("cid"), F.lit(1).cast("long").alias("size"),
-                           F.col(vec).cast("array<double>").alias("c")).checkpoint(eager=True)
-    merges = None
-    next_id, remaining = n, n
-    for _ in range(max_rounds):
-        if remaining <= max(1, local_max):
-            break
-        nn = ward_nearest(active).checkpoint(eager=True)
-        mutual = nn.alias("a").join(nn.alias("b"), (F.col("a.nn") == F.col("b.cid")) & (F.col("b.nn") == F.col("a.cid"))) \
-            .filter(F.col("a.cid") < F.col("b.cid")).select(F.col("a.cid").alias("l"), F.col("b.cid").alias("r"), F.col("a.d").alias("h"))
-        mutual = global_index(mutual, ["h", "l"], "_i").select("l", "r", "h", (F.lit(next_id) + F.col("_i")).alias("m")) \
-            .checkpoint(eager=True)
-        k = mutual.count()
-        if k == 0:
-            raise RuntimeError("no mutual nearest neighbours found")
-        la = active.select(F.col("cid").alias("l"), F.col("size").alias("sl"), F.col("c").alias("cl"))
-        ra = active.select(F.col("cid").alias("r"), F.col("size").alias("sr"), F.col("c").alias("cr"))
-        mm = mutual.join(la, "l").join(ra, "r")
+    if n < 2:                                            # no merges
+        return spark.createDataFrame([], "step long, left long, right long, height double, size long"), leaves.select(id_col, "cid")
+    active = leaves.select("cid", F.lit(1).cast("long").alias("size"), F.col(vec).cast("array<double>").alias("c"))
+    state = pinned(active.join(ward_nearest(active, active, n, block_rows), "cid"), "ward-state")
+    merges, left, rounds = None, n, 0
+    while left > 1:
+        rounds += 1
+        a = state.select(F.col("cid").alias("l"), F.col("nn").alias("r"), F.col("d").alias("h"), F.col("size").alias("sl"), F.col("c").alias("cl"))
+        b = state.select(F.col("cid").alias("r"), F.col("nn").alias("l"), F.col("size").alias("sr"), F.col("c").alias("cr"))
         tot = F.col("sl") + F.col("sr")
-        newc = mm.select(F.col("m").alias("cid"), tot.alias("size"),
-                         F.zip_with("cl", "cr", lambda x, y: (x * F.col("sl") + y * F.col("sr")) / tot).alias("c"))
-        rec = mm.select("m", "l", "r", "h", tot.alias("size")).checkpoint(eager=True)
+        centre = F.zip_with("cl", "cr", lambda x, y: (x * F.col("sl") + y * F.col("sr")) / tot)
+        # a leaf is in one merge a round, so leaf number + round * n is a new id, and above all older ones
+        new = a.where("l < r").join(b, ["l", "r"]).select((F.pmod("l", F.lit(n)) + F.lit(rounds * n)).alias("m"), "l", "r", "h", tot.alias("size"), centre.alias("c"))
+        new = pinned(new, "ward-merged")
+        left -= new.count()
+        rec = new.select("m", "l", "r", "h", "size")
         merges = rec if merges is None else merges.unionByName(rec)
-        gone = mutual.select(F.col("l").alias("cid")).unionByName(mutual.select(F.col("r").alias("cid")))
-        active = active.join(gone, "cid", "left_anti").unionByName(newc).checkpoint(eager=True)
-        next_id += k
-        remaining -= k
-    else:
-        raise RuntimeError("Ward merging did not finish within max_rounds")
-    if remaining > 1:  # bounded remainder: one task
-        tail = active.groupBy(F.lit(0).alias("_g")).applyInPandas(
-            _nn_chain(next_id), "m long, l long, r long, h double, size long").checkpoint(eager=True)
-        merges = tail if merges is None else merges.unionByName(tail)
-    if merges is None:                                   # 0 or 1 point: no merges
-        empty = spark.createDataFrame([], "step long, left long, right long, height double, size long")
-        return empty, leaves.select(id_col, "cid")
+        if left == 1:
+            break
+        gone = new.select(F.explode(F.array("l", "r")).alias("cid"))
+        stay = state.join(gone, "cid", "left_anti")
+        lost = gone.select(F.col("cid").alias("nn"))
+        kept = stay.join(lost, "nn", "left_anti").select("cid", "size", "c", "nn", "d")
+        asking = stay.join(lost, "nn", "left_semi").select("cid", "size", "c").unionByName(new.select(F.col("m").alias("cid"), "size", "c"))
+        active = kept.select("cid", "size", "c").unionByName(asking)
+        state = pinned(kept.unionByName(asking.join(ward_nearest(asking, active, left, block_rows), "cid")), "ward-state")
     # order merges by height; internal ids -> n + step
-    steps = global_index(merges, ["h", "m"], "step")
+    steps = pinned(global_index(merges, ["h", "m"], "step"), "ward-steps")
     idmap = steps.select(F.col("m").alias("_m"), (F.lit(n) + F.col("step")).alias("_new"))
+
     def remap(c):
         return F.when(F.col(c) < n, F.col(c)).otherwise(F.col(f"{c}_new"))
     s = steps.join(idmap.withColumnRenamed("_m", "l").withColumnRenamed("_new", "l_new"), "l", "left") \
         .join(idmap.withColumnRenamed("_m", "r").withColumnRenamed("_new", "r_new"), "r", "left")
     lk = s.select("step", F.least(remap("l"), remap("r")).alias("left"), F.greatest(remap("l"), remap("r")).alias("right"),
                   F.col("h").alias("height"), F.col("size"))
-    return lk.checkpoint(eager=True), leaves.select(id_col, "cid")
+    return pinned(lk, "ward-linkage"), leaves.select(id_col, "cid")
 
 
 def cut_tree(linkage: DataFrame, leaves: DataFrame, id_col: str, k: int) -> DataFrame:
-    """M8: at most k clusters = components after the n - k lowest merges; labels 1..k."""
+    """M8: at most k clusters = components after the n - k lowest merges; labels 1..k by the number of their top node."""
+    return cut_tree_all(linkage, leaves, id_col, [k]).select(id_col, "cluster")
+
+
+def cut_tree_all(linkage: DataFrame, leaves: DataFrame, id_col: str, k_values) -> DataFrame:
+    """(id, k, cluster) of the cuts at every k, by one chain of pointer jumps."""
     n = leaves.count()
+    ks = F.explode(F.array(*(F.lit(int(k)) for k in k_values)))
     if n == 0:
-        return leaves.select(id_col, F.lit(1).alias("cluster"))
-    keep = linkage.filter(F.col("step") < n - k)
-    par = keep.select(F.col("left").alias("node"), (F.lit(n) + F.col("step")).alias("parent")) \
-        .unionByName(keep.select(F.col("right").alias("node"), (F.lit(n) + F.col("step")).alias("parent")))
-    ptr = leaves.select(F.col("cid").alias("node")).join(par, "node", "left") \
-        .select("node", F.coalesce("parent", "node").alias("root")).unionByName(
-            par.select(F.col("parent").alias("node")).distinct().join(par, "node", "left")
-            .select("node", F.coalesce("parent", "node").alias("root"))).checkpoint(eager=True)
-    while True:  # pointer jumping: depth halves every round
-        nxt = ptr.alias("a").join(ptr.alias("b"), F.col("a.root") == F.col("b.node"), "left") \
-            .select(F.col("a.node").alias("node"), F.coalesce(F.col("b.root"), F.col("a.root")).alias("root"),
-                    (F.col("b.root") != F.col("a.root")).alias("_chg")).checkpoint(eager=True)
-        ptr = nxt.drop("_chg")
-        if nxt.filter(F.col("_chg")).limit(1).count() == 0:
-            break
-    lab = ptr.filter(F.col("node") < n)
-    roots = lab.select("root").distinct().select("root", F.dense_rank().over(Window.orderBy("root")).alias("cluster"))
-    return leaves.join(lab.withColumnRenamed("node", "cid"), "cid").join(roots, "root").select(id_col, "cluster")
+        return leaves.select(id_col, ks.alias("k"), F.lit(1).alias("cluster"))
+    at = F.lit(n) + F.col("step")
+    merged = linkage.select("step", at.alias("parent"), F.explode(F.array("left", "right")).alias("child"), ks.alias("k")).where(F.col("step") < n - F.col("k"))
+    below = merged.select(F.struct("k", F.col("child").alias("id")).alias("node"), F.struct("k", F.col("parent").alias("id")).alias("parent"))
+    tops = leaves.select(F.col("cid").alias("id"), ks.alias("k")).unionByName(merged.select(F.col("parent").alias("id"), "k").distinct())
+    tops = tops.select(F.struct("k", "id").alias("node"))
+    nodes = tops.join(below, "node", "left").select("node", F.coalesce("parent", "node").alias("parent"))
+    flat = flatten(pinned(nodes, "cut-nodes")).where(F.col("node.id") < n)
+    flat = flat.select(F.col("node.k").alias("k"), F.col("node.id").alias("cid"), F.col("parent.id").alias("top"))
+    roots = global_index(flat.select("k", "top").distinct(), ["k", "top"], "i")
+    first = roots.groupBy("k").agg(F.min("i").alias("i0"))
+    roots = roots.join(first, "k").select("k", "top", (F.col("i") - F.col("i0") + 1).cast("int").alias("cluster"))
+    return leaves.join(flat, "cid").join(roots, ["k", "top"]).select(id_col, "k", "cluster")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators.cluster import dbscan as DB
 from ..operators.cluster import metrics as MT
 from ..operators.cluster.features import feature_long, feature_matrix, multistream_matrix
-from ..operators.cluster.pairs import distance_summary, knn_distances, radius_edges
+from ..operators.cluster.metric_index import knn_distances, radius_edges
+from ..operators.cluster.pairs import distance_summary
+from ..session import pinned
 from ..sources.tables import table
 from .base import CLEAN_CTE, DCUBE_CTE, SCUBE_ONLY, district_cube, section_cube, sql
 from .q_agg import MLONG_SQL
@@ -66,11 +68,10 @@ def m4(spark, sf):
 @query("m5_silhouette_by_k")
 def m5(spark, sf):
     from ..operators.cluster.kmeans import pca_95, silhouette_by_k
-    from ..operators.cluster.level import K_RANGE
-    f = feature_matrix(district_cube(spark, sf), G, "tons_total")
-    pca, _, _ = pca_95(f, "features")
-    return silhouette_by_k(pca.select(F.dense_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(G)).cast("long").alias("gid"), "pca"),
-                           "gid", "pca", K_RANGE)
+    from ..operators.cluster.level import K_RANGE, keyed
+    X = keyed(feature_matrix(district_cube(spark, sf), G, "tons_total"), G)
+    pca, _, _ = pca_95(X, "features")
+    return silhouette_by_k(pca.select("gid", "pca"), "gid", "pca", K_RANGE)
 
 
 @query("m6_dtw_kmeans")
@@ -210,25 +211,35 @@ def m13(spark, sf):
     return out
 
 
-def _level(cube, group, level):
-    """Every method on one level; (assignments, metrics, curves)."""
+LEVELS = ((district_cube, G, "district"), (section_cube, "Section_Code", "section"))
+
+
+def _levels(spark, sf, part: int):
+    """One of the tables (assignments, metrics, curves) of both levels; assignments are tagged with their level."""
     from ..operators.cluster.level import cluster_level
-    cube = cube.select(group, "week_start", "tons_refuse", "tons_total").checkpoint(eager=True)
-    return cluster_level(cube, group, level, value="tons_total")
+    out = None
+    for cube_of, group, level in LEVELS:
+        cube = pinned(cube_of(spark, sf).select(group, "week_start", "tons_refuse", "tons_total"), "level-cube")
+        got = cluster_level(cube, group, level, value="tons_total")[part]
+        if part == 0:
+            got = got.withColumnRenamed(group, "group_id").withColumn("level", F.lit(level))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("m12_cluster_level")
 def m12(spark, sf):
-    """Metrics of both levels."""
-    return _level(district_cube(spark, sf), G, "district")[1].unionByName(_level(section_cube(spark, sf), "Section_Code", "section")[1])
+    """Metrics of all methods at both levels."""
+    return _levels(spark, sf, 1)
 
 
 @query("m12_cluster_assignments")
 def m12a(spark, sf):
-    return _level(district_cube(spark, sf), G, "district")[0]
+    """Clusters of every district and section under all methods."""
+    return _levels(spark, sf, 0)
 
 
 @query("m12_silhouette_curves")
 def m12c(spark, sf):
     """Silhouette by k of the searched methods, tagged with method and level."""
-    return _level(district_cube(spark, sf), G, "district")[2]
+    return _levels(spark, sf, 2)

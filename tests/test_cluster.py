@@ -3,10 +3,12 @@ import numpy as np
 import pytest
 
 from haulcube.operators.cluster.dbscan import dbscan
-from haulcube.operators.cluster.dtw import dtw
-from haulcube.operators.cluster.metrics import adjusted_rand, silhouette
-from haulcube.operators.cluster.pairs import knn_distances
-from haulcube.operators.cluster.ward import cut_tree, ward_linkage
+from haulcube.operators.cluster.dtw import DtwSearch, dtw, dtw_costs, nearest_centres
+from haulcube.operators.cluster.metrics import adjusted_rand, cluster_metrics, silhouette, silhouettes
+from haulcube.operators.cluster import metric_index as MI
+from haulcube.operators.cluster.metric_index import knn_distances, radius_edges
+from haulcube.operators.cluster.ward import cut_tree, cut_tree_all, ward_linkage
+from haulcube.operators.components import components
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +47,9 @@ def test_knn_brute(pts):
 
 def test_ward_heights_and_cut(pts):
     X, df = pts
-    lk, leaves = ward_linkage(df, "id", "v", local_max=8)     # distributed rounds, then local finish
+    lk, leaves = ward_linkage(df, "id", "v")
+    tiled, _ = ward_linkage(df, "id", "v", block_rows=16)
+    assert [r[:3] + r[4:] for r in sorted(lk.collect())] == [r[:3] + r[4:] for r in sorted(tiled.collect())]
     heights = sorted(r["height"] for r in lk.collect())
     cl = {i: (1, X[i]) for i in range(len(X))}
     hs, nid = [], 1000
@@ -58,6 +62,10 @@ def test_ward_heights_and_cut(pts):
         nid += 1
         hs.append(d)
     assert np.allclose(heights, sorted(hs))
+    cuts = cut_tree_all(lk, leaves, "id", [2, 3, 5]).collect()
+    for k in (2, 3, 5):
+        one = {r["id"]: r["cluster"] for r in cut_tree(lk, leaves, "id", k).collect()}
+        assert one == {r["id"]: r["cluster"] for r in cuts if r["k"] == k} and set(one.values()) == set(range(1, k + 1))
     lab = {r["id"]: r["cluster"] for r in cut_tree(lk, leaves, "id", 3).collect()}
     assert len(set(lab.values())) == 3
     assert len({lab[i] for i in range(15)}) == 1 and len({lab[i] for i in range(30, 40)}) == 1
@@ -101,3 +109,114 @@ def test_dtw_brute():
             D[i, j] = (x[i - 1] - y[j - 1]) ** 2 + min(D[i - 1, j - 1], D[i - 1, j], D[i, j - 1])
     d, path = dtw(x, y)
     assert abs(d - np.sqrt(D[20, 17])) < 1e-12 and path[0] == (0, 0) and path[-1] == (19, 16)
+
+
+def test_ward_ties_and_tiny_inputs(spark):
+    """A grid is all ties: one rule at every tile size."""
+    df = spark.createDataFrame([(10 * i + j, [float(i), float(j)]) for i in range(5) for j in range(5)], "id long, v array<double>")
+    trees = [sorted(tuple(r) for r in ward_linkage(df, "id", "v", block_rows=b)[0].collect()) for b in (9, 2048)]
+    assert trees[0] == trees[1] and len(trees[0]) == 24
+    assert ward_linkage(df.limit(1), "id", "v")[0].count() == 0 and ward_linkage(df.limit(0), "id", "v")[0].count() == 0
+    chain = spark.createDataFrame([(i, [5.0 ** i]) for i in range(8)], "id long, v array<double>")     # one merge a round
+    assert [r["size"] for r in sorted(ward_linkage(chain, "id", "v")[0].collect())] == list(range(2, 9))
+
+
+def test_many_labelings_in_one_pass(pts):
+    X, df = pts
+    d = df.selectExpr("id", "v", "lab", "array(lab, id % 4, if(id % 5 = 0, -1, lab), 0) AS labs", "id % 4 AS m", "if(id % 5 = 0, -1, lab) AS noisy")
+    got = {r["labeling"]: r["silhouette"] for r in silhouettes(d, "id", "v", "labs").collect()}
+    want = [silhouette(d, "id", "v", c).first()[0] for c in ("lab", "m", "noisy")]
+    assert set(got) == {0, 1, 2} and all(abs(got[i] - w) < 1e-12 for i, w in enumerate(want))
+
+
+def test_davies_bouldin_brute(pts):
+    X, df = pts
+    lab = np.array([int(i >= 15) + int(i >= 30) for i in range(len(X))])
+    mu = np.array([X[lab == k].mean(0) for k in range(3)])
+    S = np.array([np.linalg.norm(X[lab == k] - mu[k], axis=1).mean() for k in range(3)])
+    want = np.mean([max((S[a] + S[b]) / np.linalg.norm(mu[a] - mu[b]) for b in range(3) if b != a) for a in range(3)])
+    assert abs(cluster_metrics(df, "id", "v", "lab").first()["davies_bouldin"] - want) < 1e-9
+
+
+def test_index_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    X = np.concatenate([rng.normal(c, 0.2, (30, 3)) for c in rng.uniform(-5, 5, (4, 3))] + [np.tile([[1.0, 2.0, 3.0]], (25, 1)), [[90.0, 0, 0]]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    for args in ({}, {"per_pivot": 25, "block_rows": 16}):
+        for eps in (0.0, 0.4):
+            got = {(r.i, r.j): r.d for r in radius_edges(df, "id", "v", eps, **args).collect()}
+            assert got.keys() == set(zip(*(a.tolist() for a in np.nonzero(D <= eps))))
+            assert all(abs(d - D[i, j]) < 1e-12 for (i, j), d in got.items())
+        for k in (5, 40):
+            want = np.sort(D, axis=1)[:, k - 1]
+            got = {r["id"]: r["kdist"] for r in knn_distances(df, "id", "v", k, **args).collect()}
+            assert len(got) == len(X) and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+    assert knn_distances(df.limit(3), "id", "v", 5).count() == 3 and radius_edges(df.limit(0), "id", "v", 1).count() == 0
+
+
+def test_index_pairs_a_tenth_of_clustered_points(spark):
+    rng = np.random.default_rng(9)
+    X = np.concatenate([rng.normal(c, 0.1, (1000, 4)) for c in rng.uniform(-10, 10, (20, 4))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    index = MI.build_index(df, "id", "v")
+    for visiting in (MI.visits(index, radius=0.05), MI.visits(index, MI._bounds(index, 5))):
+        sizes = dict(enumerate(index.sizes.tolist()))
+        pairs = sum(r["count"] * sizes[r["q"]] for r in visiting.groupBy("q").count().collect())
+        assert pairs < len(X) ** 2 / 10
+
+
+def test_components_of_a_long_chain(spark):
+    rng = np.random.default_rng(4)
+    order = rng.permutation(10_000).tolist()
+    links = list(zip(order, order[1:])) + [(20_000, 20_001), (20_001, 20_002), (20_002, 20_000), (30_000, 30_000)]
+    edges = spark.createDataFrame(links, "i long, j long")
+    nodes = edges.selectExpr("explode(array(i, j)) AS node")
+    got, rounds = components(nodes, edges)
+    assert rounds < 20 and {(r[0], r[1]) for r in got.groupBy("component").count().collect()} == {(0, 10_000), (20_000, 3), (30_000, 1)}
+
+
+def plain_cost(x, y):
+    D = np.full((len(x) + 1, len(y) + 1), np.inf)
+    D[0, 0] = 0
+    for i in range(len(x)):
+        for j in range(len(y)):
+            D[i + 1, j + 1] = (x[i] - y[j]) ** 2 + min(D[i, j], D[i, j + 1], D[i + 1, j])
+    return D
+
+
+def test_pruned_centres_equal_plain(spark):
+    rng = np.random.default_rng(2)
+    X, C = np.cumsum(rng.normal(size=(12, 70)), 1), np.cumsum(rng.normal(size=(9, 70)), 1)
+    plain = np.array([[plain_cost(x, c)[-1, -1] for c in C] for x in X])
+    cost, best = nearest_centres(X, C, [(0, 2), (2, 5), (5, 9)])
+    for g, (a, b) in enumerate([(0, 2), (2, 5), (5, 9)]):
+        assert (best[:, g] == a + plain[:, a:b].argmin(1)).all() and np.allclose(cost[:, g], plain[:, a:b].min(1), rtol=1e-12)
+    rows, cols = np.repeat(np.arange(12), 9), np.tile(np.arange(9), 12)
+    some = dtw_costs(X[rows], C[cols], np.full(108, np.median(plain)))
+    assert np.allclose(some[some < np.inf], plain[rows, cols][some < np.inf]) and (plain[rows, cols][np.isinf(some)] > np.median(plain)).all()
+
+
+def test_dtw_search_equals_plain_kmeans(spark):
+    rng = np.random.default_rng(6)
+    X = np.concatenate([np.sin(np.linspace(0, 6, 24) + p)[None] + rng.normal(0, 0.2, (6, 24)) for p in (0, 1.5, 3)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    search = DtwSearch(df, "id", "v", [2, 3, 4]).advance(4)
+    got = {(r.id, r.k): r.cluster for r in search.assign().collect()}
+    from pyspark.sql import functions as F
+    order = [r.id for r in df.orderBy(F.xxhash64("id", F.lit(42)), "id").collect()]
+    for k in (2, 3, 4):
+        centres = X[order[:k]].copy()
+        for _ in range(search.rounds[k]):
+            s, n = np.zeros_like(centres), np.zeros_like(centres)
+            for x in X:
+                c = int(np.argmin([plain_cost(x, y)[-1, -1] for y in centres]))
+                D = plain_cost(x, centres[c])
+                i = j = len(x)
+                while i:
+                    s[c, j - 1] += x[i - 1]
+                    n[c, j - 1] += 1
+                    _, i, j = min([(D[i - 1, j - 1], i - 1, j - 1), (D[i - 1, j], i - 1, j), (D[i, j - 1], i, j - 1)], key=lambda t: t[0])
+            centres = np.where(n > 0, s / np.maximum(n, 1), centres)
+        assert np.allclose(search.centres[k], centres)
+        assert all(got[i, k] == int(np.argmin([plain_cost(x, y)[-1, -1] for y in centres])) for i, x in enumerate(X))
