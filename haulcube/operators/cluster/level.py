@@ -76,7 +76,9 @@ def ward_search(X: DataFrame, id_col: str, vec: str, k_values):
 
 
 def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_refuse", coverage: float = 0.8,
-                  k_values=K_RANGE, n_init: int = 10, dtw_iter: int = 30, dtw_final_iter: int = 50):
+                  k_values=K_RANGE, n_init: int = 10, dtw_iter: int = 30, dtw_final_iter: int = 50,
+                  parts=("assignments", "metrics", "curves")):
+    """(assignments, metrics, curves); `parts` names those that are wanted, so that the others' own work is left out (None)."""
     spark = cube.sparkSession
     X = feature_matrix(cube, group, value, coverage)
     X = keyed(X, group)
@@ -89,6 +91,8 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     labels, rows, curve = {}, [], []
 
     def metric_row(method, pts, vec, lab, best_k=None, eps=None, n_noise=None):
+        if "metrics" not in parts:
+            return
         m = cluster_metrics(pts, "gid", vec, lab).first()
         rows.append((method, m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"], m["n_clusters"],
                      best_k, eps, n_noise, level))
@@ -104,7 +108,7 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     metric_row("KMeans", lab, "pca", "cluster", best_k=best_k)
 
     # DTW k-means (Euclidean silhouette picks k)
-    final, best_k, by_k = dtw_search(X, "gid", "features", ks, dtw_iter, dtw_final_iter)
+    final, best_k, by_k = dtw_search(X, "gid", "features", ks, dtw_iter, dtw_final_iter if set(parts) != {"curves"} else dtw_iter)
     curve += [("DTW-KMeans", level, k, s, None) for k, s in by_k]
     final = pinned(final.select("gid", "cluster"), "dtw-final")
     labels["cluster_dtw_kmeans"] = final.select("gid", F.col("cluster").cast("int").alias("c"))
@@ -116,6 +120,9 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     labels["cluster_hierarchical"] = cut.select("gid", F.col("cluster").cast("int").alias("c"))
     metric_row("Hierarchical", X.join(cut, "gid"), "features", "cluster", best_k=best_k)
 
+    if set(parts) == {"curves"}:
+        return None, None, spark.createDataFrame(curve, CURVE_SCHEMA)
+
     # DBSCAN with the knee eps
     eps = auto_eps(X, "gid", "features").first()["eps"]
     db = pinned(dbscan(X, "gid", "features", eps, 3), "dbscan-labels")
@@ -126,4 +133,4 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
     assign = X.select(group, "gid")
     for name, l in labels.items():
         assign = assign.join(l.withColumnRenamed("c", name), "gid", "left")
-    return assign.drop("gid"), spark.createDataFrame(rows, METRIC_SCHEMA), spark.createDataFrame(curve, CURVE_SCHEMA)
+    return (assign.drop("gid"), spark.createDataFrame(rows, METRIC_SCHEMA) if "metrics" in parts else None, spark.createDataFrame(curve, CURVE_SCHEMA))

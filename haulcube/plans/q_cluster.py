@@ -220,7 +220,7 @@ def _levels(spark, sf, part: int):
     out = None
     for cube_of, group, level in LEVELS:
         cube = pinned(cube_of(spark, sf).select(group, "week_start", "tons_refuse", "tons_total"), "level-cube")
-        got = cluster_level(cube, group, level, value="tons_total")[part]
+        got = cluster_level(cube, group, level, value="tons_total", parts=[("assignments", "metrics", "curves")[part]])[part]
         if part == 0:
             got = got.withColumnRenamed(group, "group_id").withColumn("level", F.lit(level))
         out = got if out is None else out.unionByName(got)
