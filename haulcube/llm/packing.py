@@ -23,16 +23,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, written
 
 LENGTH, WINDOW = 2048, 65536
-#: Distinct chunks (and letter runs) remembered by one Python worker, about 200 bytes each.
+#: Distinct runs remembered by one Python worker, about 200 bytes each.
 REMEMBERED = 600_000
 #: Marks that may follow a word as one run; not the apostrophe (contractions) nor the brackets of special tokens.
 MARKS = b"!#$%&()*+,-./:;=?@"
+LETTERS = "".join(chr(c) for c in range(0x250) if chr(c).isalpha())
 #: Pre-tokenizer of word vocabularies: letter runs, single digits and other runs stand alone, white space is dropped.
 RUNS = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -42,7 +44,8 @@ class Encoder:
 
     Where the tokenizer's own description says that white space is dropped and letter runs stand alone, white-space
     chunks are independent and so are a word of letters and the marks after it: each distinct chunk or lower-cased
-    letter run is encoded once.  Other tokenizers encode whole texts.
+    letter run is encoded once.  Other tokenizers encode whole texts.  Arrow splits a batch and numbers its distinct chunks and
+    runs, Python sees each distinct run of a batch once, and the ids are gathered by number.
     """
 
     def __init__(self, path: str):
@@ -63,8 +66,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of short texts, many to a call with a special token in between."""
@@ -95,35 +97,69 @@ class Encoder:
             out += [held[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, chunks: list[bytes]):
-        """Add the ids of new chunks to `known`; a word of (Latin) letters and the marks after it is put together from two runs."""
-        runs, whole, pairs = self.runs, [], []
-        for c in chunks:
-            w = c.rstrip(MARKS)
-            m = c[len(w):]
-            if w.isalpha():  # ASCII
-                pairs.append((c, w.lower(), m))
-            elif w and (t := w.decode()).isalpha() and max(t) < "\u0250":  # composed letters, so NFC leaves them
-                pairs.append((c, w, m))
-            else:
-                whole.append(c)
-        new = list({r for _, w, m in pairs for r in (w, m) if r and r not in runs})
-        runs.update(zip(new, self._encode_runs(new)))
-        self.known.update(zip(whole, self._encode_all(whole)))
-        runs[b""] = b""
-        for c, w, m in pairs:
-            self.known[c] = runs[w] + runs[m]
+    def _learn(self, runs: list[str], others: list[str]):
+        """Add the ids of new single runs and of new other chunks to `known`."""
+        new = [r.encode() for r in runs]
+        self.known.update(zip(runs, self._encode_runs(new)))
+        self.known.update(zip(others, self._encode_all([c.encode() for c in others])))
+
+    def _pieces(self, chunks):
+        """(first, rest, simple) of distinct chunks: a word of (Latin) letters and the marks after it are two runs, others stand whole.
+
+        Letters up to U+024F are composed, so NFC leaves them; ASCII words are lower-cased here, others by the tokenizer.
+        """
+        word = pc.ascii_rtrim(chunks, MARKS.decode())
+        simple = pc.and_(pc.equal(pc.utf8_ltrim(word, LETTERS), ""), pc.not_equal(word, ""))
+        word = pc.if_else(pc.string_is_ascii(word), pc.ascii_lower(word), word)
+        return pc.if_else(simple, word, chunks), pc.if_else(simple, pc.utf8_ltrim(chunks, LETTERS), ""), simple
+
+    def _lookup(self, keys, simple):
+        """(ids of all keys one after the other, begin, size) of distinct keys; `simple` tells the single runs."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.known[""] = b""
+        names = keys.to_pylist()
+        held = [self.known.get(k) for k in names]
+        missing = [i for i, x in enumerate(held) if x is None]
+        if missing:
+            self._learn([names[i] for i in missing if simple[i]], [names[i] for i in missing if not simple[i]])
+            for i in missing:
+                held[i] = self.known[names[i]]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        return np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size, size
+
+    def encode_column(self, texts) -> list[bytes]:
+        """Ids of an Arrow array of strings (null: empty)."""
+        texts = texts.fill_null("")
+        if not self.separate:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        first, rest, simple = self._pieces(words.dictionary)
+        runs = pa.concat_arrays([first, rest]).dictionary_encode()
+        single = np.ones(len(runs.dictionary), bool)
+        at = runs.indices.to_numpy()
+        n = len(first)
+        # a chunk that is no simple one (marks alone among them) is encoded whole
+        single[at[:n][~simple.to_numpy(zero_copy_only=False)]] = False
+        ids, begin, size = self._lookup(runs.dictionary, single)
+        ids, size = _take(ids, begin, size, np.stack([at[:n], at[n:]], 1).ravel())
+        size = size.reshape(-1, 2).sum(1)
+        ids, size = _take(ids, np.cumsum(size) - size, size, words.indices.to_numpy())
+        ends = np.append(0, np.cumsum(size))[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
+        held = ids.tobytes()
+        return [held[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        if not self.separate:
-            return [np.array(e.ids, "<u4").tobytes()
-                    for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        for held in (self.known, self.runs):
-            if len(held) > REMEMBERED:
-                held.clear()
-        split = [t.split() for t in texts]
-        self._learn(list(set().union(*split) - self.known.keys()))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        return self.encode_column(pa.array([t.decode() for t in texts], pa.string()))
+
+
+def _take(values: np.ndarray, begin: np.ndarray, size: np.ndarray, index: np.ndarray):
+    """(values, sizes) of the lists `index` of a ragged array, one after the other."""
+    n = size[index]
+    at = np.arange(int(n.sum()))
+    at += np.repeat(begin[index] - (np.cumsum(n) - n), n)
+    return values[at], n
 
 
 def _encoder(path: str) -> Encoder:
@@ -136,6 +172,17 @@ def _encoder(path: str) -> Encoder:
     return held.__dict__[path]
 
 
+def _slices(batch, column: int, rows: int = 2048, size: int = 8 << 20):
+    """Slices of at most `rows` rows whose texts have about `size` bytes, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right"))
+        b = min(max(b, a + 1), a + rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
            source_col: str = "source") -> DataFrame:
     """(id, queue, part, place, n, ids): ids are uint32 bytes; place counts the partition's earlier tokens of the queue."""
@@ -150,11 +197,9 @@ def tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str =
         encoder = _encoder(tokenizer_path)
         served: dict[str, int] = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows = batch.slice(a, 256)
+            for rows in _slices(batch, 2):
                 place, n, ids = [], [], []
-                texts = encoder.encode_batch([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in rows.column(2)])
-                for queue, x in zip(rows.column(1).to_pylist(), texts):
+                for queue, x in zip(rows.column(1).to_pylist(), encoder.encode_column(rows.column(2))):
                     x += end
                     at = served.get(queue, 0)
                     served[queue] = at + len(x) // 4
@@ -251,10 +296,9 @@ def _offsets(queues: DataFrame, rounds: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, window: int = WINDOW, end_id: int = 1,
-         targets: dict[str, float] | None = None, max_queues: int | None = None, id_col: str = "doc_id",
-         text_col: str = "text", source_col: str = "source") -> DataFrame:
+         targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per piece: id, start, ids (uint32 bytes), length, ids_crc32, doc_tokens, sequence_id, offset,
-    sequence_tokens, padded_length.  `max_queues` has no effect any more: no sources share a queue."""
+    sequence_tokens, padded_length."""
     table = written(tokens(docs, tokenizer_path, end_id, id_col, text_col, source_col), "pack-tokens")
     parts = written(table.groupBy("part", "queue").agg(F.sum("n").alias("n")), "pack-parts")
     sizes = written(parts.groupBy("queue").agg(F.sum("n").alias("size")), "pack-sizes")
