@@ -50,7 +50,7 @@ def gradient_boosting(cube: DataFrame, group: str = "District_Code", y: str = "t
 
     def fit(extra):
         settings = {"maxIter": trees, "maxDepth": BOOST_DEPTH, "stepSize": BOOST_RATE, "subsamplingRate": BOOST_SAMPLE,
-                    "featureSubsetStrategy": str(BOOST_SAMPLE), "cacheNodeIds": True, "checkpointInterval": 50}
+                    "featureSubsetStrategy": str(BOOST_SAMPLE)}
         return GBTRegressor(**{**settings, **extra}).fit(train)
     try:
         with ThreadPoolExecutor(len(configs)) as pool:
