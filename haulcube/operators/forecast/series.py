@@ -1,11 +1,10 @@
-"""Per-series solvers run as grouped Arrow functions.
+"""Per-series solvers run as grouped Arrow functions (T3, T4), and partial autocorrelations.
 
 Each group is one weekly series (bounded by the calendar, not by the facts),
 so `groupBy(group).applyInPandas` / `cogroup` gives one task call per series
 and the numpy work is vectorised inside it.  The kernels are small: a
-seasonal AR fitted by conditional least squares and chosen by AIC, a
-hinge-trend + Fourier ridge regression, LOESS-based STL and the
-Durbin-Levinson recursion.
+seasonal AR fitted by conditional least squares and chosen by AIC and a
+hinge-trend + Fourier ridge regression.
 """
 from __future__ import annotations
 
@@ -127,109 +126,21 @@ def per_group_forecast(train: DataFrame, test: DataFrame, group: str, y: str, ki
 
 
 # ------------------------------------------------------------------- PACF
-def pacf_values(x: np.ndarray, nlags: int) -> np.ndarray:
-    """Yule-Walker (biased acf) partial autocorrelations via Durbin-Levinson; pacf[0] = 1."""
-    x = x - x.mean()
-    n = len(x)
-    den = (x * x).sum()
-    r = np.array([1.0] + [(x[:n - k] * x[k:]).sum() / den for k in range(1, nlags + 1)])
-    out = [1.0]
-    phi = np.zeros(0)
-    for k in range(1, nlags + 1):
-        if k == 1:
-            a = r[1]
-        else:
-            a = (r[k] - (phi * r[1:k][::-1]).sum()) / (1 - (phi * r[1:k]).sum())
-        phi = np.append(phi - a * phi[::-1], a)
-        out.append(a)
-    return np.array(out)
-
-
 def pacf(df: DataFrame, group: str, time: str, y: str, nlags: int = 52) -> DataFrame:
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(time)[y].to_numpy(np.float64)
-        k = min(nlags, len(x) // 2 - 1)
-        v = pacf_values(x, k) if k >= 1 else np.array([1.0])
-        return pd.DataFrame({group: pdf[group].iloc[0], "lag": np.arange(len(v)), "pacf": v})
-    return spread(df.select(group, time, y), group).groupBy(group).applyInPandas(fn, f"{group} string, lag long, pacf double")
-
-
-# -------------------------------------------------------------------- STL
-def _loess(y: np.ndarray, x: np.ndarray, xo: np.ndarray, span: int, w: np.ndarray | None = None, deg: int = 1):
-    """Local linear (tricube) fit at every xo at once: an (len(xo) x n) weight matrix."""
-    n = len(y)
-    q = min(span, n)
-    w = np.ones(n) if w is None else w
-    d = np.abs(xo[:, None] - x[None, :])
-    h = np.partition(d, q - 1, axis=1)[:, q - 1]
-    if span > n:
-        h = h + (span - n) / 2
-    h = np.maximum(h, 1e-12)
-    u = np.clip(d / h[:, None], 0, 1)
-    k = (1 - u ** 3) ** 3 * w[None, :]
-    sk = k.sum(axis=1)
-    ok = sk > 0
-    sk = np.where(ok, sk, 1.0)
-    xm = (k * x).sum(axis=1) / sk
-    ym = (k * y).sum(axis=1) / sk
-    if deg == 0:
-        return np.where(ok, ym, np.nan)
-    dx = x[None, :] - xm[:, None]
-    sxx = (k * dx * dx).sum(axis=1)
-    sxy = (k * dx * (y[None, :] - ym[:, None])).sum(axis=1)
-    b = np.where(sxx > 1e-12 * np.maximum(1.0, (k * x * x).sum(axis=1)), sxy / np.where(sxx > 0, sxx, 1.0), 0.0)
-    return np.where(ok, ym + b * (xo - xm), np.nan)
-
-
-def _ma(x, n):
-    c = np.cumsum(np.insert(x, 0, 0.0))
-    return (c[n:] - c[:-n]) / n
-
-
-def stl(y: np.ndarray, period: int = SEASON, seasonal: int = 7, robust: bool = True):
-    """Cleveland et al. (1990) STL; spans as statsmodels' defaults for the period."""
-    n = len(y)
-    trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal)))
-    trend_span += (trend_span % 2 == 0)
-    low_span = period + (period % 2 == 0)
-    inner, outer = (2, 15) if robust else (5, 0)
-    w = np.ones(n)
-    trend = np.zeros(n)
-    season = np.zeros(n)
-    idx = np.arange(n, dtype=float)
-    for o in range(outer + 1):
-        for _ in range(inner):
-            det = y - trend
-            cyc = np.empty(n + 2 * period)
-            for s in range(period):
-                pos = np.arange(s, n, period)
-                if len(pos) == 0:
-                    continue
-                xs = np.arange(len(pos), dtype=float)
-                xo = np.arange(-1, len(pos) + 1, dtype=float)
-                sm = _loess(det[pos], xs, xo, seasonal, w[pos])
-                cyc[s + period * (xo.astype(int) + 1)] = sm
-            lp = _ma(_ma(_ma(cyc, period), period), 3)
-            lp = _loess(lp, np.arange(len(lp), dtype=float), np.arange(len(lp), dtype=float), low_span)
-            season = cyc[period:period + n] - lp
-            trend = _loess(y - season, idx, idx, trend_span, w)
-        if o < outer:
-            r = np.abs(y - season - trend)
-            h = 6 * np.median(r)
-            u = np.clip(r / h, 0, 1) if h > 0 else np.zeros(n)
-            w = (1 - u ** 2) ** 2
-    return trend, season, y - trend - season
-
-
-def stl_decompose(df: DataFrame, group: str, time: str, y: str, period: int = SEASON) -> DataFrame:
-    """(group, time, observed, trend, seasonal, resid); series shorter than 2 periods skipped."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        x = pdf[y].to_numpy(np.float64)
-        if len(x) < 2 * period or np.isnan(x).any():
-            return pd.DataFrame(columns=[group, time, "observed", "trend", "seasonal", "resid"])
-        t, s, r = stl(x, period)
-        return pd.DataFrame({group: pdf[group].to_numpy(), time: pdf[time].to_numpy(), "observed": x,
-                             "trend": t, "seasonal": s, "resid": r})
-    return spread(df.select(group, time, y), group).groupBy(group).applyInPandas(
-        fn, f"{group} string, {time} date, observed double, trend double, seasonal double, resid double")
+    """Yule-Walker (biased acf) partial autocorrelations: (group, lag, pacf), lag 0 is 1.
+
+    The Durbin-Levinson recursion is a fold over the lags of each series' autocorrelations; a series of one value throughout has nulls.
+    """
+    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(time, F.col(y).cast("double").alias("v")))).alias("_s"))
+    rows = rows.select(group, F.col("_s.v").alias("x"))
+    rows = rows.withColumn("m", F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x"))
+    rows = rows.select(group, F.transform("x", lambda v: v - F.col("m")).alias("x"))
+    rows = rows.withColumn("k", F.greatest(F.least(F.lit(nlags), F.floor(F.size("x") / 2) - 1), F.lit(0)).cast("int"))
+    dot = "aggregate(zip_with({a}, {b}, (p, q) -> p * q), 0D, (s, v) -> s + v)"
+    lagged = dot.format(a="slice(x, 1, size(x) - i)", b="slice(x, i + 1, size(x) - i)")
+    rows = rows.withColumn("r", F.expr(f"transform(sequence(0, k), i -> {lagged} / nullif({dot.format(a='x', b='x')}, 0D))"))
+    # phi holds the coefficients of the order before, p the results
+    a = f"""(r[i] - {dot.format(a='s.phi', b='reverse(slice(r, 2, i - 1))')}) / (1D - {dot.format(a='s.phi', b='slice(r, 2, i - 1)')})"""
+    step = f"""aggregate(if(k > 0, sequence(1, k), array()), named_struct('phi', cast(array() as array<double>), 'p', slice(array(1D, cast(null as double)), 1, 1)),
+        (s, i) -> transform(array({a}), a -> named_struct('phi', concat(zip_with(s.phi, reverse(s.phi), (u, v) -> u - a * v), array(a)), 'p', concat(s.p, array(a))))[0], s -> s.p)"""
+    return rows.select(group, F.posexplode(F.expr(step)).alias("lag", "pacf")).select(group, F.col("lag").cast("long").alias("lag"), "pacf")

@@ -24,10 +24,14 @@ def describe(df: DataFrame, cols, group: str | None = None) -> DataFrame:
         *([group] if group else []), "_x.column", "_x.v")
     # the value counts are made in one scan; everything else is read off them
     ranks = value_ranks(long, keys, "v")
-    n, v = F.col("n"), F.col("v")
-    s1, s2, m = F.sum(v * n), F.sum(v * v * n), F.sum(n)
+    n, m = F.col("n"), F.sum("n")
+    # deviations from the mean, and what rounding left in it: no digits are lost when the mean is large against the spread
+    means = ranks.groupBy(*keys).agg((F.sum(F.col("v") * n) / m).alias("_m"))
+    ranks = ranks.join(means, keys)
+    off = F.col("v") - F.col("_m")
+    s1, s2 = F.sum(off * n), F.sum(off * off * n)
     base = ranks.groupBy(*keys).agg(
-        m.alias("count"), (s1 / m).alias("mean"),
+        m.alias("count"), (F.first("_m") + s1 / m).alias("mean"),
         F.when(m > 1, F.sqrt(F.greatest(s2 - s1 * s1 / m, F.lit(0.0)) / F.nullif(m - 1, F.lit(0)))).alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
     q = quantiles_of(ranks, keys, "v", QUARTILES)
@@ -46,11 +50,17 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Distinct non-null values per column with its type (long form)."""
-    fn = F.count_distinct if exact else F.approx_count_distinct
-    wide = df.agg(*[fn(F.col(c)).alias(c) for c in df.columns])
+    """Distinct non-null values per column with its type (long form).
+
+    The distinct (column, value) rows are made by a first aggregation, which combines before its shuffle, and counted by a second.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    long = wide.unpivot([], df.columns, "column", "n_distinct")
+    if exact:
+        value = [F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(c).alias("v"))).alias("v"), F.col(c).isNotNull().alias("some")) for c in df.columns]
+        rows = df.select(F.explode(F.array(*value)).alias("x")).select("x.*")
+        long = rows.distinct().groupBy("column").agg(F.count_if("some").alias("n_distinct"))
+    else:
+        long = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n_distinct")
     tmap = F.create_map(*[x for k, v in types.items() for x in (F.lit(k), F.lit(v))])
     return long.select("column", tmap[F.col("column")].alias("dtype"), "n_distinct")
 
@@ -102,52 +112,51 @@ def corr_long(df: DataFrame, cols) -> DataFrame:
     return wide.select(stack.alias("s")).select("s.a", "s.b", "s.r")
 
 
+#: Series in one tile of the correlation matrix.
+CORR_TILE = 256
+
+
 def group_corr(df: DataFrame, group: str, time: str, value: str) -> DataFrame:
-    """Pearson correlation between the series of every pair of groups, pairwise complete.
+    """(g1, g2, r, n): Pearson correlation between the series of every pair of groups, pairwise complete.
 
-    No pair rows per week: each task folds its weeks into G x G partial sums
-    (n, sums, cross products over the weeks where both groups were observed)
-    with matrix products, emits one partial per (g1, g2) and the shuffle only
-    carries those partials.  G is the number of groups (the output is G x G).
+    A series is one row (the calendar bounds it); pairs of tiles of at most CORR_TILE series meet in a call, which works on
+    deviations from each series' own mean, so no digits are lost when means are large.  Only the pairs' results leave it.
     """
     import numpy as np
     import pandas as pd
-    from ..operators.ordering import global_index
-
-    d = df.select(group, time, F.col(value).cast("double").alias("_v")).checkpoint(eager=True)
-    gids = global_index(d.select(group).distinct(), [group], "_gi").checkpoint(eager=True)
-    G = gids.count()
-    wk = d.join(gids, group).groupBy(time).agg(F.collect_list(F.struct("_gi", "_v")).alias("obs"))
-
-    def fn(batches):
-        acc = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            M = np.zeros((len(pdf), G))
-            X = np.zeros((len(pdf), G))
-            for r, obs in enumerate(pdf["obs"]):
-                idx = np.array([o["_gi"] for o in obs], dtype=np.int64)
-                M[r, idx] = 1.0
-                X[r, idx] = [o["_v"] for o in obs]
-            part = (M.T @ M, X.T @ M, X.T @ X, (X * X).T @ M)
-            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
-        if acc is None:
-            return
-        n, sx, sxy, sxx = acc
-        a, b = np.nonzero(np.triu(n > 0))
-        yield pd.DataFrame({"a": a.astype("int64"), "b": b.astype("int64"), "n": n[a, b], "sx": sx[a, b],
-                            "sy": sx[b, a], "sxy": sxy[a, b], "sxx": sxx[a, b], "syy": sxx[b, a]})
-    schema = "a long, b long, n double, sx double, sy double, sxy double, sxx double, syy double"
-    tot = wk.mapInPandas(fn, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in
-                                                          ("n", "sx", "sy", "sxy", "sxx", "syy")])
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    cov = n * F.col("sxy") - sx * sy
-    den = (n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy)
-    r = F.when((n > 1) & (den > 0), cov / F.sqrt(den))
-    names = gids.select(F.col("_gi").alias("a"), F.col(group).alias("g1"))
-    names2 = gids.select(F.col("_gi").alias("b"), F.col(group).alias("g2"))
-    return tot.join(names, "a").join(names2, "b").select("g1", "g2", r.alias("r"), n.cast("long").alias("n"))
+    from ..session import pinned
+    from .cluster.pairs import tile_apply
+
+    s = df.select(group, F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date")).alias("t"), F.col(value).cast("double").alias("v"))
+    rows = s.groupBy(group).agg(F.collect_list(F.struct("t", F.coalesce("v", F.lit(float("nan"))).alias("v"))).alias("o"))
+    rows = pinned(rows.select(F.col(group).alias("g"), F.col("o.t").alias("t"), F.col("o.v").alias("v")), "corr-series")
+
+    def dense(pdf, at):
+        X = np.full((len(pdf), len(at)), np.nan)
+        for i, (t, v) in enumerate(zip(pdf["t"], pdf["v"])):
+            X[i, np.searchsorted(at, t)] = v
+        M = ~np.isnan(X)
+        X = np.where(M, X, 0.0)
+        X -= M * (X.sum(1) / np.maximum(M.sum(1), 1))[:, None]
+        return X, M.astype(float)
+
+    def fn(l, r):
+        out = pd.DataFrame({"g1": pd.Series(dtype=object), "g2": pd.Series(dtype=object), "r": pd.Series(dtype="float64"), "n": pd.Series(dtype="int64")})
+        if l.empty or r.empty:
+            return out
+        at = np.unique(np.concatenate([*l["t"], *r["t"]]))
+        (X, M), (Y, N) = dense(l, at), dense(r, at)
+        n, sx, sy = M @ N.T, X @ N.T, M @ Y.T
+        vx, vy = n * ((X * X) @ N.T) - sx * sx, n * (M @ (Y * Y).T) - sy * sy
+        cov = n * (X @ Y.T) - sx * sy
+        with np.errstate(invalid="ignore", divide="ignore"):
+            c = np.where((n > 1) & (vx > 0) & (vy > 0), cov / np.sqrt(vx * vy), np.nan)
+        g1, g2 = l["g"].to_numpy(), r["g"].to_numpy()
+        a, b = np.nonzero((n > 0) & (g1[:, None] <= g2[None, :]))
+        return pd.DataFrame({"g1": g1[a], "g2": g2[b], "r": c[a, b], "n": n[a, b].astype("int64")}) if len(a) else out
+    kind = df.schema[group].dataType.simpleString()
+    got = tile_apply(rows.where("g IS NOT NULL"), ["g", "t", "v"], fn, f"g1 {kind}, g2 {kind}, r double, n long", CORR_TILE)
+    return got.select("g1", "g2", F.when(~F.isnan("r"), F.col("r")).alias("r"), "n")
 
 
 def zscore(c: str, part, ddof: int = 1) -> Column:

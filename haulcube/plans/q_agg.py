@@ -418,8 +418,8 @@ def w7(spark, sf):
                     F.col("window")[0][0].alias("first_refuse"), F.col("window")[51][0].alias("last_refuse"))
 
 
-@query("w8_interpolate_gaps", sql(DCUBE_CTE, select="""SELECT District_Code, week_start, round(CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN NULL
-  WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (pos - pp) / (np - pp) END, 6) AS tons_refuse FROM (
+INTERPOLATED_SQL = """interpolated AS (SELECT District_Code, week_start, CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN NULL
+  WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (pos - pp) / (np - pp) END AS tons_refuse FROM (
   SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY District_Code ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
     last_value(kp IGNORE NULLS) OVER (PARTITION BY District_Code ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pp,
     first_value(v IGNORE NULLS) OVER (PARTITION BY District_Code ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
@@ -427,7 +427,11 @@ def w7(spark, sf):
   FROM (SELECT *, CASE WHEN v IS NOT NULL THEN pos END AS kp FROM (
     SELECT g.District_Code, g.week_start, c.tons_refuse AS v, row_number() OVER (PARTITION BY g.District_Code ORDER BY g.week_start) AS pos
     FROM (SELECT District_Code, CAST(unnest(generate_series(min(week_start), max(week_start), INTERVAL 7 DAY)) AS DATE) AS week_start
-          FROM cube GROUP BY 1) g LEFT JOIN cube c USING (District_Code, week_start))))"""))
+          FROM cube GROUP BY 1) g LEFT JOIN cube c USING (District_Code, week_start)))))"""
+
+
+@query("w8_interpolate_gaps", sql(DCUBE_CTE, INTERPOLATED_SQL, select=
+    "SELECT District_Code, week_start, round(tons_refuse, 6) AS tons_refuse FROM interpolated"))
 def w8(spark, sf):
     g = regrid(district_cube(spark, sf), G, "week_start", "tons_refuse")
     return interpolate(g, G, "week_start", "tons_refuse").select(G, "week_start", R("tons_refuse"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from ..operators.features import temporal_split
 from ..operators.forecast.models import BOOST_CONFIGS, gradient_boosting, sequence_regressor
 from ..operators.forecast.score import comparison_table, fixed_predictions, metrics
-from ..operators.forecast.series import pacf, per_group_forecast, stl_decompose
+from ..operators.forecast.decompose import decompose, decompose_sql
+from ..operators.forecast.series import pacf, per_group_forecast
 from ..operators.weekly import interpolate, regrid
-from .base import district_cube
+from .base import DCUBE_CTE, district_cube, sql
+from .q_agg import INTERPOLATED_SQL
 from .registry import query
 
 G = "District_Code"
@@ -60,10 +62,13 @@ def t9all(spark, sf):
     return comparison_table(allp.checkpoint(eager=True))
 
 
-@query("t10_stl_decomposition")
+@query("t10_stl_decomposition", sql(DCUBE_CTE, INTERPOLATED_SQL, decompose_sql("interpolated", G, "week_start", "tons_refuse"), select=
+    "SELECT District_Code, week_start, round(observed, 3) + 0.0 AS observed, round(trend, 3) + 0.0 AS trend, round(seasonal, 3) + 0.0 AS seasonal, "
+    "round(resid, 3) + 0.0 AS resid, status FROM split"))
 def t10(spark, sf):
     g = interpolate(regrid(_cube(spark, sf), G, "week_start", "tons_refuse"), G, "week_start", "tons_refuse")
-    return stl_decompose(g, G, "week_start", "tons_refuse")
+    d = decompose(g, G, "week_start", "tons_refuse")
+    return d.select(G, "week_start", *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("observed", "trend", "seasonal", "resid")), "status")
 
 
 @query("w13_partial_autocorrelation")
