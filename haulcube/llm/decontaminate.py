@@ -15,7 +15,8 @@ The sketches are broadcast if their counted size allows, otherwise the join is s
 exploded into shingle hashes in the scan and only the hits leave it.
 
 Defined results: null or wordless items never match; null or wordless texts match nothing; repeated rows
-give one row per (doc_id, item_id), on the union of the rows that share an id; empty tables give empty
+give one row per (doc_id, item_id), on the union of the rows that share an id; rows and items with a null id are told
+apart by their texts, and each distinct text is judged alone; empty tables give empty
 results; extra columns are ignored (`drop_contaminated` keeps them).
 """
 from __future__ import annotations
@@ -69,35 +70,47 @@ def _doc_hashes(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", F.explode(hashes).alias("h"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_held, containment) for every contaminated pair."""
-    wanted = written(item_shingles(items, item_col, item_text_col, shingle), "bench-shingles")
+def _key(col: str, text_col: str):
+    """An id as a join key: null ids are told apart by their texts."""
+    return F.struct(F.col(col).alias("id"), F.when(F.col(col).isNull(), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("text"))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, shingle: int, threshold: float) -> DataFrame:
+    """(id, item, q, n) for every contaminated pair; id and item are keys (`_key`)."""
+    docs = docs.select(_key(id_col, text_col).alias("id"), F.col(text_col).alias("t"))
+    items = items.select(_key(item_col, item_text_col).alias("item"), F.col(item_text_col).alias("t"))
+    wanted = written(item_shingles(items, "item", "t", shingle), "bench-shingles")
     sketch = written(sketches(wanted, threshold), "bench-sketches")
     lengths = [r.k for r in wanted.select("k").distinct().collect()]  # at most `shingle` values
-    src = docs.select(F.col(id_col).alias("id"), words_col(_normal(text_col)).alias("w"))
-    found = None
+    src = docs.select("id", words_col(_normal("t")).alias("w"))
+    found = docs.select("id").where(F.lit(False)).join(items.select("item").where(F.lit(False)), F.lit(False)).select(
+        "id", "item", F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("n"))
     for k in sorted(lengths):
         index = small_side(written(sketch.where(F.col("k") == k).select("item", "h"), "bench-index"))
         hits = _doc_hashes(src, k).join(index, "h").select("id", "item", F.lit(k).alias("k")).distinct()
         candidates = written(hits, "bench-candidates")
         # verify: exact shingles of the candidate documents, first narrowed to shingles of any item
         ids = small_side(written(candidates.select("id").distinct(), "bench-ids"))
-        held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi").select("id", words_col(_normal("t")).alias("w"))
+        held = docs.join(ids, "id", "left_semi").select("id", words_col(_normal("t")).alias("w"))
         held = held.select("id", F.explode(F.array_distinct(_shingles("w", k))).alias("s"))
         full = small_side(written(wanted.where(F.col("k") == k).select("item", "s", "q"), "bench-full"))
         counts = (held.join(full, "s").groupBy("id", "item", "q").agg(F.count_distinct("s").alias("n"))
                   .join(candidates.select("id", "item"), ["id", "item"], "left_semi").where(F.col("n") >= threshold * F.col("q")))
-        found = counts if found is None else found.unionByName(counts)
-    if found is None:
-        found = docs.select(F.col(id_col).alias("id")).where(F.lit(False)).join(
-            items.select(F.col(item_col).alias("item")).where(F.lit(False)), F.lit(False)).select(
-            "id", "item", F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("n"))
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("q").cast("long").alias("n_shingles"),
+        found = found.unionByName(counts) if k != min(lengths) else counts
+    return found
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+          item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_held, containment) for every contaminated pair."""
+    found = _leaks(docs, items, id_col, text_col, item_col, item_text_col, shingle, threshold)
+    return found.select(F.col("id.id").alias(id_col), F.col("item.id").alias(item_col), F.col("q").cast("long").alias("n_shingles"),
                         F.col("n").cast("long").alias("n_held"), (F.col("n") / F.col("q")).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """`docs` without the rows whose id has a leak (rows with a null id are judged like id-less text: kept)."""
-    bad = small_side(written(leaks(docs, items, id_col, **kw).select(F.col(id_col).alias("_bad")).distinct(), "bench-bad"))
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without the rows whose id (null ids: whose text) has a leak."""
+    found = _leaks(docs, items, id_col, text_col, item_col, item_text_col, shingle, threshold)
+    bad = small_side(written(found.select(F.col("id").alias("_bad")).distinct(), "bench-bad"))
+    return docs.join(bad, _key(id_col, text_col) == F.col("_bad"), "left_anti")

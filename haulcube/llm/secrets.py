@@ -10,16 +10,17 @@ kind, then short matches are dropped.  Positions count code points: the pieces b
 (`split`) and the matches themselves add up to them, in a window over (blob, kind).
 
 Defined results: a null text is the empty blob; repeated rows share the blob and are listed each; null
-paths are kept; empty tables give empty results; extra columns are ignored.
+paths are kept, paths may have any type; a pair that stands in the ledger more than once counts once; empty tables give empty results; extra columns are ignored.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcube.session import scratch_dir
 
-from .common import id_key, written
+from .common import written
 
 #: kind -> (pattern, group whose length counts, least length); the first three are the base rules.
 RULES = {
@@ -65,11 +66,12 @@ def scan(blobs: DataFrame) -> DataFrame:
 
 def _ledger(spark, path: str, schema: str) -> DataFrame:
     """The ledger's rows; an absent ledger is empty."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    try:
         return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 LEDGER = "blob string, spans array<struct<start: bigint, rank: int, kind: string, end: bigint>>, rule_version string"
@@ -80,7 +82,7 @@ def update_ledger(versions: DataFrame, ledger_path: str, rule_version: str = RUL
     spark = versions.sparkSession
     known = _ledger(spark, ledger_path, LEDGER).where(F.col("rule_version") == rule_version).select("blob")
     # one version stands for each unseen blob
-    key = id_key("id").alias("key")
+    key = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")).alias("key")
     unseen = versions.select(key, "blob").groupBy("blob").agg(F.min("key").alias("key")).join(known, "blob", "left_anti")
     unseen = written(unseen, "secret-unseen")
     n = unseen.count()
@@ -101,6 +103,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     update_ledger(versions, ledger_path, rule_version)
     paths = versions.select("id", "blob")
     known = _ledger(spark, ledger_path, LEDGER).where((F.col("rule_version") == rule_version) & F.col("spans").isNotNull()).select("blob", "spans")
+    known = known.dropDuplicates(["blob"])  # two runs at once may both have appended a pair
     empty = F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>")
     return paths.join(known, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", empty).alias("spans"))
 

@@ -61,12 +61,19 @@ def member(data: bytes, level: int = 5) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark resolves it to, so that tasks write where Spark reads."""
+    folder = folder.rstrip("/")
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    mark = f"{folder}/_scheme"
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(mark)
+    return spark.read.parquet(mark).inputFiles()[0].rsplit("/_scheme/", 1)[0]
+
+
 def _open_out(path: str):
     from pyarrow import fs
-    if "://" not in path and not path.startswith("file:"):
-        store, name = fs.LocalFileSystem(), path
-    else:
-        store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    store, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
     store.create_dir(name.rsplit("/", 1)[0], recursive=True)
     return store.open_output_stream(name, compression=None)
 
@@ -82,7 +89,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     groups = small_side(written(groups, "warc-groups"))
     refers = F.when(F.col("largest") != F.col("id"), F.col("largest"))
     src = src.withColumn("digest", digest).join(groups, "digest", "left").select("id", "url", "payload", refers.alias("refers_to"))
-    folder = folder.rstrip("/")
+    folder = qualified(pages.sparkSession, folder)
 
     def run(batches):
         from pyspark import TaskContext

@@ -36,3 +36,15 @@ def test_no_python_on_the_path(spark, small_docs):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     plan = D.leaks(small_docs, items)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_null_ids_are_judged_by_text(spark):
+    item = " ".join(f"k{i}" for i in range(12))
+    docs = spark.createDataFrame([(None, "x " + item), (None, "y " + item), (None, "clean text of several words"), (1, item), (2, None), (None, None)], "doc_id long, text string")
+    docs = docs.unionByName(docs.where("text like 'x%'"))
+    items = spark.createDataFrame([(None, item), (None, "other item that nobody holds at all"), (7, item)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()), key=str)
+    assert got == sorted([(None, None), (None, 7)] * 2 + [(1, None), (1, 7)], key=str)
+    assert sorted((r.text or "" for r in D.drop_contaminated(docs, items).collect())) == ["", "", "clean text of several words"]
+    named = spark.createDataFrame([("urn:1", item), ("urn:2", "clean")], "doc_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in D.leaks(named, items.where("item_id = 7")).collect()] == [("urn:1", 7)]

@@ -56,3 +56,19 @@ def test_ledger_scans_only_unseen_pairs(spark):
 
 def test_empty(no_docs):
     assert S.find_secrets(no_docs).count() == 0
+
+
+def test_text_ids_and_repeated_ledger_pairs(spark):
+    path = scratch_dir(spark, "test-ledger")
+    df = spark.createDataFrame([("a/b.py", "password=abcdef"), ("https://x", "password=abcdef"), (None, "password=abcdef"), ("", "clean")], "doc_id string, text string")
+    for _ in range(2):
+        got = S.find_secrets(df, ledger_path=path).collect()
+        assert sorted(((r.doc_id or "-", len(r.spans)) for r in got)) == [("-", 0), ("-", 1), ("a/b.py", 1), ("https://x", 1)]
+        spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
+        spark.read.parquet(path + "-twice").write.mode("append").parquet(path)
+    assert spark.read.parquet(path).count() > 2
+
+
+def test_no_python_on_the_path(small_docs):
+    plan = S.find_secrets(small_docs)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

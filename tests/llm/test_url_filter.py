@@ -58,3 +58,32 @@ def test_mined_rules_match_brute_force(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert U.judge(none, spark.createDataFrame([("http://a/", True)], "url string, bad boolean"), URL_RULES).count() == 0
+
+
+def test_long_urls_and_single_urls(spark):
+    """One url of 40 parameters among 21, and six urls that share 40: neither blows up, no rule rests on one url."""
+    many = "&".join(f"p{k}x=1" for k in range(40))
+    rows = [(f"http://h{i}.org/a/{i}", i % 2 == 0) for i in range(20)] + [("http://long.org/?" + many, True)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    assert all(r.support * 21 >= 4.999 for r in U.mine(df).collect())
+    shared = spark.createDataFrame(rows + [(f"http://s{i}.net/?{many}", True) for i in range(6)], "url string, bad boolean")
+    rules = U.mine(shared).collect()
+    assert rules and all(len(r["items"]) <= U.MAX_ITEMS and r.support * 27 >= 4.999 for r in rules)
+    out = {r._row.url: r.verdict for r in U.judge(spark.createDataFrame([("http://new.net/?" + many,), ("http://new.org/",)], "url string"), shared, []).collect()}
+    assert out == {"http://new.net/?" + many: "block", "http://new.org/": "allow"}
+
+
+def test_held_out_lift(spark):
+    """Rules of one half of urls with a noisy signal block bad urls of the other half far above their base rate."""
+    import random
+    rng = random.Random(7)
+    rows = []
+    for i in range(1200):
+        spam = rng.random() < 0.3
+        word = rng.choice(["casino", "pills"]) if spam else rng.choice(["news", "blog", "docs", "wiki"])
+        rows.append((f"http://{word}-{rng.randrange(50)}.{rng.choice(['com', 'net'])}/{rng.choice(['a', 'b', 'c'])}/{i}", rng.random() < (0.85 if spam else 0.05)))
+    df = spark.createDataFrame(rows[:600], "url string, bad boolean")
+    out = {r._row.url: r.verdict for r in U.judge(spark.createDataFrame([(u,) for u, _ in rows[600:]], "url string"), df, []).collect()}
+    blocked = [bad for u, bad in rows[600:] if out[u] == "block"]
+    bad = sum(b for _, b in rows[600:])
+    assert sum(blocked) / len(blocked) > 2 * bad / 600 and sum(blocked) > 0.7 * bad
