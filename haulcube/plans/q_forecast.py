@@ -7,7 +7,7 @@ from ..operators.features import temporal_split
 from ..operators.forecast.models import BOOST_CONFIGS, gradient_boosting, sequence_regressor
 from ..operators.forecast.score import comparison_table, fixed_predictions, metrics
 from ..operators.forecast.decompose import decompose, decompose_sql
-from ..operators.forecast.series import pacf, per_group_forecast
+from ..operators.forecast.series import arma_orders, change_points, pacf, per_group_forecast
 from ..operators.weekly import interpolate, regrid
 from .base import DCUBE_CTE, district_cube, sql
 from .q_agg import INTERPOLATED_SQL
@@ -32,6 +32,16 @@ def t4(spark, sf):
     return per_group_forecast(tr, te, G, "tons_refuse", "trend", "Trend + Fourier")
 
 
+@query("t3_orders_per_group")
+def t3_orders(spark, sf):
+    return arma_orders(temporal_split(_cube(spark, sf))[0], G, "tons_refuse")
+
+
+@query("t4_change_points")
+def t4_change_points(spark, sf):
+    return change_points(temporal_split(_cube(spark, sf))[0], G, "tons_refuse")
+
+
 @query("t5_gradient_boosting")
 def t5(spark, sf):
     p, _, _ = gradient_boosting(_cube(spark, sf))

@@ -2,7 +2,8 @@
 import numpy as np
 
 from haulcube.operators.cluster.kmeans import kmeans_best_of, pca_95
-from haulcube.operators.forecast.series import seasonal_ar_forecast, trend_fourier_forecast
+from haulcube.operators.forecast.series import (arma_orders, change_points, seasonal_ar_forecast, seasonal_arma_fit,
+                                                 trend_fourier_fit, trend_fourier_forecast)
 from haulcube.operators.geo import contiguity as C
 
 
@@ -45,6 +46,60 @@ def test_trend_forecast_follows_a_line():
     assert np.allclose(trend_fourier_forecast(t[:-20], y[:-20], t[-20:]), y[-20:], atol=0.3)
 
 
+def test_moving_average_terms_are_found():
+    for theta in (0.6, -0.5):
+        rnd = np.random.default_rng(7)
+        e = rnd.normal(size=601)
+        y = 20 + e[1:] + theta * e[:-1]
+        fit = seasonal_arma_fit(y)
+        assert fit["order"]["d"] == fit["order"]["D"] == 0 and fit["order"]["q"] >= 1
+        only = seasonal_arma_fit(y, max_p=0, max_q=1)
+        assert only["order"]["q"] == 1 and abs(only["ma"][0] - theta) < 0.1
+        fc = seasonal_ar_forecast(y, 5)
+        assert abs(fc[0] - (20 + theta * e[-1])) < 0.6 and abs(fc[4] - 20) < 0.8
+
+
+def test_arma_of_odd_series():
+    assert np.isnan(seasonal_ar_forecast(np.arange(9.0), 2)).all()
+    assert np.allclose(seasonal_ar_forecast(np.full(120, 4.0), 3), 4.0)
+    assert np.allclose(seasonal_ar_forecast(np.arange(12.0), 3), [12, 13, 14], atol=0.5)
+    rnd = np.random.default_rng(8)
+    walk = np.cumsum(1 + 0.1 * rnd.normal(size=300))
+    assert seasonal_arma_fit(walk)["order"]["d"] + seasonal_arma_fit(walk)["order"]["D"] >= 1
+    assert np.allclose(seasonal_ar_forecast(walk, 10), walk[-1] + np.arange(1, 11), atol=3)
+
+
+def test_trend_keeps_few_change_points():
+    rnd = np.random.default_rng(9)
+    t = np.arange(0, 7 * 310, 7.0)
+    season = 2 * np.sin(2 * np.pi * t / 365.25)
+    line = 50 + 0.01 * t
+    bent = line + 0.05 * np.maximum(0, t - 900)
+    for base, most in ((line, 0), (bent, 3)):
+        at, slope, predict = trend_fourier_fit(t, base + season + 0.3 * rnd.normal(size=len(t)))
+        assert len(at) <= most
+        ahead = t + 364
+        assert np.abs(predict(ahead) - (base[-1] + (0.01 + (0.05 if most else 0)) * (ahead - t[-1]) + season))[-52:].max() < 2.5
+    assert abs(slope.sum() - 0.05) < 0.005 and np.abs(at - 900).min() < 100
+
+
+def test_orders_and_change_points_of_each_group(spark):
+    import datetime
+    rnd = np.random.default_rng(10)
+    e = rnd.normal(size=261)
+    bend = 30 + 0.2 * np.maximum(0, np.arange(260) - 130) + 0.2 * rnd.normal(size=260)
+    day = datetime.date(2001, 1, 1)
+    rows = [(g, day + datetime.timedelta(7 * i), float(v)) for g, x in
+            {"ma": 9 + e[1:] + 0.7 * e[:-1], "bend": bend, "short": e[:50]}.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, week_start date, v double")
+    orders = {r.g: r for r in arma_orders(df, "g", "v").collect()}
+    assert set(orders) == {"ma", "bend"} and orders["ma"].n == 260 and orders["ma"].p + orders["ma"].q >= 1
+    points = change_points(df, "g", "v").collect()
+    bends = [r for r in points if r.g == "bend"]
+    assert 1 <= len(bends) <= 3 and abs(sum(r.slope_change for r in bends) - 0.2) < 0.03
+    assert min(abs((r.change_date - day).days / 7 - 130) for r in bends) < 15 and not [r for r in points if r.g == "short"]
+
+
 def test_permutation_test_of_a_patterned_grid(spark):
     cells = [(f"c{x}{y}", float(x < 3), x, y) for x in range(6) for y in range(6)]
     edges = [(a, b) for a, _, x, y in cells for b, _, u, v in cells if a != b and abs(x - u) <= 1 and abs(y - v) <= 1]
