@@ -18,8 +18,8 @@ from ..functions.nullsafe import neq_keep_null, positive
 RAW_COLUMNS = ["Truck_ID", "Collection_Date", "Shift_ID", "District_Code", "Section_Code",
                "Route_Code", "Material_Type_Code", "Tons_Collected", "Net_Weight",
                "Dump_Time_Stamp"]
-# tried in order; pass more (e.g. "MM/dd/yyyy hh:mm:ss a") when the raw files need them
-DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy")
+# tried in order; pass others when the raw files need them (a date in no given form is rejected as `bad_date`)
+DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "MM/dd/yyyy hh:mm:ss a", "yyyyMMdd")
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -79,6 +79,24 @@ def clean_loads(raw: DataFrame, date_formats=DATE_FORMATS, null_code: str = "nan
     )
 
 
+def reject_reason(raw: DataFrame, date_formats=DATE_FORMATS, too_long=None, null_code: str = "nan") -> DataFrame:
+    """All-string raw rows with the column `reason`: the first rule of `clean_loads` that drops the row, null for a kept one.
+
+    `too_long` is a boolean column that marks lines with too many fields; these come first.
+    """
+    text = {c: F.btrim(F.col(c)) for c in ("Truck_ID", "Collection_Date", "Section_Code")}
+    rows = raw.withColumn("_section", F.coalesce(text["Section_Code"], F.lit(null_code)))
+    rows = rows.withColumn("_section", normalise_trimmed(F.col("_section")))
+    rules = [("too_many_fields", F.coalesce(too_long, F.lit(False)) if too_long is not None else F.lit(False)),
+             ("placeholder_truck", ~neq_keep_null(text["Truck_ID"], PLACEHOLDER_TRUCK)),
+             ("no_date", text["Collection_Date"].isNull()),
+             ("bad_date", lenient_date(text["Collection_Date"], date_formats).isNull()),
+             ("tons_not_positive", ~F.coalesce(positive(lenient_number("Tons_Collected", "double")), F.lit(False))),
+             ("other_material", ~F.coalesce(lenient_number("Material_Type_Code", "int").isin(*PRIMARY_STREAMS), F.lit(False))),
+             ("dropped_section", F.col("_section").isin(*DROP_SECTIONS))]
+    return rows.withColumn("reason", F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in rules])).drop("_section")
+
+
 def clean_sql(src: str = "loads", null_code: str = "nan") -> str:
     from ..functions.codes import borough_sql, drop_sections_sql, normalise_sql
     dist = normalise_sql(f"coalesce(District_Code, '{null_code}')")
@@ -105,3 +123,14 @@ clean AS (
   WHERE Collection_Date IS NOT NULL AND Tons_Collected > 0 AND NOT isnan(Tons_Collected)
     AND mt IN (1, 31, 33) AND Section_Code NOT IN ({drop_sections_sql()})
 )"""
+
+
+def reject_sql(src: str, too_long: str, null_code: str = "nan") -> str:
+    from ..functions.codes import drop_sections_sql, normalise_sql
+    sect = normalise_sql(f"coalesce(Section_Code, '{null_code}')")
+    return f"""judged AS (SELECT *, CASE WHEN {too_long} THEN 'too_many_fields'
+  WHEN trim(Truck_ID) = '{PLACEHOLDER_TRUCK}' THEN 'placeholder_truck' WHEN Collection_Date IS NULL THEN 'no_date'
+  WHEN try_strptime(trim(Collection_Date), '%Y-%m-%d') IS NULL THEN 'bad_date'
+  WHEN Tons_Collected IS NULL OR isnan(Tons_Collected) OR Tons_Collected <= 0 THEN 'tons_not_positive'
+  WHEN coalesce(TRY_CAST(CAST(Material_Type_Code AS VARCHAR) AS INTEGER), -1) NOT IN (1, 31, 33) THEN 'other_material'
+  WHEN {sect} IN ({drop_sections_sql()}) THEN 'dropped_section' END AS reason FROM {src})"""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.clean import RAW_COLUMNS, clean_loads, clean_sql
+from ..operators.clean import RAW_COLUMNS, clean_loads, clean_sql, reject_sql
 from ..operators.cluster.features import feature_matrix
 from ..operators.forecast.score import PREDS_SQL, metrics, metrics_sql
 from ..operators.geo.rings import n_vertices, polygon_area
@@ -94,6 +94,16 @@ def s1_stream(spark, sf):
     return spark.read.parquet(out).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("Tons_Collected").alias("tons"))
 
 
+@query("s1_rejected_lines", sql(LOADS_SQL, DIRTY_SQL, reject_sql("dirty", "overlong"), select=
+    "SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM judged GROUP BY 1"))
+def s1_rejected(spark, sf):
+    from ..streaming.ingest import ingest_split
+    src, out, bad = write_headed_csv(spark, sf), scratch_dir(spark, "clean-split"), scratch_dir(spark, "rejected")
+    ingest_split(spark, f"{src}/*", out, bad, scratch_dir(spark, "split-ckpt"), header=True, max_files_per_trigger=2)
+    kept = spark.read.parquet(out).select(F.lit("kept").alias("reason"))
+    return kept.unionByName(spark.read.parquet(bad).select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s2_prefix_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1000")
 def s2(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity") \

@@ -15,6 +15,36 @@ def test_raw_csv_takes_columns_by_name(spark):
     assert io.read_raw_csv(spark, path, header=True, strict=True).count() == 2
 
 
+def test_split_ingest_keeps_every_line_once(spark, tmp_path):
+    from haulcube.streaming.ingest import ingest_split
+    head = "Note,Tons_Collected,Truck_ID,Collection_Date,Material_Type_Code,District_Code,Section_Code"
+
+    def add(name, *lines):
+        src.joinpath(name).write_text("\n".join([head, *lines]) + "\n")
+    src = tmp_path / "in"
+    src.mkdir()
+    add("a.csv", "x,5.5,T1,2020-01-06,1,MN01,MN011", "x,5.5,T1,2020-01-06,1,MN01,MN011,more", "x,5.5,9999999,2020-01-06,1,MN01,MN011",
+        "x,5.5,T1,,1,MN01,MN011", "x,5.5,T1,someday,1,MN01,MN011", "x,-1,T1,2020-01-06,1,MN01,MN011", "x,bad,T1,2020-01-06,1,MN01,MN011",
+        "x,5.5,T1,2020-01-06,7,MN01,MN011", "x,5.5", '"x,y",2,T2,01/07/2021 03:04:05 PM,33,MN01,MN011')
+    out, bad, ckpt = (str(tmp_path / d) for d in ("out", "bad", "ckpt"))
+    want = {"too_many_fields": 1, "placeholder_truck": 1, "no_date": 2, "bad_date": 1, "tons_not_positive": 2, "other_material": 1}
+
+    def run():
+        ingest_split(spark, str(src), out, bad, ckpt, header=True)
+        rows = spark.read.parquet(bad).collect()
+        return spark.read.parquet(out).count(), {w: sum(r.reason == w for r in rows) for w in {r.reason for r in rows}}, rows
+    n, reasons, rows = run()
+    assert (n, reasons) == (2, want) and n + sum(reasons.values()) == 10
+    assert {r._line for r in rows if r.reason == "too_many_fields"} == {"x,5.5,T1,2020-01-06,1,MN01,MN011,more"}
+    assert {str(r.Collection_Date) for r in spark.read.parquet(out).collect()} == {"2020-01-06", "2021-01-07"}
+    assert run()[:2] == (2, want)                              # nothing new: nothing added
+    (tmp_path / "ckpt" / "commits" / "0").unlink()             # stopped before the batch was marked as done: it runs again
+    (tmp_path / "ckpt" / "commits" / ".0.crc").unlink(missing_ok=True)
+    assert run()[:2] == (2, want)
+    add("b.csv", "x,1,T3,2020-02-03,31,MN01,MN011")
+    assert run()[:2] == (3, want)
+
+
 def test_geojson_of_many_documents(spark):
     n = 12_345
     layer = spark.range(n).select(F.col("id").cast("string").alias("GEOID"), F.col("id").cast("double").alias("population"),
