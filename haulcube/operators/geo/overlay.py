@@ -1,8 +1,8 @@
 """Polygon overlay.
 
-Candidate pairs come from an equi-join on grid cells of the bounding boxes
-(a spatial hash join: each polygon is replicated only into the cells its box
-touches), then de-duplicated and filtered by the exact box predicate.  The
+Candidate pairs come from an equi-join on the leaves of a quadtree over the bounding
+boxes (a spatial hash join: each polygon is replicated only into the leaves its box
+touches; crowded cells are split by measured counts), filtered by the exact box predicate.  The
 exact overlap area of each surviving pair is computed in an Arrow-batched
 pandas UDF: each ring is fanned into signed triangles and the area is the
 signed sum of convex triangle-triangle clips, exact for non-convex polygons
@@ -10,6 +10,8 @@ and holes; the outer ring counts positive and holes negative, whatever their win
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from ...session import pinned
 from .rings import bbox, grid_cells, polygon_area
 
 
@@ -97,24 +100,118 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_overlap_areas(a, b), dtype="float64")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, cell: float) -> DataFrame:
-    """J7 step 1: bbox-intersecting pairs via an equi-join on grid cells."""
-    def keyed(df, idc, pfx):
-        b = df.select(F.col(idc).alias(f"{pfx}id"), bbox(F.col("rings")).alias(f"{pfx}box"))
-        return b.select("*", F.explode(grid_cells(F.col(f"{pfx}box"), cell)).alias("cell"))
-    l, r = keyed(left, lid, "l_"), keyed(right, rid, "r_")
-    j = l.join(r, "cell")
-    # reference-cell rule: report a pair only in the cell holding the lower-left
+#: Box pairs of one cell above which it is split (or salted, where splitting doesn't part its boxes).
+CELL_PAIRS = 1_000_000
+MAX_DEPTH = 20
+KEY = ["lvl", "cx", "cy"]
+
+
+def measured_cell(boxes: DataFrame) -> float:
+    """Size of a root cell: a power of two of at least twice the mean box extent and 1/64 of the greatest one."""
+    b = F.col("box")
+    extent = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
+    mean, most = boxes.agg(F.avg(extent), F.max(extent)).first()
+    size = max(2 * (mean or 0.0), (most or 0.0) / 64)
+    return 2.0 ** math.ceil(math.log2(size)) if size > 0 else 1.0
+
+
+def _touched_children(cell: float):
+    """For each of the four children of a row's cell: whether the row's box touches it."""
+    half = F.lit(cell) / F.pow(F.lit(2.0), F.col("lvl") + 1)
+    b = F.col("box")
+    lo = [F.floor(b[c] / half) for c in ("xmin", "ymin")]
+    hi = [F.floor(b[c] / half) for c in ("xmax", "ymax")]
+    return [(dx, dy, (lo[0] <= 2 * F.col("cx") + dx) & (hi[0] >= 2 * F.col("cx") + dx) &
+             (lo[1] <= 2 * F.col("cy") + dy) & (hi[1] >= 2 * F.col("cy") + dy)) for dx in (0, 1) for dy in (0, 1)]
+
+
+def _counted(rows: DataFrame, cell: float) -> DataFrame:
+    """Boxes of each side per cell, the pairs it holds and the pairs that its children would hold (one aggregate)."""
+    n = {s: F.sum((F.col("side") == s).cast("long")) for s in "lr"}
+    parts = [F.sum(((F.col("side") == s) & t).cast("long")).alias(f"{s}{i}")
+             for i, (_, _, t) in enumerate(_touched_children(cell)) for s in "lr"]
+    c = rows.groupBy(*KEY).agg(n["l"].alias("nl"), n["r"].alias("nr"), *parts)
+    below = sum((F.col(f"l{i}").cast("double") * F.col(f"r{i}") for i in range(4)), F.lit(0.0))
+    return c.select(*KEY, "nl", "nr", (F.col("nl").cast("double") * F.col("nr")).alias("pairs"), below.alias("below"))
+
+
+def quadtree_rows(boxes: DataFrame, cell: float, cell_pairs: float = CELL_PAIRS, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Rows (side, id, box) in the leaves of a quadtree that their boxes touch: + lvl, cx, cy, a, b.
+
+    A cell with more than `cell_pairs` pairs of boxes is split while its children hold at most three quarters of
+    them; a cell that splitting doesn't help (equal boxes) keeps a x b salted blocks, else a = b = 1.  Each
+    round reads the rows of split cells only, and counts are aggregated before they are shuffled.
+    """
+    rows = boxes.select("*", F.explode(grid_cells(F.col("box"), cell)).alias("c")).select(
+        "side", "id", "box", F.lit(0).alias("lvl"), F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
+    side = math.sqrt(cell_pairs)
+    plain = [F.lit(1).cast("long").alias(x) for x in "ab"]
+    done = []
+    for depth in range(max_depth + 1):
+        full = pinned(_counted(rows, cell).where(F.col("pairs") > cell_pairs), "overlay-cells")
+        splits = (F.col("below") <= 0.75 * F.col("pairs")) & F.lit(depth < max_depth)
+        full = full.withColumn("split", splits).withColumn("a", F.ceil(F.col("nl") / side)).withColumn("b", F.ceil(F.col("nr") / side))
+        n_full, n_split = full.agg(F.count(F.lit(1)), F.sum(F.col("split").cast("long"))).first()
+        if not n_full:
+            done.append(rows.select("*", *plain))
+            break
+        if depth == 0:
+            rows = pinned(rows, "overlay-rows")
+        marked = full.select(*KEY, "split", "a", "b")
+        marked = F.broadcast(marked) if n_full <= 1_000_000 else marked
+        joined = rows.join(marked, KEY, "left")
+        keep = joined.where("split is null or not split")
+        done.append(keep.select("side", "id", "box", *KEY, *[F.coalesce(F.col(x), F.lit(1)).cast("long").alias(x) for x in "ab"]))
+        if not n_split:
+            break
+        children = F.filter(F.array(*[F.when(t, F.struct((F.col("lvl") + 1).alias("lvl"), (2 * F.col("cx") + dx).alias("cx"),
+                                                         (2 * F.col("cy") + dy).alias("cy"))) for dx, dy, t in _touched_children(cell)]),
+                            lambda c: c.isNotNull())
+        rows = pinned(joined.where("split").select("side", "id", "box", F.explode(children).alias("c"))
+                       .select("side", "id", "box", "c.*"), "overlay-rows")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, lid: str, rid: str, cell: float | None = None,
+                    cell_pairs: float = CELL_PAIRS) -> DataFrame:
+    """J7 step 1: bbox-intersecting pairs via an equi-join on the leaves of a measured quadtree.
+
+    Ids are compared as they are; both sides' ids may be of different types.  `cell` is the size of the root
+    cells (None: measured from the boxes).
+    """
+    def boxed(df, idc, side):
+        return df.select(F.lit(side).alias("side"), F.struct(F.col(idc).alias("v")).alias("i"), bbox(F.col("rings")).alias("box"))
+    kinds = {s: df.schema[c].dataType for s, df, c in (("l", left, lid), ("r", right, rid))}
+
+    def both(df, idc, side):                       # one column for each side's id: the types may differ
+        b = boxed(df, idc, side)
+        ids = [(F.col("i.v") if s == side else F.lit(None).cast(kinds[s])).alias(s) for s in "lr"]
+        return b.select("side", F.struct(*ids).alias("id"), "box").where("box.xmin is not null")
+    boxes = both(left, lid, "l").unionByName(both(right, rid, "r"))
+    cell = cell or measured_cell(boxes)
+    rows = quadtree_rows(boxes, cell, cell_pairs)
+
+    def keyed(side, own, other):
+        mine = F.pmod(F.xxhash64(f"id.{side}"), F.col(own))
+        return rows.where(F.col("side") == side).select(
+            F.col(f"id.{side}").alias(f"{side}_id"), F.col("box").alias(f"{side}_box"), *KEY, mine.alias(f"s{own}"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"s{other}"))
+    j = keyed("l", "a", "b").join(keyed("r", "b", "a"), [*KEY, "sa", "sb"])
+    # reference-cell rule: report a pair only in the leaf holding the lower-left
     # corner of the two boxes' overlap, so no de-duplication shuffle is needed
-    ref_x = F.floor(F.greatest(F.col("l_box.xmin"), F.col("r_box.xmin")) / cell)
-    ref_y = F.floor(F.greatest(F.col("l_box.ymin"), F.col("r_box.ymin")) / cell)
-    j = j.filter((F.col("cell.cx") == ref_x) & (F.col("cell.cy") == ref_y))
+    size = F.lit(cell) / F.pow(F.lit(2.0), F.col("lvl"))
+    ref_x = F.floor(F.greatest(F.col("l_box.xmin"), F.col("r_box.xmin")) / size)
+    ref_y = F.floor(F.greatest(F.col("l_box.ymin"), F.col("r_box.ymin")) / size)
+    j = j.filter((F.col("cx") == ref_x) & (F.col("cy") == ref_y))
     hit = ((F.col("l_box.xmin") <= F.col("r_box.xmax")) & (F.col("r_box.xmin") <= F.col("l_box.xmax")) &
            (F.col("l_box.ymin") <= F.col("r_box.ymax")) & (F.col("r_box.ymin") <= F.col("l_box.ymax")))
     return j.filter(hit).select(F.col("l_id").alias(lid), F.col("r_id").alias(rid))
 
 
-def overlay(left: DataFrame, right: DataFrame, lid: str, rid: str, cell: float) -> DataFrame:
+def overlay(left: DataFrame, right: DataFrame, lid: str, rid: str, cell: float | None = None) -> DataFrame:
     """(lid, rid, overlap_area) for pairs with a positive-area intersection."""
     pairs = candidate_pairs(left, right, lid, rid, cell)
     lg = left.select(F.col(lid), F.col("rings").alias("_la"))
@@ -125,7 +222,7 @@ def overlay(left: DataFrame, right: DataFrame, lid: str, rid: str, cell: float)
 
 
 def allocate_population(sections: DataFrame, tracts: DataFrame, sid: str = "Section_Code",
-                        tid: str = "GEOID", cell: float = 10.0) -> DataFrame:
+                        tid: str = "GEOID", cell: float | None = None) -> DataFrame:
     """Area-weighted tract population per section, half-even rounded, 0 when none."""
     ov = overlay(sections, tracts, sid, tid, cell)
     t = tracts.select(tid, F.col("population").alias("_pop"), polygon_area(F.col("rings")).alias("tract_area"))

@@ -81,7 +81,7 @@ def g3(spark, sf):
 @query("j7_overlay_intersection", sql(sections_sql(), SQ, TRACTS_SQL, select=
     f"SELECT s.Section_Code, t.GEOID, round({OV}, 6) AS overlap_area FROM sq s JOIN tracts t ON {OV} > 1e-12"))
 def j7(spark, sf):
-    o = overlay(section_layer(spark, sf), tract_layer(spark, sf), "Section_Code", "GEOID", 10.0)
+    o = overlay(section_layer(spark, sf), tract_layer(spark, sf), "Section_Code", "GEOID")
     return o.select("Section_Code", "GEOID", F.round("overlap_area", 6).alias("overlap_area"))
 
 
@@ -92,7 +92,7 @@ OVL = ("(greatest(0, least(s.x1, t.x0 + t.w) - greatest(s.x0, t.x0)) * greatest(
 @query("g4_overlap_area_nonconvex", sql(sections_sql(), SQ, LSHAPES_SQL, select=
     f"SELECT s.Section_Code, t.GEOID, round({OVL}, 6) AS overlap_area FROM sq s JOIN lsh t ON {OVL} > 1e-12"))
 def g4(spark, sf):
-    o = overlay(section_layer(spark, sf), lshapes(spark, sf), "Section_Code", "GEOID", 10.0)
+    o = overlay(section_layer(spark, sf), lshapes(spark, sf), "Section_Code", "GEOID")
     return o.select("Section_Code", "GEOID", F.round("overlap_area", 6).alias("overlap_area"))
 
 
@@ -101,7 +101,7 @@ def g4(spark, sf):
     f"round(t.population * {OV} / ((t.x1 - t.x0) * (t.y1 - t.y0)), 6) AS pop_allocated FROM sq s JOIN tracts t ON {OV} > 1e-12"))
 def g5(spark, sf):
     tr = tract_layer(spark, sf)
-    o = overlay(section_layer(spark, sf), tr, "Section_Code", "GEOID", 10.0)
+    o = overlay(section_layer(spark, sf), tr, "Section_Code", "GEOID")
     t = tr.select("GEOID", "population", polygon_area(F.col("rings")).alias("tract_area"))
     j = o.join(t, "GEOID")
     frac = F.col("overlap_area") / F.col("tract_area")

@@ -4,9 +4,9 @@ import math
 from pyspark.sql import functions as F
 
 from haulcube.operators.geo.dissolve import dissolve
-from haulcube.operators.geo.overlay import overlap_area_py
+from haulcube.operators.geo.overlay import candidate_pairs, measured_cell, overlap_area_py, quadtree_rows
 from haulcube.operators.geo.project import to_lon_lat, to_state_plane
-from haulcube.operators.geo.rings import multi_area, polygon_area
+from haulcube.operators.geo.rings import bbox, multi_area, polygon_area
 
 
 def rect(x0, y0, x1, y1):
@@ -46,6 +46,46 @@ def test_overlap_ignores_winding():
     assert math.isclose(overlap_area_py(flip(lshape(1, 2, 4, 5)), rect(0, 0, 3, 4)), 3.0, abs_tol=1e-9)
 
 
+def boxes_df(spark, boxes, name):
+    return spark.createDataFrame([(i, rect(*b)) for i, b in boxes], f"{name} string, rings array<array<struct<x:double,y:double>>>")
+
+
+def test_crowded_cells_are_split(spark):
+    import random
+    rnd = random.Random(5)
+
+    def box(x, y, size):
+        w, h = rnd.uniform(0.1, 1) * size, rnd.uniform(0.1, 1) * size
+        return x, y, x + w, y + h
+    layer = {}
+    for side in "lr":
+        crowd = [box(rnd.uniform(-1, 1), rnd.uniform(-1, 1), 0.02) for _ in range(300)]     # a third in a corner of one cell
+        rest = [box(rnd.uniform(-500, 500), rnd.uniform(-500, 500), 10) for _ in range(596)]
+        layer[side] = [(f"{side}{i}", b) for i, b in enumerate(crowd + rest + [(-400, -400, 400, 400)] + [(7, 7, 9, 9)] * 3)]
+    left, right = boxes_df(spark, layer["l"], "a"), boxes_df(spark, layer["r"], "b")
+    want = sorted((i, j) for i, p in layer["l"] for j, q in layer["r"] if p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
+    for cell, limit in ((None, 1e6), (64.0, 200)):
+        assert sorted(map(tuple, candidate_pairs(left, right, "a", "b", cell, limit).collect())) == want
+    both = [df.select(F.lit(s).alias("side"), F.struct(F.col(c).alias("l"), F.col(c).alias("r")).alias("id"), bbox(F.col("rings")).alias("box"))
+            for df, c, s in ((left, "a", "l"), (right, "b", "r"))]
+    boxes = both[0].unionByName(both[1])
+    n = quadtree_rows(boxes, measured_cell(boxes), 200).groupBy("lvl", "cx", "cy").agg(
+        (F.sum(F.expr("int(side = 'l')")) * F.sum(F.expr("int(side = 'r')"))).alias("pairs"), F.max("a").alias("a"), F.max("b").alias("b"))
+    n = n.select((F.col("pairs") / (F.col("a") * F.col("b"))).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert n[0] <= 200 and n[0] <= 0.05 * n[1]
+
+
+def test_equal_boxes_are_salted(spark):
+    same = [(f"s{i}", (0, 0, 5, 5)) for i in range(60)]
+    rows = quadtree_rows(boxes_df(spark, same, "a").select(F.expr("if(int(substr(a, 2)) % 2 = 0, 'l', 'r')").alias("side"), F.col("a").alias("id"),
+                                                           bbox(F.col("rings")).alias("box")), 16.0, 100)
+    assert {(r.a, r.b) for r in rows.collect()} == {(3, 3)} and rows.count() == 60
+    left, right = boxes_df(spark, same, "a"), boxes_df(spark, same, "b")
+    assert candidate_pairs(left, right, "a", "b", cell_pairs=100).distinct().count() == 3600
+    assert candidate_pairs(left, right, "a", "b", cell_pairs=100).count() == 3600
+    assert candidate_pairs(left.limit(0), right, "a", "b").count() == 0
+
+
 def test_dissolve_multi_part_and_holes(spark):
     flip = lambda rings: [r[::-1] for r in rings]
     ring = [rect(x, y, x + 1, y + 1) for x in range(3) for y in range(3) if (x, y) != (1, 1)]  # a square with a hole
