@@ -148,9 +148,13 @@ def quadtree_rows(boxes: DataFrame, cell: float, cell_pairs: float = CELL_PAIRS,
     plain = [F.lit(1).cast("long").alias(x) for x in "ab"]
     done = []
     for depth in range(max_depth + 1):
-        full = pinned(_counted(rows, cell).where(F.col("pairs") > cell_pairs), "overlay-cells")
+        full = _counted(rows, cell).where(F.col("pairs") > cell_pairs)
+        if not depth and full.isEmpty():                  # nothing crowded: no table is written
+            done.append(rows.select("*", *plain))
+            break
         splits = (F.col("below") <= 0.75 * F.col("pairs")) & F.lit(depth < max_depth)
-        full = full.withColumn("split", splits).withColumn("a", F.ceil(F.col("nl") / side)).withColumn("b", F.ceil(F.col("nr") / side))
+        full = pinned(full.withColumn("split", splits).withColumn("a", F.ceil(F.col("nl") / side)).withColumn("b", F.ceil(F.col("nr") / side)),
+                      "overlay-cells")
         n_full, n_split = full.agg(F.count(F.lit(1)), F.sum(F.col("split").cast("long"))).first()
         if not n_full:
             done.append(rows.select("*", *plain))
