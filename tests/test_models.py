@@ -4,6 +4,7 @@ import numpy as np
 from haulcube.operators.cluster.kmeans import kmeans_best_of, pca_95
 from haulcube.operators.forecast.series import (arma_orders, change_points, seasonal_ar_forecast, seasonal_arma_fit,
                                                  trend_fourier_fit, trend_fourier_forecast)
+from haulcube.operators.cluster.features import STREAM_ORDER
 from haulcube.operators.geo import contiguity as C
 
 
@@ -117,3 +118,44 @@ def test_seeded_sample_repeats(spark):
     df = spark.range(20_000).repartition(4, "id")
     a, b = (df.sample(fraction=0.1, seed=42).toPandas()["id"].tolist() for _ in range(2))
     assert a == b and abs(len(a) - 2000) < 200
+
+
+def test_window_regression_learns_a_planted_rule(spark):
+    import datetime
+
+    from haulcube.operators.forecast.models import sequence_regressor
+    rnd = np.random.default_rng(11)
+    day, rows, truth = datetime.date(2001, 1, 1), [], {}
+    for g in ("a", "b", "c", "d"):
+        paper, mgp = rnd.normal(5, 1, 300), rnd.normal(3, 1, 300)
+        refuse = np.concatenate([[20.0], 20 + 2 * (paper[:-1] - 5) - (mgp[:-1] - 3)])
+        rows += [(g, day + datetime.timedelta(7 * i), *map(float, v)) for i, v in enumerate(zip(refuse, paper, mgp))]
+        truth[g] = refuse
+    cube = spark.createDataFrame(rows, "District_Code string, week_start date, tons_refuse double, tons_paper double, tons_mgp double")
+    out = sequence_regressor(cube).collect()
+    assert sorted((r.District_Code, (r.week_start - day).days // 7) for r in out) == [(g, i) for g in "abcd" for i in range(248, 300)]
+    assert all(r.y_true == truth[r.District_Code][(r.week_start - day).days // 7] for r in out)
+    err = np.array([r.y_true - r.y_pred for r in out])
+    assert np.sqrt((err ** 2).mean()) < 0.1 * np.std(np.concatenate(list(truth.values())))
+
+
+def test_stream_matrices_stand_side_by_side(spark):
+    import datetime
+
+    from haulcube.operators.cluster.features import multistream_matrix
+    rnd = np.random.default_rng(12)
+    day, rows, want = datetime.date(2001, 1, 1), [], {}
+    for g in ("a", "b", "few"):
+        x = rnd.uniform(1, 9, (3, 20))
+        if g == "few":
+            x[1, :10] = 0                                      # half of one stream's weeks are empty
+        if g == "b":
+            x[2] = 4                                           # no variance
+        rows += [(g, day + datetime.timedelta(7 * i), *map(float, v)) for i, v in enumerate(x.T)]
+        sd = x.std(axis=1, keepdims=True)
+        want[g] = np.where(sd > 1e-12, (x - x.mean(axis=1, keepdims=True)) / np.where(sd > 1e-12, sd, 1), 0).ravel()
+    cube = spark.createDataFrame(rows, "g string, week_start date, tons_refuse double, tons_paper double, tons_mgp double")
+    got = {r.g: r.features for r in multistream_matrix(cube, "g").collect()}
+    order = [("tons_refuse", "tons_paper", "tons_mgp").index(s) for s in STREAM_ORDER]
+    assert set(got) == {"a", "b"}
+    assert all(np.allclose(got[g], want[g].reshape(3, 20)[order].ravel()) for g in got)
