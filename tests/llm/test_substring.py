@@ -55,5 +55,35 @@ def test_branching_passages(spark):
     check(docs)
 
 
+def test_equal_keys_of_other_words_are_withdrawn(spark):
+    """With one bit a word, keys collide: spans that differ at their source stay, true repeats go."""
+    rnd = random.Random(5)
+    fresh = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    parity = {}
+    for i in range(4000):
+        parity.setdefault(S.xxhash.xxh64_intdigest(f"z{i}".encode()) & 1, []).append(f"z{i}")
+    twin = [rnd.randrange(2) for _ in range(90)]
+    one, two = ([rnd.choice(parity[b]) for b in twin] for _ in range(2))  # other words, all keys equal
+    true = fresh("true", 70)
+    rows = [(1, one), (2, two), (3, true + fresh("a", 5)), (4, fresh("b", 9) + true), (5, two[:40] + one[40:])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in S.drop_repeats(docs, hash_bits=1).collect()}
+    held = brute([(i, " ".join(w)) for i, w in rows])
+    assert {i: g[:2] for i, g in got.items() if i <= 3} == {i: (n, g) for i, n, g, _ in held if i <= 3}
+    assert got[2][1] == 0 and got[2][2] == " ".join(two)
+    for i, n, g, _ in held:  # never more than the truth
+        assert got[i][0] == n and got[i][1] <= g
+    check(docs)  # all 64 bits: the truth itself
+
+
+def test_chunks_of_one_text_and_of_many(spark, small_docs, monkeypatch):
+    monkeypatch.setattr(S, "_CHUNK", 50)
+    check(small_docs.where("length(text) < 3000"))
+
+
+def test_other_windows(small_docs):
+    check(small_docs, window=9)
+
+
 def test_empty(no_docs):
     assert S.drop_repeats(no_docs).count() == 0
