@@ -3,7 +3,8 @@
 Lines end at a newline; a line is its words joined by one space, and a line without words is always
 kept.  A line is removed if an earlier line (smaller id, or same document and earlier line) has the same
 words, or - for lines of at least `min_words` words - differs by one word inserted, removed or replaced.
-Lines are judged on the input, not on what is left.
+The default is the shortest line in which one word is no more than a fifth.  Lines are judged on the input,
+not on what is left.
 
 Every line emits its deletion neighbourhood as hashed keys: the line without its i-th word, for every i,
 and the line itself.  Equal keys join: two lines of n words that agree without word i differ by a
@@ -17,7 +18,8 @@ prunes the second reading; it never loses a pair).
 
 Defined results: a null text stays null; rows that share an id (or have a null id) are versions of one
 document and are judged against other ids and themselves only; a null id comes first; an emptied
-document stays as an empty text; empty tables give empty results; extra columns are passed through.
+document stays as an empty text; empty tables give empty results; extra columns are passed through; ids
+must be integers.
 """
 from __future__ import annotations
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import as_long, id_key, may_contain, membership_bits, mix64, replace_text, written
 
-MIN_WORDS = 8
+MIN_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 
@@ -218,7 +220,7 @@ def strip_text(raw: bytes, gone, min_words: int = MIN_WORDS):
     for _, words in lines:
         if words:
             distinct.setdefault(b" ".join(words), words)
-    near = _near_inside([w for w in distinct.values() if len(w) >= min_words], (min_words - 1) // 2)
+    near = _near_inside([w for w in distinct.values() if len(w) >= min_words])
     seen, kept, n_lines, n_removed = set(), [], 0, 0
     for line, words in lines:
         if not words:
@@ -238,17 +240,20 @@ def strip_text(raw: bytes, gone, min_words: int = MIN_WORDS):
     return b"\n".join(kept), n_lines, n_removed
 
 
-def _near_inside(lines: list[list[bytes]], ends: int) -> set[bytes]:
+def _near_inside(lines: list[list[bytes]]) -> set[bytes]:
     """The distinct lines of one text that are within one edit of a line before them.
 
-    Such lines share their first or their last `ends` words.
+    Such lines share one of their halves (see `_halves`).
     """
     if len(lines) < 2:
         return set()
     found, halves, by_key = set(), {}, {}
     for i, words in enumerate(lines):
-        halves.setdefault((0, *words[:ends]), []).append(i)
-        halves.setdefault((1, *words[-ends:]), []).append(i)
+        n = len(words)
+        for k in {n // 2, (n - 1) // 2}:
+            halves.setdefault((0, *words[:k]), []).append(i)
+        for k in {n - n // 2, n - 1 - (n - 1) // 2}:
+            halves.setdefault((1, *words[n - k:]), []).append(i)
     for i in sorted({i for same in halves.values() if len(same) > 1 for i in same}):
         words = lines[i]
         keys, places = neighbourhood(words)

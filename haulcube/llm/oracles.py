@@ -20,12 +20,12 @@ WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documen
 l AS (SELECT doc_id, p AS line_no, ls[p] AS line, {WORDS.replace('text', 'ls[p]')} AS w
       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM raw)),
 f AS (SELECT w, min(struct_pack(d := doc_id, n := line_no)) AS a0 FROM l WHERE len(w) > 0 GROUP BY w),
-v AS (SELECT w, a0, len(w) AS n, i, w[:i - 1] || w[i + 1:] AS c FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 8)),
+v AS (SELECT w, a0, len(w) AS n, i, w[:i - 1] || w[i + 1:] AS c FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 5)),
 near AS (
   SELECT w, min(o) AS o FROM (
     SELECT w, min(a0) OVER (PARTITION BY n, i, c) AS o FROM v
-    UNION ALL SELECT v.w, f.a0 FROM v JOIN f ON f.w = v.c WHERE len(f.w) >= 8
-    UNION ALL SELECT f.w, v.a0 FROM v JOIN f ON f.w = v.c WHERE len(f.w) >= 8) GROUP BY w),
+    UNION ALL SELECT v.w, f.a0 FROM v JOIN f ON f.w = v.c WHERE len(f.w) >= 5
+    UNION ALL SELECT f.w, v.a0 FROM v JOIN f ON f.w = v.c WHERE len(f.w) >= 5) GROUP BY w),
 first AS (SELECT f.w, least(f.a0, coalesce(near.o, f.a0)) AS o FROM f LEFT JOIN near USING (w)),
 j AS (SELECT l.*, len(l.w) > 0 AND first.o < struct_pack(d := doc_id, n := line_no) AS gone FROM l LEFT JOIN first ON first.w = l.w),
 g AS (SELECT doc_id, count(*) FILTER (len(w) > 0) AS n_lines, count(*) FILTER (gone) AS n_removed,

@@ -17,7 +17,7 @@ queue of its own, however many there are: a table has one row per queue and wind
 position of its tokens in the stream, and is joined to the pieces.
 
 Defined results: a null text is empty and gives the end id alone; a null source is a queue of its own;
-repeated rows are packed each; empty tables give empty results; extra columns are ignored.
+repeated rows are packed each; ids must be integers; empty tables give empty results; extra columns are ignored.
 """
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ distinct fingerprints is not expanded into pairs: its members meet in their one-
 Components come from min-label propagation with pointer jumping over written tables.
 
 Defined results: a null id never names a component (only null ids: a null component); repeated rows
-share everything; empty tables give empty results; extra columns are ignored.
+share everything; ids must be integers; empty tables give empty results; extra columns are ignored.
 """
 from __future__ import annotations
 

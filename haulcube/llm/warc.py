@@ -14,7 +14,7 @@ quarantined gap.  With `whole` the reader raises instead if a file of the manife
 holds another number of records than the manifest says.
 
 Defined results: a null payload is empty; a null url writes no target header; rows that share the largest
-id of their payload are all responses; null ids take part in no revisit; empty tables give empty archives.
+id of their payload are all responses; null ids take part in no revisit; ids must be integers; empty tables give empty archives.
 """
 from __future__ import annotations
 

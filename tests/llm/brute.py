@@ -13,7 +13,7 @@ from haulcube.llm.common import NULL_ID
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-def line_dedup(rows, min_words=8):
+def line_dedup(rows, min_words=5):
     """Removed lines by definition, comparing every pair of lines."""
     lines = []
     for r, (i, t) in enumerate(rows):
