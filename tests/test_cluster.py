@@ -129,6 +129,21 @@ def test_many_labelings_in_one_pass(pts):
     assert set(got) == {0, 1, 2} and all(abs(got[i] - w) < 1e-12 for i, w in enumerate(want))
 
 
+def test_silhouettes_over_blocks(spark, monkeypatch):
+    """A point is copied once a block; copies far from the origin have distance zero, not what a product leaves."""
+    from haulcube.operators.cluster import pairs as P
+    assert -(-600_000 // P.block_size(600_000, 64)) <= 20 and P.block_size(10**9, 64) * 64 <= P.BLOCK_VALUES
+    monkeypatch.setattr(P, "LEAST_ROWS", 16)
+    rng = np.random.default_rng(13)
+    X = np.concatenate([1e4 + rng.normal(size=(60, 3)), np.tile([[1e4, 1e4, 1e4 + 9]], (20, 1)), np.tile([[1e4 + 7, 1e4, 1e4]], (20, 1))])
+    lab = np.repeat([0, 1, 2, 3], [30, 30, 20, 20])
+    df = spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(X, lab))], "id long, v array<double>, lab long")
+    D = _d(X)
+    a = np.array([D[i, lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1) for i in range(100)])
+    b = np.array([min(D[i, lab == k].mean() for k in range(4) if k != lab[i]) for i in range(100)])
+    assert abs(silhouette(df, "id", "v", "lab").first()[0] - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
+
+
 def test_davies_bouldin_brute(pts):
     X, df = pts
     lab = np.array([int(i >= 15) + int(i >= 30) for i in range(len(X))])
@@ -166,6 +181,47 @@ def test_index_pairs_a_tenth_of_clustered_points(spark):
         assert pairs < len(X) ** 2 / 10
 
 
+def test_points_are_copied_once_a_block_where_no_partition_is_out_of_reach(spark):
+    """Wide noise: every ball reaches every pivot, but a point goes to blocks, not to pivots."""
+    rng = np.random.default_rng(10)
+    X = np.concatenate([rng.normal(size=(2500, 16)), np.tile(rng.normal(size=(1, 16)), (60, 1)), 1e3 + rng.normal(size=(40, 16))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    index = MI.build_index(df, "id", "v", per_pivot=40)
+    bounds = MI._bounds(index, 5)
+    meeting = MI.Meeting(index, bounds)
+    blocks = len({b for pair in meeting.pairs for b in pair})
+    assert len(index.pivots) == 65 and MI.visits(index, bounds).count() > 30 * len(X) and blocks <= 4
+    D = _d(X)
+    got = {r["id"]: r["kdist"] for r in knn_distances(df, "id", "v", 5, per_pivot=40).collect()}
+    want = np.sort(D, axis=1)[:, 4]
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(len(X)))
+    eps = float(np.median(want))
+    edges = {(r.i, r.j) for r in radius_edges(df, "id", "v", eps, per_pivot=40).collect()}
+    assert edges == set(zip(*(a.tolist() for a in np.nonzero(D <= eps))))
+
+
+def test_dbscan_over_several_blocks(spark, monkeypatch):
+    from haulcube.operators.cluster import pairs as P
+    monkeypatch.setattr(P, "LEAST_ROWS", 20)
+    rng = np.random.default_rng(12)
+    X = np.concatenate([rng.normal(c, 0.6, (40, 2)) for c in ((0, 0), (4, 0), (0, 5))] + [rng.uniform(-3, 8, (40, 2))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    near = _d(X) <= 0.5
+    core = np.flatnonzero(near.sum(1) >= 4)
+    lab, n = {}, 0
+    for c in core.tolist():
+        if c not in lab:
+            stack = [c]
+            while stack:
+                x = stack.pop()
+                if x not in lab:
+                    lab[x] = n
+                    stack += [int(y) for y in np.flatnonzero(near[x]) if y in core]
+            n += 1
+    want = {i: lab[i] if i in lab else min((lab[j] for j in np.flatnonzero(near[i]).tolist() if j in lab), default=-1) for i in range(len(X))}
+    assert {r["id"]: r["cluster"] for r in dbscan(df, "id", "v", 0.5, 4).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     rng = np.random.default_rng(4)
     order = rng.permutation(10_000).tolist()
