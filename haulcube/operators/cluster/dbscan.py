@@ -2,8 +2,8 @@
 
 eps: k-th neighbour distances (pivot index), sorted with a distributed global
 index, knee = arg-max of the second difference (joins on index + 1, + 2).
-DBSCAN: radius graph (pivot index), core = degree >= min_samples (self
-included), connected components of core points in logarithmic rounds,
+DBSCAN: pivot index, core = degree >= min_samples (self included), connected components
+of core points in logarithmic rounds over a spanning forest of each pair of blocks (the radius graph itself is never written),
 cluster number = rank of each component's smallest core id, border points -> smallest neighbouring
 cluster, everything else -1.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ...session import pinned
 from ..components import components
 from ..ordering import global_index
-from .metric_index import knn_distances, radius_edges
+from .metric_index import Meeting, build_index, degrees, knn_distances, least_near, spanning_links
 
 
 def knee(values: DataFrame, value: str) -> DataFrame:
@@ -46,17 +46,19 @@ def auto_eps(points: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
 
 def dbscan(points: DataFrame, id_col: str, vec: str, eps: float, min_samples: int = 3) -> DataFrame:
     """(id, cluster) with -1 for noise."""
-    edges = pinned(radius_edges(points, id_col, vec, eps), "dbscan-edges")
-    deg = edges.groupBy("i").agg(F.count(F.lit(1)).alias("deg"))
-    core = pinned(deg.filter(F.col("deg") >= min_samples).select(F.col("i").alias("u")), "dbscan-core")
-    cc = edges.join(core.withColumnRenamed("u", "i"), "i").join(core.withColumnRenamed("u", "j"), "j") \
-        .filter(F.col("i") < F.col("j")).select("i", "j")
+    index = build_index(points, id_col, vec)
+    if index is None:
+        return points.select(id_col, F.lit(-1).alias("cluster"))
+    meeting = Meeting(index, radius=float(eps))
+    placed = pinned(meeting.points, "dbscan-points")
+    core = pinned(degrees(meeting, float(eps)).filter(F.col("deg") >= min_samples).select(F.col("i").alias("u")), "dbscan-core")
+    cc = spanning_links(meeting, placed.join(core.withColumnRenamed("u", "id"), "id", "left_semi"), float(eps))
     lab, _ = components(core.select(F.col("u").alias("node")), cc)
     lab = lab.select(F.col("node").alias("u"), F.col("component").alias("lab"))
     num = global_index(lab.select("lab").distinct(), ["lab"], "cluster")
     core_lab = lab.join(num, "lab").select("u", "cluster")
-    border = edges.join(core_lab.select(F.col("u").alias("j"), "cluster"), "j") \
-        .groupBy("i").agg(F.min("cluster").alias("bc"))
+    known = placed.join(core_lab.select(F.col("u").alias("id"), "cluster"), "id", "left").select("id", "vec", "block", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    border = least_near(meeting, known, float(eps))
     out = points.select(F.col(id_col).alias("u")).join(core_lab, "u", "left") \
         .join(border.withColumnRenamed("i", "u"), "u", "left")
     return out.select(F.col("u").alias(id_col), F.coalesce("cluster", "bc", F.lit(-1)).cast("int").alias("cluster"))
