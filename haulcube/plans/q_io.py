@@ -43,8 +43,8 @@ def write_dirty_csv(spark, sf):
 HEADED = ["Site_Note", *reversed(RAW_COLUMNS)]
 
 
-def write_headed_csv(spark, sf, files: int = 4):
-    """The same dirty rows in files with a header line, an extra column and another column order."""
+def write_headed_csv(spark, sf):
+    """The same dirty rows in files with a header line, an extra column and another column order; every task writes its own file."""
     raw = loads(spark, sf)
     rc = F.col("Route_Code").cast("long")
     f = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RAW_COLUMNS}
@@ -53,11 +53,10 @@ def write_headed_csv(spark, sf, files: int = 4):
     f["Site_Note"] = F.lit("x")
     line = F.concat_ws(",", *[f[c] for c in HEADED])
     line = F.when((rc % 211 != 0) & (rc % 223 != 0) & (rc % 227 == 0), F.concat(line, F.lit(",EXTRA"))).otherwise(line)
-    rows = raw.select(F.pmod(F.xxhash64("Route_Code"), F.lit(files)).alias("file"), F.lit(1).alias("no"), line.alias("value"))
-    head = spark.range(files).select(F.col("id").alias("file"), F.lit(0).alias("no"), F.lit(",".join(HEADED)).alias("value"))
     path = scratch_dir(spark, "raw-csv-headed")
-    (rows.unionByName(head).repartition("file").sortWithinPartitions("file", "no").drop("no")
-     .write.mode("overwrite").partitionBy("file").text(path))
+    # one column whose name is the header: its lines are written as they are, without quotes
+    (raw.select(line.alias(",".join(HEADED))).write.mode("overwrite").option("header", True).option("sep", "\u0001").option("quote", "")
+     .option("escapeQuotes", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -99,7 +98,7 @@ def s1_stream(spark, sf):
 def s1_rejected(spark, sf):
     from ..streaming.ingest import ingest_split
     src, out, bad = write_headed_csv(spark, sf), scratch_dir(spark, "clean-split"), scratch_dir(spark, "rejected")
-    ingest_split(spark, f"{src}/*", out, bad, scratch_dir(spark, "split-ckpt"), header=True, max_files_per_trigger=2)
+    ingest_split(spark, src, out, bad, scratch_dir(spark, "split-ckpt"), header=True, max_files_per_trigger=2)
     kept = spark.read.parquet(out).select(F.lit("kept").alias("reason"))
     return kept.unionByName(spark.read.parquet(bad).select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

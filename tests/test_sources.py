@@ -1,4 +1,5 @@
 """Readers: headed raw files and layers of more than one document."""
+import pytest
 from pyspark.sql import functions as F
 
 from haulcube.session import scratch_dir
@@ -52,3 +53,46 @@ def test_geojson_of_many_documents(spark):
     path = io.write_geojson(layer, scratch_dir(spark, "geojson-test"), "GEOID", ["population"])
     back = io.read_geojson(spark, path, "GEOID", {"population": "double"})
     assert back.count() == n and back.select(F.sum("population")).first()[0] == n * (n - 1) / 2
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """1,200 line items of 20 suppliers in 5 nations, in 6 files."""
+    n = spark.range(0, 1200, 1, 6)
+    n.selectExpr("id AS l_orderkey", "id % 300 AS l_partkey", "id % 20 + 1 AS l_suppkey", "cast(id % 3 + 1 as int) AS l_linenumber", "cast(id % 40 as double) AS l_quantity",
+                 "0.05D AS l_discount", "if(id % 2 = 0, 'A', 'N') AS l_returnflag",
+                 "cast(timestamp'1996-01-01' + make_interval(0, 0, 0, cast(id % 700 as int)) as timestamp_ntz) AS l_shipdate") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 21).selectExpr("id AS s_suppkey", "cast(id % 5 as int) AS s_nationkey", "10.0D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(5).selectExpr("cast(id as int) AS n_nationkey", "'N' AS n_name", "1 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    return str(tmp_path)
+
+
+def test_headed_raw_files_come_straight_from_the_tasks(spark, tables):
+    """Not dealt into a fixed number of files, each sorted by one task."""
+    from haulcube.plans import q_io
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for c in before:
+        spark.conf.set(c, "8k")
+    path = q_io.write_headed_csv(spark, tables)
+    for c, value in before.items():
+        spark.conf.set(c, value)
+    lines = spark.read.text(path).selectExpr("value", "input_file_name() AS f").collect()
+    head = ",".join(q_io.HEADED)
+    heads = [r.f for r in lines if r.value == head]
+    assert len(heads) == len(set(heads)) == len({r.f for r in lines}) > 4 and len(lines) == 1200 + len(heads)
+    got = sorted(map(repr, q_io.s1(spark, tables).collect()))
+    assert len(got) == 1200 and sum("Tons_Collected=None" in r for r in got) == 12
+    assert q_io.s1s(spark, tables).count() == 1200 - sum(r.value.endswith(",EXTRA") for r in lines)
+
+
+def test_split_and_permutation_test_read_the_loads_once(spark, tables, monkeypatch):
+    from haulcube.plans import q_agg, q_geo
+    from haulcube.plans.base import clean_df
+    assert "ExistingRDD" not in clean_df(spark, tables)._jdf.queryExecution().toString()       # no Python on the executors
+    seen, split, test = [], q_agg.FT.temporal_split, q_geo.C.moran_permutation_test
+    monkeypatch.setattr(q_agg.FT, "temporal_split", lambda cube: seen.append(cube) or split(cube))
+    monkeypatch.setattr(q_geo.C, "moran_permutation_test", lambda v, *rest: seen.append(v) or test(v, *rest))
+    assert {r["split"] for r in q_agg.t1(spark, tables).collect()} == {"train", "test"}
+    assert q_geo.g9(spark, tables).first()["permutations"] == 999
+    assert len(seen) == 2 and not any("lineitem" in f for df in seen for f in df.inputFiles())
