@@ -64,7 +64,8 @@ def clean_loads(raw: DataFrame, date_formats=DATE_FORMATS, null_code: str = "nan
                      if c in ("District_Code", "Section_Code") else F.col(c) for c in df.columns])
     # P10 as an anti join with the fixed 26-code list (broadcast): unlike a filter it
     # is not pushed below the normaliser, so the rules run exactly once per row.
-    drops = df.sparkSession.createDataFrame([(x,) for x in DROP_SECTIONS], "_drop string")
+    # The list is an expression, not local rows: those would start Python on every executor.
+    drops = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*(F.lit(x) for x in DROP_SECTIONS))).alias("_drop"))
     df = df.join(F.broadcast(drops), F.col("Section_Code") == F.col("_drop"), "left_anti")
     dt = F.col("Collection_Date")
     return df.select(

@@ -13,6 +13,7 @@ from ..operators.cluster.features import feature_long, multistream_matrix
 from ..operators.forecast.score import (PREDS_SQL, best_model, comparison_table, errors, metrics,
                                         metrics_sql, valid_pairs)
 from ..operators.weekly import interpolate, regrid, stream_sums, trailing_means
+from ..session import pinned
 from ..sources.analogue import LOADS_SQL, loads
 from ..sources.geo_fixtures import section_layer, sections_sql
 from .base import (CLEAN_CTE, DCUBE_CTE, SCUBE_ONLY, clean_df, district_cube, section_cube, sql)
@@ -476,7 +477,7 @@ def w15(spark, sf):
 @query("t1_temporal_split", sql(DCUBE_CTE, select="""SELECT CASE WHEN week_start <= (SELECT max(week_start) - 364 FROM cube) THEN 'train' ELSE 'test' END AS split,
   count(*) AS n, min(week_start) AS first_week, max(week_start) AS last_week FROM cube GROUP BY 1"""))
 def t1(spark, sf):
-    cube = district_cube(spark, sf)
+    cube = pinned(district_cube(spark, sf).select(G, "week_start"), "split-cube")      # read for the cutoff and for both sides
     tr, te = FT.temporal_split(cube)
     s = lambda d, n: d.agg(F.lit(n).alias("split"), F.count(F.lit(1)).alias("n"), F.min("week_start").alias("first_week"),
                            F.max("week_start").alias("last_week"))
