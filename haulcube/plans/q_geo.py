@@ -8,6 +8,7 @@ from ..operators.geo.dissolve import dissolve
 from ..operators.geo.overlay import allocate_population, overlay
 from ..operators.geo.project import sql_to_state_plane, to_lon_lat, to_state_plane
 from ..operators.geo.rings import bbox, grid_cells, multi_area, n_vertices, polygon_area
+from ..session import pinned
 from ..sources.geo_fixtures import TRACTS_SQL, section_layer, sections_sql, tract_layer
 from ..sources.tables import table
 from .base import CLEAN_CTE, SCUBE_ONLY, section_cube, sql
@@ -167,7 +168,7 @@ def g8(spark, sf):
 
 @query("g9_moran_permutation_test")
 def g9(spark, sf):
-    v = _section_values(spark, sf)
+    v = pinned(_section_values(spark, sf), "moran-values")         # the loads are read once, the values are used three times
     w = C.row_standardise(C.queen_edges(section_layer(spark, sf).join(v.select("Section_Code"), "Section_Code", "left_semi"), "Section_Code"))
     return C.moran_permutation_test(v, w, "Section_Code", "avg_refuse", 999)
 
