@@ -1,11 +1,14 @@
 """Every clustering method on one aggregation level -> (assignments, metrics, silhouette curves).
 
-A driver loop over methods and k values; each step is a distributed job on the
-(small, pinned) feature matrix.  Groups are keyed by a dense integer id for
+The methods run side by side, each a chain of short distributed jobs on the
+(small, pinned) feature matrix: one chain alone waits on its own jobs and leaves most executors idle.  Groups are keyed by a dense integer id for
 the pair kernels and mapped back at the end.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,12 @@ def ward_search(X: DataFrame, id_col: str, vec: str, k_values):
     return (cuts.where(F.col("k") == best).drop("k") if best in k_values else cut_tree(lk, leaves, id_col, best)), best, curve
 
 
+def side_by_side(spark, calls) -> list:
+    """Results of the calls in their order; their jobs run concurrently."""
+    with ThreadPoolExecutor(max(1, len(calls))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda call: call()), calls))
+
+
 def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_refuse", coverage: float = 0.8,
                   k_values=K_RANGE, n_init: int = 10, dtw_iter: int = 30, dtw_final_iter: int = 50,
                   parts=("assignments", "metrics", "curves")):
@@ -88,48 +97,52 @@ def cluster_level(cube: DataFrame, group: str, level: str, value: str = "tons_re
                                           "cluster_hierarchical int, cluster_dbscan int"),
                 spark.createDataFrame([], METRIC_SCHEMA), spark.createDataFrame([], CURVE_SCHEMA))
     ks = capped(k_values, n)
-    labels, rows, curve = {}, [], []
 
     def metric_row(method, pts, vec, lab, best_k=None, eps=None, n_noise=None):
         if "metrics" not in parts:
-            return
+            return None
         m = cluster_metrics(pts, "gid", vec, lab).first()
-        rows.append((method, m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"], m["n_clusters"],
-                     best_k, eps, n_noise, level))
-
-    # K-means on the PCA projection; the fit at the best k is among those of the search
-    pca, _, _ = pca_95(X, "features")
-    pca = pinned(pca.select(group, "gid", "pca"), "level-pca")
-    by_k, fits = kmeans_search(pca, "gid", "pca", ks, n_init=n_init)
-    curve += [("KMeans", level, k, s, inertia) for k, s, inertia in by_k]
-    best_k = _best(by_k)
-    lab = labelled(pca, "pca", fits[best_k][0])
-    labels["cluster_kmeans"] = lab.select("gid", F.col("cluster").cast("int").alias("c"))
-    metric_row("KMeans", lab, "pca", "cluster", best_k=best_k)
-
-    # DTW k-means (Euclidean silhouette picks k)
-    final, best_k, by_k = dtw_search(X, "gid", "features", ks, dtw_iter, dtw_final_iter if set(parts) != {"curves"} else dtw_iter)
-    curve += [("DTW-KMeans", level, k, s, None) for k, s in by_k]
-    final = pinned(final.select("gid", "cluster"), "dtw-final")
-    labels["cluster_dtw_kmeans"] = final.select("gid", F.col("cluster").cast("int").alias("c"))
-    metric_row("DTW-KMeans", X.join(final, "gid"), "features", "cluster", best_k=best_k)
-
-    # Ward tree, cut by silhouette
-    cut, best_k, by_k = ward_search(X, "gid", "features", ks)
-    curve += [("Hierarchical", level, k, s, None) for k, s in by_k]
-    labels["cluster_hierarchical"] = cut.select("gid", F.col("cluster").cast("int").alias("c"))
-    metric_row("Hierarchical", X.join(cut, "gid"), "features", "cluster", best_k=best_k)
-
+        return (method, m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"], m["n_clusters"],
+                best_k, eps, n_noise, level)
+
+    # every method: (name of the labels, labels, metric row, curve)
+    def kmeans():
+        # on the PCA projection; the fit at the best k is among those of the search
+        pca, _, _ = pca_95(X, "features")
+        pca = pinned(pca.select(group, "gid", "pca"), "level-pca")
+        by_k, fits = kmeans_search(pca, "gid", "pca", ks, n_init=n_init)
+        best_k = _best(by_k)
+        lab = labelled(pca, "pca", fits[best_k][0])
+        return ("cluster_kmeans", lab.select("gid", F.col("cluster").cast("int").alias("c")),
+                metric_row("KMeans", lab, "pca", "cluster", best_k=best_k), [("KMeans", level, k, s, inertia) for k, s, inertia in by_k])
+
+    def dtw():
+        # Euclidean silhouette picks k
+        final, best_k, by_k = dtw_search(X, "gid", "features", ks, dtw_iter, dtw_final_iter if set(parts) != {"curves"} else dtw_iter)
+        final = pinned(final.select("gid", "cluster"), "dtw-final")
+        return ("cluster_dtw_kmeans", final.select("gid", F.col("cluster").cast("int").alias("c")),
+                metric_row("DTW-KMeans", X.join(final, "gid"), "features", "cluster", best_k=best_k), [("DTW-KMeans", level, k, s, None) for k, s in by_k])
+
+    def ward():
+        # tree, cut by silhouette
+        cut, best_k, by_k = ward_search(X, "gid", "features", ks)
+        return ("cluster_hierarchical", cut.select("gid", F.col("cluster").cast("int").alias("c")),
+                metric_row("Hierarchical", X.join(cut, "gid"), "features", "cluster", best_k=best_k), [("Hierarchical", level, k, s, None) for k, s in by_k])
+
+    def density():
+        # DBSCAN with the knee eps
+        eps = auto_eps(X, "gid", "features").first()["eps"]
+        db = pinned(dbscan(X, "gid", "features", eps, 3), "dbscan-labels")
+        n_noise = db.filter(F.col("cluster") == -1).count()
+        return ("cluster_dbscan", db.select("gid", F.col("cluster").alias("c")),
+                metric_row("DBSCAN", X.join(db, "gid"), "features", "cluster", eps=float(eps), n_noise=n_noise), [])
+
+    done = side_by_side(spark, [kmeans, dtw, ward] + ([] if set(parts) == {"curves"} else [density]))
+    labels = {name: lab for name, lab, _, _ in done}
+    rows, curve = [row for _, _, row, _ in done], [c for *_, by_k in done for c in by_k]
     if set(parts) == {"curves"}:
         return None, None, spark.createDataFrame(curve, CURVE_SCHEMA)
 
-    # DBSCAN with the knee eps
-    eps = auto_eps(X, "gid", "features").first()["eps"]
-    db = pinned(dbscan(X, "gid", "features", eps, 3), "dbscan-labels")
-    labels["cluster_dbscan"] = db.select("gid", F.col("cluster").alias("c"))
-    n_noise = db.filter(F.col("cluster") == -1).count()
-    metric_row("DBSCAN", X.join(db, "gid"), "features", "cluster", eps=float(eps), n_noise=n_noise)
-
     assign = X.select(group, "gid")
     for name, l in labels.items():
         assign = assign.join(l.withColumnRenamed("c", name), "gid", "left")

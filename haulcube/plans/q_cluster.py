@@ -216,15 +216,14 @@ LEVELS = ((district_cube, G, "district"), (section_cube, "Section_Code", "sectio
 
 def _levels(spark, sf, part: int):
     """One of the tables (assignments, metrics, curves) of both levels; assignments are tagged with their level."""
-    from ..operators.cluster.level import cluster_level
-    out = None
-    for cube_of, group, level in LEVELS:
+    from ..operators.cluster.level import cluster_level, side_by_side
+
+    def one(cube_of, group, level):
         cube = pinned(cube_of(spark, sf).select(group, "week_start", "tons_refuse", "tons_total"), "level-cube")
         got = cluster_level(cube, group, level, value="tons_total", parts=[("assignments", "metrics", "curves")[part]])[part]
-        if part == 0:
-            got = got.withColumnRenamed(group, "group_id").withColumn("level", F.lit(level))
-        out = got if out is None else out.unionByName(got)
-    return out
+        return got.withColumnRenamed(group, "group_id").withColumn("level", F.lit(level)) if part == 0 else got
+    first, second = side_by_side(spark, [lambda args=args: one(*args) for args in LEVELS])
+    return first.unionByName(second)
 
 
 @query("m12_cluster_level")

@@ -276,3 +276,10 @@ def test_dtw_search_equals_plain_kmeans(spark):
             centres = np.where(n > 0, s / np.maximum(n, 1), centres)
         assert np.allclose(search.centres[k], centres)
         assert all(got[i, k] == int(np.argmin([plain_cost(x, y)[-1, -1] for y in centres])) for i, x in enumerate(X))
+
+
+def test_methods_of_a_level_run_side_by_side(spark):
+    import threading
+    from haulcube.operators.cluster.level import side_by_side
+    gate = threading.Barrier(3, timeout=60)                 # passed only when all three are under way
+    assert side_by_side(spark, [lambda i=i: gate.wait() * 0 + spark.range(i).count() for i in range(3)]) == [0, 1, 2]
