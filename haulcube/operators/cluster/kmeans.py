@@ -21,7 +21,8 @@ from .pairs import _mat, _slack
 
 #: Searches of start centres that run as concurrent jobs; each is a chain of short jobs, so one alone leaves most executors idle.
 CONCURRENT_FITS = 8
-ROWS_PER_TASK = 20_000
+#: Rows of a task at most; in the rounds fewer, down to the least, as long as there are idle cores.
+ROWS_PER_TASK, LEAST_ROWS = 20_000, 2_000
 #: Numbers of one product of rows with centres, and bytes of partial sums that the driver takes from the tasks without a step between.
 HELD, SUMS_BYTES = 1 << 18, 32 << 20
 #: Costs this close (relative) count as equal: the earliest start wins, in whatever order sums were added.
@@ -158,7 +159,8 @@ def fit_all(df: DataFrame, vec: str, k_values, n_init: int = 10, seed: int = 42,
     if not jobs:
         return {}
     table = pinned(df.select(F.col(vec).alias("_v")), "kmeans-input")
-    tasks = max(1, math.ceil(table.count() / ROWS_PER_TASK))
+    n = table.count()
+    tasks = max(1, math.ceil(n / ROWS_PER_TASK))
     v = table.select(array_to_vector("_v").alias("_v")).coalesce(tasks).persist()
 
     def start(job):
@@ -170,6 +172,7 @@ def fit_all(df: DataFrame, vec: str, k_values, n_init: int = 10, seed: int = 42,
     finally:
         v.unpersist()
     dims = starts[0].shape[1]
+    tasks = max(tasks, min(math.ceil(n / LEAST_ROWS), df.sparkSession.sparkContext.defaultParallelism))
     # distances lose least about the mean
     total = _total(_matrices(table, tasks), lambda part: sum((np.append(X.sum(axis=0), len(X)) for X in part), np.zeros(dims + 1)), dims + 1)
     mean = total[:-1] / total[-1]
