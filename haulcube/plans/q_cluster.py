@@ -126,7 +126,7 @@ def m9(spark, sf):
     "SELECT i AS vec_id, round(min(d) FILTER (WHERE i <> j), 6) AS nearest, round(avg(d) FILTER (WHERE i <> j), 6) AS mean_dist, "
     "round(max(d) FILTER (WHERE i <> j), 6) AS farthest FROM pd GROUP BY i"))
 def j9(spark, sf):
-    s = distance_summary(emb(spark, sf), "vec_id", "v")
+    s = distance_summary(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return s.select("vec_id", *[F.round(c, 6).alias(c) for c in ("nearest", "mean_dist", "farthest")])
 
 

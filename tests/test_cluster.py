@@ -144,6 +144,49 @@ def test_silhouettes_over_blocks(spark, monkeypatch):
     assert abs(silhouette(df, "id", "v", "lab").first()[0] - ((b - a) / np.maximum(a, b)).mean()) < 1e-9
 
 
+def test_distance_summary_meets_all_points_once_a_block(spark, monkeypatch):
+    """J9 over several blocks and shuffle partitions: no pair is lost, rows of one id are no others, a point is sent once a block."""
+    from haulcube.operators.cluster import pairs as P
+    sent, real = [], P.block_pairs
+    monkeypatch.setattr(P, "block_pairs", lambda points, pairs, *args: sent.append((points, pairs)) or real(points, pairs, *args))
+    rng = np.random.default_rng(14)
+    X = np.concatenate([rng.normal(size=(2500, 3)), 1e3 + rng.normal(size=(300, 3)), np.tile([[4.0, 4.0, 4.0]], (50, 1))]).astype(np.float32)
+    ids = np.arange(len(X)) % 2700                          # ids from 0 to 149 come twice, mostly far apart
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, X)], "id long, v array<float>")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r[0]: r[1:] for r in P.distance_summary(df, "id", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    D, others = _d(X.astype(np.float64)), ids[:, None] != ids[None, :]
+    assert got.keys() == set(ids.tolist())
+    for k in range(2700):
+        d = D[ids == k][others[ids == k]]
+        assert np.allclose(got[k], (d.min(), d.mean(), d.max()), rtol=1e-12, atol=1e-12)
+    (points, pairs), = sent
+    blocks = {b for pair in pairs for b in pair}
+    assert points.schema["v"].dataType.simpleString() == "array<float>" and 3 <= len(blocks) <= P.BLOCKS
+    assert sorted(pairs) == [(a, b) for a in sorted(blocks) for b in sorted(blocks) if a <= b]
+    assert {r["block"]: r["count"] for r in points.groupBy("block").count().collect()}.keys() == blocks
+
+
+def test_distance_tiles_equal_differences():
+    """Far from the origin, tight, overflowing and non-finite values: as by differences, over several tiles."""
+    from haulcube.operators.cluster import pairs as P
+    rng = np.random.default_rng(15)
+    X, Y = rng.normal(size=(300, 8)), rng.normal(size=(1100, 8))
+    wild = Y.copy()
+    wild[3, 1], wild[1050, 2], wild[7, 0] = np.inf, -np.inf, np.nan
+    for A, B in ((X, Y), (X + 1e6, Y + 1e6), (X, X), (1e-4 * X + 5, 1e-4 * Y + 5), (1e200 * X, 1e200 * Y), (wild[:300], wild), (X, np.vstack([Y, 1e9 + Y[:1]])), (X[:0], Y)):
+        with np.errstate(all="ignore"):
+            want = np.sqrt(((A[:, None] - B[None]) ** 2).sum(-1))
+            got = np.full(want.shape, -1.0)
+            for s, t, D in P.distance_tiles(A, B):
+                got[s:s + len(D), t:t + D.shape[1]] = D
+        assert np.allclose(got, want, rtol=1e-12, atol=0, equal_nan=True)
+
+
 def test_davies_bouldin_brute(pts):
     X, df = pts
     lab = np.array([int(i >= 15) + int(i >= 30) for i in range(len(X))])
